@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, exact_search, language_id, licenses, mixing, pii, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,17 +15,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op3(table(spark, sf_dir, "pages"))
+
+
+def op4_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.op6(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op7_bpe_backtracking, op10_simhash_near_dedup)
+    for f in (
+        op2_pii_surrogates,
+        op3_url_bloom_cascade,
+        op4_language_rank_order,
+        op5_license_rare_tokens,
+        op6_exact_top_k,
+        op7_bpe_backtracking,
+        op8_source_mixing,
+        op10_simhash_near_dedup,
+    )
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
