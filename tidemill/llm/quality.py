@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence with its host's and path's posteriors.
 
-Evidence. A word's presence in labelled documents gives its log-odds for quality and for toxicity; words that are not
-clearly on one side count nothing. A document's evidence is the sum over its distinct words, softly bounded. Labels
+Evidence. A word's presence in labelled documents gives its log-odds for quality and for toxicity, drawn towards 0 by
+their standard errors; words that are not clearly on one side count nothing. As words depend on each other, a
+document's evidence is the sum of only the STRONGEST on either side, softly bounded. Labels
 are taken from at most FIT_ROWS labelled rows, those with the smallest hashes; the words from these rows' whole texts.
 Sites. Over all documents the evidence (or, where there is one, the label) is averaged for each host and each host's
 paths. How much hosts differ (method of moments) says how many documents the global prior counts as; a host's
@@ -31,9 +32,12 @@ from .url_filter import host_and_path
 FIT_ROWS = 20_000
 #: Words with evidence: at most so many, the clearest first; least documents and least standard errors.
 WORDS, LEAST_ROWS, LEAST_Z = 20_000, 4, 4.0
+#: Standard errors by which log-odds are drawn towards 0, and the words that count on either side.
+DRAWN, STRONGEST = 2.0, 3
 #: Bounds of a document's evidence and of what the prior counts as.
 MOST, FEWEST, MANY = 8.0, 2.0, 200.0
-KEEP_FROM = 0.5
+#: What is kept: at least so likely good, and less than so likely toxic.
+GOOD_FROM, TOXIC_FROM = 0.5, 0.75
 _WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 TARGETS = ("quality", "toxic")
 
@@ -77,9 +81,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, float]]:
         no, yes = F.col(f"n{2 * k}"), F.col(f"n{2 * k + 1}")
         all_no, all_yes = total[f"n{2 * k}"], total[f"n{2 * k + 1}"]
         odds = F.log((yes + 0.5) / (all_yes + 1.0)) - F.log((no + 0.5) / (all_no + 1.0))
-        z = odds / F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-        clear = F.abs(z) >= LEAST_Z if min(all_no, all_yes) else F.lit(False)
-        return F.when(clear, odds).otherwise(0.0), F.when(clear, F.abs(z)).otherwise(0.0)
+        error = F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+        z = F.abs(odds) / error
+        clear = z >= LEAST_Z if min(all_no, all_yes) else F.lit(False)
+        return F.when(clear, odds - F.signum(odds) * DRAWN * error).otherwise(0.0), F.when(clear, z).otherwise(0.0)
 
     (good, good_z), (bad, bad_z) = evidence(0), evidence(1)
     scored = counts.where("word <> ''").where(sum(F.col(f"n{s}") for s in range(4)) >= 2 * LEAST_ROWS)
@@ -87,7 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, float]]:
     return {r.word: (r.good, r.bad) for r in scored.orderBy(F.desc("z"), "word").limit(WORDS).collect()}
 
 
-def soft(total: float) -> float:
+def soft(values: list[float]) -> float:
+    """The sum of the STRONGEST values on either side, within MOST."""
+    values.sort()
+    total = sum(v for v in values[:STRONGEST] if v < 0) + sum(v for v in values[-STRONGEST:] if v > 0)
     return MOST * math.tanh(total / MOST)
 
 
@@ -101,8 +109,8 @@ def scored(docs: DataFrame, words: dict[str, tuple[float, float]]) -> DataFrame:
             good, bad = [], []
             for text in texts(batch.column("text")):
                 hits = [known[f] for f in features(text) & known.keys()]
-                good.append(soft(sum(h[0] for h in hits)))
-                bad.append(soft(sum(h[1] for h in hits)))
+                good.append(soft([h[0] for h in hits]))
+                bad.append(soft([h[1] for h in hits]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(good, pa.float64()), pa.array(bad, pa.float64())], ["doc_id", "source", "good", "bad"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, good double, bad double")
@@ -175,7 +183,7 @@ def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
     quality = _sigmoid(_logit(F.col("quality_site")) + F.col("good"))
     toxic = _sigmoid(_logit(F.col("toxic_site")) + F.col("bad"))
     out = found.select("doc_id", "host", "path", "quality_site", "toxic_site", quality.alias("p_quality"), toxic.alias("p_toxic"))
-    return out.withColumn("keep", (F.col("p_quality") >= KEEP_FROM) & (F.col("p_toxic") < KEEP_FROM))
+    return out.withColumn("keep", (F.col("p_quality") >= GOOD_FROM) & (F.col("p_toxic") < TOXIC_FROM))
 
 
 def op1(docs: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_search, language_id, licenses, mixing, pii, simhash, url_filter
+from . import ann, bpe, exact_search, language_id, licenses, mixing, pii, quality, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op1(*[table(spark, sf_dir, name) for name in ("documents", "labels", "pages")])
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op2(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op9(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_quality_hierarchical,
         op2_pii_surrogates,
         op3_url_bloom_cascade,
         op4_language_rank_order,
@@ -57,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op6_exact_top_k,
         op7_bpe_backtracking,
         op8_source_mixing,
+        op9_ivf_pq,
         op10_simhash_near_dedup,
     )
 }
