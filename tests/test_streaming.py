@@ -12,7 +12,10 @@ def rocksdb(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, state.ROCKSDB)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
