@@ -18,13 +18,24 @@ DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "sourc
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key with over 1 / HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has a session's Arrow batches hold BATCH_ROWS rows at most from now on, as whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found by exact name first and then without regard to case.
 
-    Works by position, so further columns may have any names, equal ones included; they are dropped.
+    Works by position, so further columns may have any names, equal ones included; they are dropped. Operators begin
+    here, so it also bounds the batches that go to Python workers.
     """
+    small_batches(df.sparkSession)
     have = df.columns
     folded = [c.lower() for c in have]
     inner = [f"c{i}" for i in range(len(have))]
