@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, pick, slices, texts
+from .common import cut, documents_of, pick, slices, texts
 
 PROFILE = 300
 MAX_LANGUAGES = 1000
@@ -33,7 +33,7 @@ UNKNOWN = "und"
 #: The pipeline's stage rejects what is scored below this: text that resembles no learned language.
 MIN_SCORE = 0.05
 #: Bytes of text and counted n-grams that a task holds at a time.
-SLICE, HELD = 1_000_000, 2_000_000
+SLICE, HELD = 500_000, 1_000_000
 #: Stands for a word's end; no letter has this code.
 END = 1
 
@@ -116,7 +116,7 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     counts = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PROFILE)
+    top = cut(counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PROFILE))
     sizes = top.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
     rows = top.join(F.broadcast(sizes), "lang").select("lang", "gram", "rank").collect()  # MAX_LANGUAGES x PROFILE at most
     profiles: dict[str, list[tuple[int, int]]] = {}
