@@ -64,27 +64,30 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")
 
 
+def positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: int) -> Iterator[np.ndarray]:
+    """For each of a level's hash functions the keys' bits; levels have functions of their own."""
+    a, b = h1.view(np.uint64), h2.view(np.uint64)
+    for i in range(hashes):
+        x = a + np.uint64(level * 16 + i + 1) * (b | np.uint64(1))
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        yield (x ^ (x >> np.uint64(32))) % np.uint64(bits)
+
+
 class Level:
-    """One Bloom filter: bit (h1 + i * h2) mod bits for each of `hashes` i."""
+    """One Bloom filter."""
 
-    def __init__(self, words: np.ndarray, bits: int, hashes: int):
-        self.words, self.bits, self.hashes = words, bits, hashes
+    def __init__(self, words: np.ndarray, bits: int, hashes: int, level: int):
+        self.words, self.bits, self.hashes, self.level = words, bits, hashes, level
 
     def admits(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.ones(len(h1), dtype=bool)
-        a, b = h1.view(np.uint64), h2.view(np.uint64) | np.uint64(1)
-        for i in range(self.hashes):
-            at = (a + np.uint64(i) * b) % np.uint64(self.bits)
+        for at in positions(h1, h2, self.bits, self.hashes, self.level):
             out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
 
-def positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int) -> np.ndarray:
-    a, b = h1.view(np.uint64), h2.view(np.uint64) | np.uint64(1)
-    return np.concatenate([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(hashes)]).astype(np.int64)
-
-
-def build_level(keys: DataFrame, n: int) -> Level:
+def build_level(keys: DataFrame, n: int, level: int) -> Level:
     """A filter of the n keys (h1, h2). Tasks set bits in words of 64; equal words are joined by OR in the shuffle."""
     bits = max(64, math.ceil(n * -math.log(ERROR) / math.log(2) ** 2 / 64) * 64)
     hashes = max(1, round(bits / max(n, 1) * math.log(2)))
@@ -92,7 +95,7 @@ def build_level(keys: DataFrame, n: int) -> Level:
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(positions(np.array(batch.column("h1")), np.array(batch.column("h2")), bits, hashes))
+            at = np.unique(np.concatenate(list(positions(np.array(batch.column("h1")), np.array(batch.column("h2")), bits, hashes, level))).astype(np.int64))
             word, first = np.unique(at >> 6, return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(value.view(np.int64), pa.int64())], ["word", "value"])
@@ -101,7 +104,7 @@ def build_level(keys: DataFrame, n: int) -> Level:
     rows = keys.select("h1", "h2").mapInArrow(set_bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
     table = rows.toArrow()  # bits / 64 rows at most: bounded by SHARD_KEYS
     words[table.column("word").to_numpy()] = table.column("value").to_numpy().view(np.uint64)
-    return Level(words, bits, hashes)
+    return Level(words, bits, hashes, level)
 
 
 def admitted(keys: DataFrame, level: Level) -> DataFrame:
@@ -122,7 +125,7 @@ def cascade(universe: DataFrame) -> list[Level]:
     while n := inside.count():
         if len(levels) == LEVELS:
             raise RuntimeError("two keys of the corpus have equal hashes")
-        levels.append(build_level(inside, n))
+        levels.append(build_level(inside, n, len(levels)))
         inside, outside = cut(admitted(outside, levels[-1])), inside
     return levels
 
