@@ -6,7 +6,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark, rows, extra=False):
     df = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], DOCS)
     if extra:
-        df = df.selectExpr("*", "'x' AS Fingerprint", "1 AS fp", "2 AS size", "'y' AS source_size", "3 AS score", "4 AS host", "5 AS TEXT2")
+        df = df.selectExpr("*", "'x' AS Fingerprint", "1 AS fp", "2 AS size", "'y' AS source_size", "3 AS score", "4 AS host", "5 AS TEXT", "6 AS text_hash", "7 AS n_entities", "'z' AS Doc_Id")
     return df
 
 

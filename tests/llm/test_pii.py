@@ -1,0 +1,91 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tidemill.llm import pii
+
+from .fixtures import docs, edge_rows
+
+
+def replaced(spark, *texts, key="k"):
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    return [r.text for r in pii.replace(docs(spark, rows), key).orderBy("doc_id").collect()]
+
+
+CASES = {
+    "email": ("write to ann.26@mail6.example.com, now", r"write to \w+\.\w+@\w+\.example\.com, now"),
+    "phone": ("call +1 (930) 555-2361 ernd", r"call \+1 \(\d{3}\) \d{3}-\d{4} ernd"),
+    "ipv4": ("from 172.242.194.228 of", r"from \d+\.\d+\.\d+\.\d+ of"),
+    "ipv6": ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 it", r"at (?:[0-9a-f]{4}:){7}[0-9a-f]{4} it"),
+    "card": ("pay 4381893557741609!!", r"pay 4\d{15}!!"),
+    "grouped card": ("pay 4111 1111 1111 1111 now", r"pay 4\d{3} \d{4} \d{4} \d{4} now"),
+    "ssn": ("ssn 123-45-6789.", r"ssn \d{3}-\d{2}-\d{4}\."),
+    "iban": ("iban DE89 3704 0044 0532 0130 00 x", r"iban DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2} x"),
+    "token": ('a token = "bc0d31ba76f17e56642e8751295a3fd50cd8e61f" b', r'a token = "[0-9a-f]{40}" b'),
+    "TOKEN": ('A TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! B', r'A TOKEN = "[0-9A-F]{40}"!! B'),
+    "password": ("password: hunter2secret ok", r"password: \w{13} ok"),
+    "name": ("then Mary Miller came", r"then [A-Z]\w+na [A-Z]\w+ came"),
+    "title": ("then Mr. Miller came", r"then Mr\. [A-Z]\w+ came"),
+    "cyrillic": ("и Анна Каренина шла", r"и [А-Я][а-я]+на [А-Я][а-я]+ шла"),
+}
+
+
+def test_kinds_and_formats(spark):
+    before = [c[0] for c in CASES.values()]
+    after = replaced(spark, *before)
+    for name, b, a in zip(CASES, before, after, strict=True):
+        assert re.fullmatch(CASES[name][1], a), (name, a)
+        assert a != b
+    assert after == replaced(spark, *before)
+    assert all(x != y for x, y in zip(after, replaced(spark, *before, key="other"), strict=True))
+
+
+def test_clean_text_stays(spark):
+    clean = ["Of edatha, thwhing 12 to 3.5 eron; 2024-01-02 is a date = fine.", "v1.2.3 and 10% of 100, a@b, user@ home", "Mary had, and Dr was\nJames", "version 2.0.1.4.5", "x" * 50]
+    assert replaced(spark, *clean) == clean
+
+
+def test_coreference_and_distinctness(spark):
+    one, two, three = replaced(spark, "a +1 (930) 555-2361 b", "a +1-930-555-2361 b 9305552361", "Mary Miller met Mr. Miller; Miller and Ann Smith, Mary Smith")
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two.split(" b ")[0])
+    first, second, third, *_ = re.findall(r"[A-Z]\w+", three.replace("Mr. ", ""))
+    assert second == third
+    many = [f"mail u{i}@x.org card {4000000000000000 + i * 7919} ip 10.{i % 250 + 1}.{i // 250 + 1}.9" for i in range(300)]
+    out = replaced(spark, *many)
+    for pattern in (r"\S+@\S+", r"\d{16}", r"\d+\.\d+\.\d+\.\d+"):
+        before, after = (re.findall(pattern, " ".join(t)) for t in (many, out))
+        assert len(set(before)) == len(set(after)) == 300
+        assert not set(before) & set(after)
+
+
+def test_collisions_are_keyed_anew(spark, monkeypatch):
+    real = pii._core
+
+    def narrow(key, kind, canonical, attempt):
+        core = real(key, kind, canonical, attempt)
+        return F.when(kind == "ipv4", F.concat(F.lit("10.0.0."), (F.conv(F.substring(F.sha2(F.concat_ws("|", canonical, attempt.cast("string")), 256), 1, 4), 16, 10).cast("int") % 40 + 1).cast("string"))).otherwise(core)
+
+    monkeypatch.setattr(pii, "_core", narrow)
+    before = [f"10.0.0.{i}" for i in range(1, 6)] + [f"99.1.1.{i}" for i in range(1, 16)]
+    out = replaced(spark, *[f"at {b} and {b}" for b in before])
+    pairs = [re.findall(r"\d+\.\d+\.\d+\.\d+", t) for t in out]
+    assert all(a == b for a, b in pairs)
+    assert len({a for a, _ in pairs}) == len(before)
+    assert not {a for a, _ in pairs} & set(before)
+
+
+def test_luhn(spark):
+    df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",)], "d string")
+    assert [r.s % 10 == 0 for r in df.select(pii.luhn(F.col("d")).alias("s")).collect()] == [True, False]
+    text = replaced(spark, "4111111111111111")[0]
+    assert [r.s % 10 for r in spark.createDataFrame([(text,)], "d string").select(pii.luhn(F.col("d")).alias("s")).collect()] == [0]
+
+
+def test_edge_rows(spark):
+    rows = edge_rows() + [(5, "ip 1.2.3.4", "en", "a"), (5, "ip 4.3.2.1", "en", "a"), (None, "ip 1.2.3.4", None, None)]
+    out = pii.replace(docs(spark, rows, extra=True)).collect()
+    assert len(out) == len(rows)
+    assert sum(r.n_entities for r in out) == 3
+    kept = {(r.doc_id, r.text) for r in out}
+    assert all((r[0], r[1]) in kept for r in edge_rows())
+    assert pii.op2(docs(spark, [])).collect() == []

@@ -28,8 +28,10 @@ BROADCAST_ROWS = 50_000
 
 # Given names that mark a person's name, by gender and script, and titles.
 GIVEN = {
-    "f_latin": "Mary Patricia Jennifer Elizabeth Barbara Susan Jessica Sarah Margaret Emily Ursula Monika Brigitte Claudine Sylvie Françoise Carmen Dolores Lucía María",
-    "m_latin": "James Robert Michael William David Richard Thomas Charles Daniel Matthew Hans Jürgen Wolfgang Pierre Jacques François Carlos Javier Miguel José",
+    "f_latin": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Michelle Amanda Melissa Laura Emma Olivia Sophia "
+    "Charlotte Alice Julia Maria María Anna Ursula Monika Brigitte Sabine Petra Claudine Sylvie Françoise Nathalie Carmen Dolores Lucía Isabel",
+    "m_latin": "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian George "
+    "Edward Peter Hans Jürgen Wolfgang Klaus Stefan Pierre Jacques François Jean Carlos Javier Miguel José Juan Pedro Luis Antonio",
     "f_cyrillic": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Людмила",
     "m_cyrillic": "Александр Сергей Владимир Дмитрий Андрей Алексей Иван Михаил Николай Павел",
     "f_greek": "Μαρία Ελένη Κατερίνα Βασιλική Σοφία Αγγελική",
@@ -52,7 +54,7 @@ IPV6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
 PHONE = r"(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ -]?\(?\d{2,8}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d|\.\d)"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-CARD = r"(?<!\d\.)(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\p{L}\p{N}]|\.\d)"
+CARD = r"(?<!\d\.)(?:\d{4}(?:[ -]\d{4}){3}|3\d{3}[ -]\d{6}[ -]\d{5}|\d{15,16}|4\d{12}|6\d{18})(?![\p{L}\p{N}]|\.\d)"
 #: What introduces a secret stays as it is; the secret follows.
 NAMED = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 HEXADECIMAL = r"(?=[a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])"
