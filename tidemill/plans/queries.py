@@ -360,3 +360,75 @@ def q30_batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.lit("u").alias("url"), "value")
     done = rows.where("pos % 7 <> 0").select("pos", F.lit("f").alias("output_path"), F.when(F.col("value") >= 50, "success").otherwise("failed").alias("status"))
     return results.failures(results.gather(rows.drop("value"), done)).drop("url")
+
+
+@query(
+    """WITH l AS (SELECT event_id, event_id % 4 AS k FROM events WHERE event_id % 4 < 3)
+SELECT event_id, CASE k WHEN 0 THEN 'frame' WHEN 1 THEN 'speed' ELSE 'fps' END AS key,
+  CASE k WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN (event_id % 7) || '.5x' ELSE 'N/A' END AS value,
+  CASE k WHEN 0 THEN CAST(event_id AS INT) END AS frame, CASE k WHEN 1 THEN event_id % 7 + 0.5::DOUBLE END AS speed FROM l"""
+)
+def q31_progress_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key = F.col("event_id") % 4, F.col("event_id").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("frame="), key)).when(k == 1, F.concat(F.lit("  speed="), (F.col("event_id") % 7).cast("string"), F.lit(".5x "))).when(k == 2, "fps=N/A").otherwise("no pair")
+    rows = table(spark, sf_dir, "events").select("event_id", text.key_value(line).alias("p")).where("p IS NOT NULL").select("event_id", "p.key", "p.value")
+    return rows.select("event_id", "key", "value", *[F.when(F.col("key") == n, progress.field(n, F.col("value"), strict=False)).alias(n) for n in ("frame", "speed")])
+
+
+@query(
+    r"""SELECT event_id, array_to_string(['# Netscape HTTP Cookie File', '# This file is generated, do not edit.', '',
+  array_to_string(['.media.example', 'TRUE', '/', 'FALSE', '0', 'id', CAST(event_id AS VARCHAR)], chr(9)),
+  array_to_string(['.media.example', 'TRUE', '/', 'FALSE', '0', 'type', event_type], chr(9))], chr(10)) AS file FROM events"""
+)
+def q32_cookie_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit("; bare; type="), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", cookies.file_of_string(line, ".media.example").alias("file"))
+
+
+@query(
+    """WITH a AS (SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 403 ELSE 200 END AS status, event_id % 2 AS size, event_id % 3 = 0 AS parallel FROM events)
+SELECT event_id, CASE WHEN status = 200 AND size > 0 THEN 'ok' WHEN status = 200 THEN CASE WHEN parallel THEN 'retry' ELSE 'failed' END WHEN status = 503 THEN 'retry' ELSE 'failed' END AS outcome,
+  CASE status WHEN 200 THEN 'text' WHEN 403 THEN 'refresh' ELSE 'stop' END AS playlist FROM a"""
+)
+def q33_attempt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 404).when(F.col("event_type") == "purchase", 403).otherwise(200)
+    outcome = resilience.outcome(code, F.col("event_id") % 2, F.col("event_id") % 3 == 0)
+    return table(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"), resilience.refresh(code).alias("playlist"))
+
+
+@query(
+    """SELECT o_orderkey AS video_id, 0 AS idx, 'https://media.example/v/' || o_orderkey || '/seg.ts' AS url FROM orders
+UNION ALL SELECT o_orderkey, 1, 'https://cdn.example/' || o_orderkey || '.ts' FROM orders UNION ALL SELECT o_orderkey, 2, 'https://media.example/end.ts' FROM orders"""
+)
+def q34_playlist_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    base = F.concat(F.lit("https://media.example/v/"), key, F.lit("/list.m3u8?token=1"))
+    content = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:3\n seg.ts\r\nhttps://cdn.example/"), key, F.lit(".ts\n\n/end.ts\n#EXT-X-ENDLIST\n"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), base.alias("m3u8_url"), content.alias("content"))
+    return segments.segments(rows).select("video_id", "idx", "url")
+
+
+@query(
+    """WITH r AS (SELECT page_id, page_id % 3 = 0 AS direct, url || CASE WHEN page_id % 3 = 0 THEN '/list.M3U8' ELSE '/video' END AS url FROM pages),
+f AS (SELECT page_id, -1 AS place, url FROM r WHERE direct UNION ALL SELECT page_id, 0, 'https://cdn.example/' || page_id % 50 || '.m3u8' FROM r WHERE page_id % 2 = 0 AND contains(url, 'video'))
+SELECT min(page_id) AS seq, arg_min(place, page_id) AS place, url FROM f GROUP BY url"""
+)
+def q35_response_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/list.M3U8").otherwise("/video"))
+    body = F.concat(F.lit('{"a":{"u":"//cdn.example/'), (F.col("page_id") % 50).cast("string"), F.lit('.m3u8"},"b":"c"}'))
+    kind = F.when(F.col("page_id") % 2 == 0, "application/json").otherwise("text/html")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), url.alias("url"), kind.alias("content_type"), F.lit(None).cast("string").alias("content_length"), body.alias("body"))
+    return responses.playlist_urls(rows)
+
+
+@query("SELECT doc_id AS video_id, doc_id % 2 <> 0 AS stale FROM documents WHERE text IS NOT NULL")
+def q36_stale_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("video_id"), F.col("text").alias("content"))
+    stored = rows.where("video_id % 4 <> 3").select("video_id", text.signature(text.entries(F.col("content"))).alias("s"), (F.col("video_id") % 4 == 1).alias("old"))
+    return segments.stale(rows, stored.select("video_id", F.when(F.col("old"), "another").otherwise(F.col("s")).alias("signature"))).select("video_id", "stale")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (value >= 50) AS successful, count(*) FILTER (NOT value >= 50) AS failed, 3 AS skipped, 1 AS exit_code FROM events")
+def q37_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("value") >= 50, "success").otherwise("failed").alias("status"))
+    return results.summary(rows, 3).withColumn("exit_code", F.when((F.col("total") > 0) & (F.col("failed") == 0), 0).otherwise(1))
