@@ -80,6 +80,46 @@ def test_thresholds_cover_the_distance():
         assert sum(t + 1 for t in thresholds) == 3
 
 
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        for copy in range(6):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 8, 30])):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((group * 10 + copy, " ".join(own), "en", "s"))
+    rows += [(900, None, "en", "s"), (901, " ", "en", "s"), (None, rows[0][1] + " more", "en", "s"), (902, "short text", "en", "s"), (903, "short text", "en", "s")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows, extra=True), 2, 4, 0.8).collect()}
+    named = [r for r in rows if r[0] is not None]
+    prints = [brute_fingerprint(r[1], 2) for r in named]
+
+    def shingles(text):
+        found = (text or "").split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+    sets = [shingles(r[1]) for r in named]
+    root = list(range(len(named)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for i in range(len(named)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count()
+            if near == 0 or near <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                linked += near > 0
+    assert linked > 20
+    want = {(r[0], min(named[k][0] for k in range(len(named)) if find(k) == find(i))) for i, r in enumerate(named)}
+    assert {g for g in got if g[0] is not None} == want
+
+
 def test_keep_one_and_empty(spark):
     rows = edge_rows()
     kept = simhash.keep_one(docs(spark, rows, extra=True))

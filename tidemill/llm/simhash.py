@@ -33,6 +33,8 @@ BITS = 64
 STATISTICS_ROWS = 20_000
 #: Values of a part that more fingerprints than this share are split further.
 SPLIT_OVER = 256
+#: Documents whose ids are broadcast when their texts are compared: 16 bytes each.
+BROADCAST_IDS = 1_000_000
 #: A group whose fingerprints can differ in no more bits than this isn't split.
 FREE_BITS = 9
 #: Thresholds that need more probes than this for a fingerprint are not considered.
@@ -240,25 +242,64 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs."""
+def shingles_of(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; the whole text if it has fewer words."""
+    found = _WORD.findall(text.lower())
+    parts = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
+    return np.unique(np.array([xxhash.xxh32_intdigest(p) for p in parts], dtype=np.uint32)).view(np.int32)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs of fingerprints whose first documents share so large a part of their distinct shingles (Jaccard).
+
+    firsts: fp and first_id. Only texts of fingerprints in pairs are looked at; their ids are broadcast up to
+    BROADCAST_IDS, else joined by a shuffle.
+    """
+    asked = cut(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(firsts, "fp").select("fp", F.col("first_id").alias("doc_id")))
+    few = asked.count() <= BROADCAST_IDS
+    rows = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select("fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles_of(t, words) for t in utf8(batch.column("text"))]
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], ["fp", "shingles"])
+
+    sets = cut(rows.mapInArrow(run, "fp long, shingles array<int>").groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs.
+
+    With a similarity, links between different fingerprints also need that Jaccard similarity of shingles of
+    similar_words words; fingerprints of rows without an id then link to equal ones only.
+    """
     prints = cut(fingerprints(docs, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     total = distinct.agg(F.sum("copies")).first()[0] or 0
-    roots = components(links(distinct, distance))
+    found = links(distinct, distance)
+    if similarity is not None:
+        texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        found = similar(cut(found), texts, distinct.where(F.col("first_id").isNotNull()).select("fp", "first_id"), similarity, similar_words)
+    roots = components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id", "copies")
     return join_hot(prints, classes, "fp", "copies", total)
 
 
-def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of repeated rows with that id the first by text stays. A component whose ids are all null keeps one row.
+    Of repeated rows with that id the first by text stays. Of rows without an id that link to none with one, one stays
+    for each fingerprint.
     """
     docs = documents_of(docs)
-    found = near_duplicates(docs, words, distance)
+    found = near_duplicates(docs, words, distance, similarity)
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
     single = docs.join(kept, "doc_id", "left_semi")
     repeated = kept.where("rows > 1")
