@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,9 +32,13 @@ def feed(spark, tmp_path, schema, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
-def drain(df, name, tmp_path, mode="append"):
+def drain(df, name, tmp_path, mode="append", rows=None):
+    """All output rows; with `rows` the run is stopped once there are so many, as processing-time state never idles."""
     run = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    until = time.monotonic() + 60
+    while time.monotonic() < until and not run.awaitTermination(1):
+        if rows is not None and df.sparkSession.table(name).count() >= rows:
+            run.stop()
     return df.sparkSession.table(name).collect()
 
 
@@ -50,7 +55,7 @@ def test_blocks(spark, tmp_path, rocksdb):
 def test_pauses(spark, tmp_path, rocksdb):
     s = 1_000_000
     batches = [[("u", 0, 0, True), ("u", 1, 9 * s, True)], [("u", 2, 15 * s, False), ("u", 3, 20 * s, False), ("w", 4, 1, False)]]
-    got = drain(state.paused(feed(spark, tmp_path, "url string, seq long, ts_us long, is_pause boolean", batches)), "p", tmp_path)
+    got = drain(state.paused(feed(spark, tmp_path, "url string, seq long, ts_us long, is_pause boolean", batches)), "p", tmp_path, rows=5)
     assert {r.seq: r.paused for r in got} == {0: False, 1: True, 2: True, 3: False, 4: False}
 
 
