@@ -87,6 +87,14 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_among_copies_are_the_smallest_ids(spark):
+    data = np.random.default_rng(4).normal(size=(900, 8))
+    data[::3] = 3.0
+    found = ann.op9(table(spark, [(i, v.tolist()) for i, v in enumerate(data)])).where("query_id = 60").collect()
+    copies = [i for i in range(0, 900, 3) if i != 60]
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == copies[:20]
+
+
 def test_best_breaks_ties_by_id():
     best = vectors.Best(2, 3, np.int64)
     best.add_block(np.array([0, 1]), np.arange(10)[::-1].copy(), np.zeros((2, 10), np.int64), np.array([0, 99]))

@@ -3,7 +3,8 @@
 Fitting. Coarse centroids and, for the residuals, a codebook for each group of components are fitted by k-means on at
 most SAMPLE rows, those with the smallest hashes. Every row is then indexed: its nearest centroid's list and its
 residual's codes.
-Search. A query probes the PROBED lists whose centroids have the largest inner products with it. In each chunk of a
+Search. A query probes the lists whose centroids have the largest inner products with it: PROBED of them, and more
+until they hold LEAST_ROWS rows. In each chunk of a
 list a table of the query's products with all codebook entries gives every row's approximate score by lookups; the
 RERANKED best by that are scored exactly on the original vectors. The chunks' best are joined for each query.
 A list of any size is dealt into chunks, and a list's queries into blocks, so a task holds one of each at a time.
@@ -12,15 +13,14 @@ Recall on the tables here, which are close to random directions and so hard: see
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take
 no part. Only vectors of equal dimension meet. Repeated ids: of a query the smallest row is used, candidates count
-row by row; no row with the query's id is its candidate. With at most EXACT_BELOW rows all lists are probed and all
-rows reranked, so few candidates are all returned. An empty table gives an empty result. Further columns are dropped.
+row by row; no row with the query's id is its candidate. Fewer candidates than k are all returned, as few rows are all
+probed and reranked. An empty table gives an empty result. Further columns are dropped.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ LISTS, PROBED = 64, 48
 #: Components of one sub-vector, entries of its codebook.
 WIDTH, ENTRIES = 4, 256
 CHUNK, QUERIES, RERANKED = 8192, 1024, 64
-EXACT_BELOW = 2000
+LEAST_ROWS = 2000
 ROUNDS, SEED = 12, 20_240_229
 
 
@@ -74,8 +74,11 @@ class Model:
         rest = data - self.centres[lists]
         return lists, np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def probes(self, queries: np.ndarray, most: int) -> np.ndarray:
-        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")[:, :most]
+    def probes(self, queries: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Each query's lists, the nearest first; sizes are the lists' rows."""
+        order = np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        return [row[: max(PROBED, int(n))] for row, n in zip(order, (before < LEAST_ROWS).sum(axis=1), strict=True)]
 
     def approximate(self, queries: np.ndarray, chosen: int, codes: np.ndarray) -> np.ndarray:
         """Scores of rows of a list by the queries' tables."""
@@ -109,7 +112,7 @@ def indexed(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
     return vectors.select("vec_id", "dim", "vec").mapInArrow(run, "vec_id long, dim int, vec binary, list int, codes binary")
 
 
-def probing(queries: DataFrame, models: dict[int, Model], probed: int) -> DataFrame:
+def probing(queries: DataFrame, models: dict[int, Model], sizes: dict[tuple[int, int], int]) -> DataFrame:
     """A row for each query and list that it probes."""
     shared = queries.sparkSession.sparkContext.broadcast(models)
 
@@ -117,9 +120,10 @@ def probing(queries: DataFrame, models: dict[int, Model], probed: int) -> DataFr
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                lists = shared.value[dim].probes(matrix(part.column("vec")), probed)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("vec_id", "dim", "vec")], pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "dim", "vec", "lists"])
+                part, model = batch.filter(pa.array(dims == dim)), shared.value[dim]
+                rows = np.array([sizes.get((dim, k), 0) for k in range(len(model.centres))])
+                lists = model.probes(matrix(part.column("vec")), rows)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("vec_id", "dim", "vec")], pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["vec_id", "dim", "vec", "lists"])
 
     rows = queries.select("vec_id", "dim", "vec").mapInArrow(run, "vec_id long, dim int, vec binary, lists array<int>")
     return rows.select("vec_id", "dim", "vec", F.explode("lists").alias("list"))
@@ -128,10 +132,9 @@ def probing(queries: DataFrame, models: dict[int, Model], probed: int) -> DataFr
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, vec_id and score: what each group finds for its queries; best_of_all joins the groups."""
     models = fit(vectors)
-    exact = vectors.limit(EXACT_BELOW + 1).count() <= EXACT_BELOW
     index = cut(indexed(vectors, models))
-    probes = probing(queries, models, LISTS if exact else PROBED)
     sizes = {(r.dim, r.list): r.n for r in index.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}  # LISTS for each dimension
+    probes = probing(queries, models, sizes)
     asked = {(r.dim, r.list): r.n for r in probes.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}
     plan, groups = [], 0
     for key in sorted(sizes):
@@ -161,14 +164,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                 own, data = (np.concatenate([h[i] for h in held[0]]) for i in (0, 1))
                 ids, there, codes = (np.concatenate([h[i] for h in held[1]]) for i in (0, 1, 2))
                 best = Best(len(own), k, np.float64)
-                keep = len(ids) if exact else min(RERANKED, len(ids))
+                keep = min(RERANKED, len(ids))
                 for a in range(0, len(own), 256):
                     q = data[a : a + 256]
                     score = shared.value[at[1]].approximate(q, held[0][0][2], codes)
                     score[ids[None, :] == own[a : a + 256, None]] = -np.inf
-                    top = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
+                    least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
                     for i in range(len(q)):
-                        mine = top[i][ids[top[i]] != own[a + i]]
+                        mine = np.flatnonzero(score[i] >= least[i])
+                        if len(mine) > keep:  # rows come by id, so of equal scores the smaller ids stay
+                            equal = score[i, mine] == least[i]
+                            mine = np.concatenate((mine[~equal], mine[equal][: keep - int((~equal).sum())]))
+                        mine = mine[ids[mine] != own[a + i]]
                         best.add(np.full(len(mine), a + i), ids[mine], (there[mine] * q[i]).sum(axis=1))
                 yield best.batch(own, pa.float64())
             held[0].clear()
