@@ -40,6 +40,11 @@ def test_kinds_and_formats(spark):
     assert all(x != y for x, y in zip(after, replaced(spark, *before, key="other"), strict=True))
 
 
+def test_long_runs(spark):
+    out = replaced(spark, "a@" + "b." * 20_000 + "com x", "1" * 100_000, "+49 " + "12 " * 50_000, "Mary " + "Miller " * 20_000, "-" * 100_000 + "@", "z" * 200_000)
+    assert len(out) == 6 and out[5] == "z" * 200_000
+
+
 def test_clean_text_stays(spark):
     clean = ["Of edatha, thwhing 12 to 3.5 eron; 2024-01-02 is a date = fine.", "v1.2.3 and 10% of 100, a@b, user@ home", "Mary had, and Dr was\nJames", "version 2.0.1.4.5", "x" * 50]
     assert replaced(spark, *clean) == clean

@@ -47,8 +47,9 @@ SOUNDS = {
 HEX = "0123456789abcdef"
 CONSONANTS_OF_HEX = "bcdfghklmnprstvz"
 
+# Repetitions are bounded (of an address by what it may have), as a matcher's stack and time are.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]*[\p{L}\p{N}])+"
+EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{0,62}[\p{L}\p{N}]){1,12}"
 IPV4 = rf"(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)"
 IPV6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
 PHONE = r"(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ -]?\(?\d{2,8}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d|\.\d)"
