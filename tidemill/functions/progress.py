@@ -19,18 +19,15 @@ def size_in_bytes(number: Column, unit: Column) -> Column:
 
 def download_line(line: Column) -> Column:
     """Struct of percent, downloaded and total bytes, speed and eta; null for other lines."""
-    percent = F.regexp_extract(line, LINE, 1).try_cast("double")
-    total = size_in_bytes(F.regexp_extract(line, LINE, 2).try_cast("double"), F.regexp_extract(line, LINE, 3))
-    return F.when(
-        line.rlike(LINE),
-        F.struct(
-            percent.alias("percent"),
-            (total.cast("double") * percent / 100).cast("long").alias("downloaded"),
-            total.alias("total"),
-            F.regexp_extract(line, LINE, 4).alias("speed"),
-            F.regexp_extract(line, LINE, 5).alias("eta"),
-        ),
-    )
+
+    def parsed(parts: Column) -> Column:
+        percent = parts[0].cast("double")
+        total = size_in_bytes(parts[1], parts[2])
+        downloaded = (total.cast("double") * percent / 100).cast("long")
+        return F.struct(percent.alias("percent"), downloaded.alias("downloaded"), total.alias("total"), parts[3].alias("speed"), parts[4].alias("eta"))
+
+    groups = F.split(F.regexp_replace(line, rf"^[\s\S]*?{LINE}[\s\S]*$", "$1\n$2\n$3\n$4\n$5"), "\n")
+    return F.when(line.rlike(LINE), F.get(F.transform(F.array(groups), parsed), F.lit(0)))
 
 
 #: Fields of an encoder's progress block and their types.
