@@ -163,10 +163,23 @@ def _longs(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
-def _pairs(index: DataFrame, probes: DataFrame, distance: int) -> DataFrame:
+def _apart(mask: int | None = None) -> Column:
+    """Bits in which a joined pair differs, of all or of a part's."""
+    bits = F.col("fp").bitwiseXOR(F.col("probe"))
+    return F.bit_count(bits if mask is None else bits.bitwiseAND(F.lit(mask).cast("long")))
+
+
+def _pairs(index: DataFrame, probes: DataFrame, distance: int, first: Column | None = None) -> DataFrame:
+    """Verified pairs that meet in a slot's value. Each meets from both sides, one of which counts; `first` can say
+    that no earlier part has found a pair."""
     both = index.join(probes, ["slot", "value"])
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("probe")))
-    return both.where((F.col("fp") != F.col("probe")) & (apart <= distance)).select(F.least("fp", "probe").alias("a"), F.greatest("fp", "probe").alias("b"))
+    wanted = (F.col("fp") < F.col("probe")) & (_apart() <= distance)
+    return both.where(wanted if first is None else wanted & first).select(F.col("fp").alias("a"), F.col("probe").alias("b"))
+
+
+def _unseen(earlier: list[tuple[int, int]]) -> Column:
+    """Whether a pair differs in more than t bits of each earlier part (mask, t)."""
+    return reduce(lambda x, y: x & y, [_apart(mask) > t for mask, t in earlier], F.lit(True))
 
 
 def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER) -> DataFrame:
@@ -176,31 +189,36 @@ def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER)
     rows = distinct.orderBy(F.xxhash64("fp")).limit(STATISTICS_ROWS).collect()  # bounded, for correlations and costs
     sample = np.array([r.fp for r in rows], dtype=np.int64)
     parts, thresholds = plan(sample, total, distance)
-    found = []
+    found, earlier = [], []
     for part, within in zip(parts, thresholds, strict=True):
         if within > 0:
             slot = F.lit(_mask(part)).cast("long").alias("slot")
             index = distinct.select("fp", slot, F.col("fp").bitwiseAND(F.lit(_mask(part)).cast("long")).alias("value"))
             probes = distinct.select(F.col("fp").alias("probe"), F.explode(_longs(_choices(part, within))).alias("flip"))
-            found.append(_pairs(index, probes.select("probe", slot, F.col("probe").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(_mask(part)).cast("long")).alias("value")), distance))
+            found.append(_pairs(index, probes.select("probe", slot, F.col("probe").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(_mask(part)).cast("long")).alias("value")), distance, _unseen(earlier)))
+            earlier.append((_mask(part), within))
     if exact := [p for p, t in zip(parts, thresholds, strict=True) if t == 0]:
-        found.append(_exact_links(distinct, exact, distance, split_over))
+        found.append(_exact_links(distinct, exact, distance, split_over, earlier))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, split_over: int) -> DataFrame:
-    """Pairs that agree in one of the parts. A value of a part that over `split_over` fingerprints share is split:
+def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, split_over: int, earlier: list[tuple[int, int]]) -> DataFrame:
+    """Pairs that agree in one of the parts and that no earlier part has found. A value of a part that over `split_over` fingerprints share is split:
     of distance + 1 groups of the other bits, linked fingerprints agree in one, so each group extends the value.
     Splitting ends where so few bits are free that a group can't hold many fingerprints."""
     value = F.col("fp").bitwiseAND(F.col("slot")).alias("value")
     level = distinct.select("fp", F.explode(_longs([_mask(p) for p in parts])).alias("slot")).select("fp", "slot", value)
     fixed, found = {_mask(p): p for p in parts}, []
+    first = F.lit(False)
+    for k, p in enumerate(parts):
+        first = F.when(F.col("slot") == _mask(p), _unseen([*earlier, *((_mask(q), 0) for q in parts[:k])])).otherwise(first)
     while True:
         sizes = level.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
         closed = [m for m, have in fixed.items() if BITS - len(have) <= FREE_BITS]
         split = (F.col("n") > split_over) & ~F.col("slot").isin(closed)
         large = cut(sizes.where(split).select("slot", "value"))
-        found.append(_pairs(*[level.join(sizes.where(~split).select("slot", "value"), ["slot", "value"], "left_semi").withColumnRenamed("fp", n) for n in ("fp", "probe")], distance))
+        found.append(_pairs(*[level.join(sizes.where(~split).select("slot", "value"), ["slot", "value"], "left_semi").withColumnRenamed("fp", n) for n in ("fp", "probe")], distance, first))
+        first = None  # values that are split further may find a pair again
         crowded = [r.slot for r in large.select("slot").distinct().collect()]  # at most as many as masks
         if not crowded:
             return reduce(DataFrame.unionByName, found)
