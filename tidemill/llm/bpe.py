@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +31,7 @@ from .common import pick, slices, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 LAST = 1 << 62
 
 # Letters and numbers of Unicode 16, which the tokenizers library knows and Python 3.13 does not.
@@ -82,6 +83,7 @@ class Encoder:
         self.offsets = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
         self.flat = np.frombuffer(b"".join(data), dtype=np.uint8)
         self.length = [len(d) for d in data]
+        self.decimal = [str(i) for i in range(size)]
         id_of = {d.decode("latin-1"): i for i, d in enumerate(data) if i not in set(self.special.values())}
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
@@ -180,7 +182,7 @@ class Encoder:
         got = self.old.get(word)
         if got is None:
             ids = self.word_ids(word.encode().decode("latin-1"))
-            got = (",".join(map(str, ids)), np.array(ids, dtype="<i4").tobytes())
+            got = (",".join([self.decimal[i] for i in ids]), array("i", ids).tobytes())
         if len(word) <= 64:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
@@ -193,11 +195,11 @@ class Encoder:
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
                 i = self.special[part]
-                out.append((str(i), np.array([i], dtype="<i4").tobytes()))
+                out.append((str(i), np.array([i], dtype=np.int32).tobytes()))
                 continue
             for word in self.words.findall(part):
                 out.append(self.young.get(word) or self._word(word))
-        return ",".join([o[0] for o in out]), np.frombuffer(b"".join([o[1] for o in out]), dtype="<i4")
+        return ",".join([o[0] for o in out]), np.frombuffer(b"".join([o[1] for o in out]), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         starts = self.offsets[ids]
