@@ -80,7 +80,24 @@ def test_thresholds_cover_the_distance():
         assert sum(t + 1 for t in thresholds) == 3
 
 
-def test_similar_texts_against_brute_force(spark):
+def test_links_between_components(spark):
+    rng = np.random.default_rng(4)
+    near = np.uint64(99) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 3), dtype=np.uint64), axis=1)
+    values = np.unique(np.concatenate((near, rng.integers(0, 2**63, 300, dtype=np.uint64)))).view(np.int64)
+    roots = np.where(rng.random(len(values)) < 0.6, 7, rng.integers(100, 140, len(values)))
+    frame = spark.createDataFrame(list(zip(values.tolist(), roots.tolist(), strict=True)), "fp long, root long")
+    u = values.view(np.uint64)
+    apart = np.bitwise_count(u[:, None] ^ u[None, :])
+    for beyond, reach in ((0, 2), (2, 4), (4, 6)):
+        wanted = np.triu((apart > beyond) & (apart <= reach) & (roots[:, None] != roots[None, :]), 1)
+        want = sorted((int(min(values[i], values[j])), int(max(values[i], values[j]))) for i, j in zip(*np.nonzero(wanted), strict=True))
+        assert len(want) > 20
+        for largest in (None, 7):
+            assert sorted((r.a, r.b) for r in simhash.links(frame, reach, split_over=50, beyond=beyond, largest=largest).collect()) == want
+
+
+@pytest.mark.parametrize("distance", [4, 5, 6])
+def test_similar_texts_against_brute_force(spark, distance):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -92,7 +109,7 @@ def test_similar_texts_against_brute_force(spark):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             rows.append((group * 10 + copy, " ".join(own), "en", "s"))
     rows += [(900, None, "en", "s"), (901, " ", "en", "s"), (None, rows[0][1] + " more", "en", "s"), (902, "short text", "en", "s"), (903, "short text", "en", "s")]
-    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows, extra=True), 2, 4, 0.8).collect()}
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows, extra=True), 2, distance, 0.8).collect()}
     named = [r for r in rows if r[0] is not None]
     prints = [brute_fingerprint(r[1], 2) for r in named]
 
@@ -112,7 +129,7 @@ def test_similar_texts_against_brute_force(spark):
     for i in range(len(named)):
         for j in range(i):
             near = (prints[i] ^ prints[j]).bit_count()
-            if near == 0 or near <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if near == 0 or near <= distance and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
                 linked += near > 0
     assert linked > 20

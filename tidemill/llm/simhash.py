@@ -6,6 +6,9 @@ some part i. A dynamic programme picks the t_i that make the fewest estimated ca
 part i with all values within t_i bits, and each candidate is verified on all bits.
 A value of a part that many fingerprints share is split further, again by pigeonhole, on the bits that are left, so
 that no group of candidates grows without bound and none is dropped.
+Components of verified texts grow by rounds of rising distance. A later round looks for links between different
+components only, as others change nothing, and the largest component is searched but doesn't probe; so a large group
+of near copies, joined by its nearest links, doesn't make its square of pairs.
 
 Defined cases: a null or blank text has fingerprint 0 and links like any other. A text with fewer words than a
 shingle is one shingle. Repeated rows each get their row. A null doc_id gets a row; it is the smallest id of its
@@ -169,12 +172,16 @@ def _apart(mask: int | None = None) -> Column:
     return F.bit_count(bits if mask is None else bits.bitwiseAND(F.lit(mask).cast("long")))
 
 
-def _pairs(index: DataFrame, probes: DataFrame, distance: int, first: Column | None = None) -> DataFrame:
-    """Verified pairs that meet in a slot's value. Each meets from both sides, one of which counts; `first` can say
-    that no earlier part has found a pair."""
+def _probing(index: DataFrame, largest: int | None) -> DataFrame:
+    """The rows that probe, under names of their own; members of the largest component don't."""
+    rows = index if largest is None else index.where(F.col("root") != largest)
+    return rows.withColumnsRenamed({"fp": "probe", "root": "probe_root"})
+
+
+def _pairs(index: DataFrame, probes: DataFrame, wanted: Column, first: Column | None = None) -> DataFrame:
+    """Wanted pairs that meet in a slot's value; `first` can say that no earlier part has found a pair."""
     both = index.join(probes, ["slot", "value"])
-    wanted = (F.col("fp") < F.col("probe")) & (_apart() <= distance)
-    return both.where(wanted if first is None else wanted & first).select(F.col("fp").alias("a"), F.col("probe").alias("b"))
+    return both.where(wanted if first is None else wanted & first).select(F.least("fp", "probe").alias("a"), F.greatest("fp", "probe").alias("b"))
 
 
 def _unseen(earlier: list[tuple[int, int]]) -> Column:
@@ -182,9 +189,17 @@ def _unseen(earlier: list[tuple[int, int]]) -> Column:
     return reduce(lambda x, y: x & y, [_apart(mask) > t for mask, t in earlier], F.lit(True))
 
 
-def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER) -> DataFrame:
-    """All pairs a < b of the column fp's distinct values that differ in 1 to `distance` bits, each once."""
-    distinct = distinct.select("fp")
+def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER, beyond: int = 0, largest: int | None = None) -> DataFrame:
+    """All pairs a < b of the column fp's distinct values that differ in over `beyond` to `distance` bits, each once.
+
+    With a column root, the component so far, only pairs of different roots; `largest` is the root with most members.
+    """
+    rooted = "root" in distinct.columns
+    distinct = distinct.select("fp", "root") if rooted else distinct.select("fp")
+    once = F.col("fp") < F.col("probe")  # a pair meets from both sides, unless one side doesn't probe
+    wanted = (_apart() > beyond) & (_apart() <= distance) & (once if largest is None else once | (F.col("root") == largest))
+    if rooted:
+        wanted &= F.col("root") != F.col("probe_root")
     total = distinct.count()
     rows = distinct.orderBy(F.xxhash64("fp")).limit(STATISTICS_ROWS).collect()  # bounded, for correlations and costs
     sample = np.array([r.fp for r in rows], dtype=np.int64)
@@ -192,32 +207,34 @@ def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER)
     found, earlier = [], []
     for part, within in zip(parts, thresholds, strict=True):
         if within > 0:
-            slot = F.lit(_mask(part)).cast("long").alias("slot")
-            index = distinct.select("fp", slot, F.col("fp").bitwiseAND(F.lit(_mask(part)).cast("long")).alias("value"))
-            probes = distinct.select(F.col("fp").alias("probe"), F.explode(_longs(_choices(part, within))).alias("flip"))
-            found.append(_pairs(index, probes.select("probe", slot, F.col("probe").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(_mask(part)).cast("long")).alias("value")), distance, _unseen(earlier)))
+            mask = F.lit(_mask(part)).cast("long")
+            index = distinct.select("*", mask.alias("slot"), F.col("fp").bitwiseAND(mask).alias("value"))
+            flips = _probing(index, largest).withColumn("flip", F.explode(_longs(_choices(part, within))))
+            found.append(_pairs(index, flips.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip"), wanted, _unseen(earlier)))
             earlier.append((_mask(part), within))
     if exact := [p for p, t in zip(parts, thresholds, strict=True) if t == 0]:
-        found.append(_exact_links(distinct, exact, distance, split_over, earlier))
+        found.append(_exact_links(distinct, exact, distance, split_over, earlier, wanted, largest))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, split_over: int, earlier: list[tuple[int, int]]) -> DataFrame:
-    """Pairs that agree in one of the parts and that no earlier part has found. A value of a part that over `split_over` fingerprints share is split:
+def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, split_over: int, earlier: list[tuple[int, int]], wanted: Column, largest: int | None) -> DataFrame:
+    """Wanted pairs that agree in one of the parts and that no earlier part has found. A value of a part that over `split_over` fingerprints share is split:
     of distance + 1 groups of the other bits, linked fingerprints agree in one, so each group extends the value.
     Splitting ends where so few bits are free that a group can't hold many fingerprints."""
     value = F.col("fp").bitwiseAND(F.col("slot")).alias("value")
-    level = distinct.select("fp", F.explode(_longs([_mask(p) for p in parts])).alias("slot")).select("fp", "slot", value)
+    columns, rooted = distinct.columns, "root" in distinct.columns
+    level = distinct.select("*", F.explode(_longs([_mask(p) for p in parts])).alias("slot")).select(*columns, "slot", value)
     fixed, found = {_mask(p): p for p in parts}, []
     first = F.lit(False)
     for k, p in enumerate(parts):
         first = F.when(F.col("slot") == _mask(p), _unseen([*earlier, *((_mask(q), 0) for q in parts[:k])])).otherwise(first)
     while True:
-        sizes = level.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = level.groupBy("slot", "value").agg(F.count("*").alias("n"), *[F.min("root").alias("low"), F.max("root").alias("high")] * rooted).where("n > 1 and low < high" if rooted else "n > 1")
         closed = [m for m, have in fixed.items() if BITS - len(have) <= FREE_BITS]
         split = (F.col("n") > split_over) & ~F.col("slot").isin(closed)
         large = cut(sizes.where(split).select("slot", "value"))
-        found.append(_pairs(*[level.join(sizes.where(~split).select("slot", "value"), ["slot", "value"], "left_semi").withColumnRenamed("fp", n) for n in ("fp", "probe")], distance, first))
+        meeting = level.join(sizes.where(~split).select("slot", "value"), ["slot", "value"], "left_semi")
+        found.append(_pairs(meeting, _probing(meeting, largest), wanted, first))
         first = None  # values that are split further may find a pair again
         crowded = [r.slot for r in large.select("slot").distinct().collect()]  # at most as many as masks
         if not crowded:
@@ -229,7 +246,7 @@ def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, spl
         fixed = {f: [b for b in range(BITS) if f >> b & 1] for out in finer.values() for f in out}
         steps = F.broadcast(distinct.sparkSession.createDataFrame([(m, f) for m, out in finer.items() for f in out], "slot long, finer long"))
         dense = level.join(large, ["slot", "value"], "left_semi").join(steps, "slot")
-        level = cut(dense.select("fp", F.col("finer").alias("slot")).distinct().select("fp", "slot", value))
+        level = cut(dense.select(*columns, F.col("finer").alias("slot")).distinct().select(*columns, "slot", value))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,6 +307,26 @@ def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: fl
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def verified_components(distinct: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
+    """node and root of the graph whose links are pairs within `distance` bits and with the similarity.
+
+    distinct: fp and first_id. Each round goes two bits further, between components that are still apart.
+    """
+    firsts = distinct.where(F.col("first_id").isNotNull()).select("fp", "first_id")
+    nodes, roots, largest, beyond = distinct.select("fp", F.col("fp").alias("root")), None, None, 0
+    while True:
+        reach = min(beyond + 2, distance)
+        edges = similar(cut(links(nodes, reach, beyond=beyond, largest=largest)), docs, firsts, similarity, words)
+        if roots is not None:
+            edges = edges.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        roots = components(edges)
+        if reach == distance:
+            return roots
+        nodes = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+        top = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+        largest, beyond = top and top.root, reach
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs.
 
@@ -299,11 +336,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similari
     prints = cut(fingerprints(docs, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     total = distinct.agg(F.sum("copies")).first()[0] or 0
-    found = links(distinct, distance)
-    if similarity is not None:
+    if similarity is None:
+        roots = components(links(distinct, distance))
+    else:
         texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        found = similar(cut(found), texts, distinct.where(F.col("first_id").isNotNull()).select("fp", "first_id"), similarity, similar_words)
-    roots = components(found)
+        roots = verified_components(distinct, texts, distance, similarity, similar_words)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id", "copies")
