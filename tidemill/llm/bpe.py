@@ -31,7 +31,9 @@ from .common import pick, slices, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
+#: Pairs of tokens that a worker remembers.
+PAIRS = 250_000
 LAST = 1 << 62
 
 # Letters and numbers of Unicode 16, which the tokenizers library knows and Python 3.13 does not.
@@ -148,7 +150,7 @@ class Encoder:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self.stays_apart(a, b)
         return known
@@ -201,6 +203,10 @@ class Encoder:
                 out.append(self.young.get(word) or self._word(word))
         return ",".join([o[0] for o in out]), np.frombuffer(b"".join([o[1] for o in out]), dtype=np.int32)
 
+    def rest(self) -> None:
+        """Keeps the younger words only, as a worker may go on to other work."""
+        self.old = {}
+
     def decode(self, ids: np.ndarray) -> str:
         starts = self.offsets[ids]
         sizes = self.offsets[ids + 1] - starts
@@ -238,6 +244,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             flat = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.rest()
 
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
