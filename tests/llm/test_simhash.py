@@ -137,6 +137,25 @@ def test_similar_texts_against_brute_force(spark, distance):
     assert {g for g in got if g[0] is not None} == want
 
 
+@pytest.mark.parametrize("crowded", [32, 2])
+def test_equal_fingerprints_are_verified(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        own = [f"own{rng.randrange(10**6)}" for _ in range(90)]
+        rows += [(2 * i, "the quick brown fox jumps over fences " * 100 + " ".join(own), "en", "s")]
+        if i % 4 == 0:  # a near copy with the same fingerprint
+            rows += [(2 * i + 1, rows[-1][1] + " end", "en", "s")]
+    rows += [(0, rows[-1][1] + " last", "en", "s"), (None, rows[1][1], "en", "s"), (None, "no id at all", "en", "s"), (None, "no id at all", "en", "s")]
+    assert len({brute_fingerprint(r[1], 2) for r in rows[:-2]}) == 1
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows[:-4], extra=True), 2, 6, 0.8).collect()}
+    assert found == {r[0]: r[0] - r[0] % 2 for r in rows[:-4]}
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows, extra=True), 2, 6, 0.8).collect()), key=str)
+    want = [(r[0], r[1]) for r in rows[:-4] if r[0] % 2 == 0 and r[0] != rows[-5][0]]
+    assert kept == sorted([*want, (0, rows[-4][1]), (None, "no id at all")], key=str)
+
+
 def test_keep_one_and_empty(spark):
     rows = edge_rows()
     kept = simhash.keep_one(docs(spark, rows, extra=True))

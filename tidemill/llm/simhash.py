@@ -6,7 +6,8 @@ some part i. A dynamic programme picks the t_i that make the fewest estimated ca
 part i with all values within t_i bits, and each candidate is verified on all bits.
 A value of a part that many fingerprints share is split further, again by pigeonhole, on the bits that are left, so
 that no group of candidates grows without bound and none is dropped.
-Components of verified texts grow by rounds of rising distance. A later round looks for links between different
+Components of verified texts grow by rounds of rising distance, and equal fingerprints are verified as well: a node is
+a fingerprint with one set of shingles, so texts that share a fingerprint but not their shingles stay apart. A later round looks for links between different
 components only, as others change nothing, and the largest component is searched but doesn't probe; so a large group
 of near copies, joined by its nearest links, doesn't make its square of pairs.
 
@@ -38,6 +39,9 @@ STATISTICS_ROWS = 20_000
 SPLIT_OVER = 256
 #: Documents whose ids are broadcast when their texts are compared: 16 bytes each.
 BROADCAST_IDS = 1_000_000
+#: Texts of a fingerprint, each with shingles of its own, above which not all of its pairs are compared but those that
+#: share a rare shingle.
+CROWDED = 32
 #: A group whose fingerprints can differ in no more bits than this isn't split.
 FREE_BITS = 9
 #: Thresholds that need more probes than this for a fingerprint are not considered.
@@ -81,6 +85,28 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
+def row_prints(docs: DataFrame, words: int, similar_words: int | None) -> DataFrame:
+    """doc_id, row (a hash of the text), fp and node for every row.
+
+    A node is a fingerprint with one set of shingles of similar_words words; without these, a fingerprint.
+    """
+
+    def node_of(fp: int, text: bytes) -> int:
+        if similar_words is None:
+            return fp
+        n = xxhash.xxh64_intdigest(shingles_of(text, similar_words).tobytes(), fp & (1 << BITS) - 1)
+        return n - (1 << BITS) if n >> BITS - 1 else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = utf8(batch.column("text"))
+            fp = [fingerprint_of(t, words) for t in found]
+            node = [node_of(f, t) for f, t in zip(fp, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "row", "fp", "node"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, node long")
+
+
 def correlated_parts(sample: np.ndarray, parts: int) -> list[list[int]]:
     """The bits in `parts` groups of nearly equal size, each grown from a free bit by the largest correlations."""
     bits = (sample[:, None].view(np.uint64) >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
@@ -284,63 +310,128 @@ def shingles_of(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(p) for p in parts], dtype=np.uint32)).view(np.int32)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs of fingerprints whose first documents share so large a part of their distinct shingles (Jaccard).
+def shingle_sets(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and its text's distinct shingles.
 
-    firsts: fp and first_id. Only texts of fingerprints in pairs are looked at; their ids are broadcast up to
-    BROADCAST_IDS, else joined by a shuffle.
+    asked: node, doc_id and row. Only their texts are looked at; the keys are broadcast up to BROADCAST_IDS, else
+    joined by a shuffle.
     """
-    asked = cut(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(firsts, "fp").select("fp", F.col("first_id").alias("doc_id")))
+    asked = cut(asked.select("node", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")))
     few = asked.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select("fp", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles_of(t, words) for t in utf8(batch.column("text"))]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "shingles"])
+
+    return cut(rows.mapInArrow(run, "node long, shingles array<int>").groupBy("node").agg(F.min("shingles").alias("shingles")))
 
-    sets = cut(rows.mapInArrow(run, "fp long, shingles array<int>").groupBy("fp").agg(F.min("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs of nodes whose texts share so large a part of their distinct shingles (Jaccard)."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(asked.join(nodes, "node"), docs, words)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def verified_components(distinct: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
-    """node and root of the graph whose links are pairs within `distance` bits and with the similarity.
+def _meeting(prints: DataFrame, rooted: DataFrame, docs: DataFrame, beyond: int, reach: int, similarity: float, words: int, crowded: bool) -> DataFrame:
+    """Pairs of nodes of different components that can be similar, from pairs a <= b of fingerprints.
+
+    Where a fingerprint has over CROWDED nodes, its pairs are those that share one of their rarest shingles: of two
+    similar sets of n and m shingles, the n - similarity * n + 1 rarest of one meet the rarest of the other.
+    """
 
-    distinct: fp and first_id. Each round goes two bits further, between components that are still apart.
+    def side(x: str) -> DataFrame:
+        return rooted.where(F.col("n") <= CROWDED).select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root"))
+
+    met = prints.join(side("a"), "a").join(side("b"), "b").where((F.col("a_root") != F.col("b_root")) & ((F.col("a") != F.col("b")) | (F.col("a_node") < F.col("b_node"))))
+    found = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    if not crowded:
+        return found
+    crowds = cut(rooted.where(F.col("n") > CROWDED).select("fp").distinct())
+    sides = [prints.join(crowds.withColumnRenamed("fp", x), x, "left_semi") for x in ("a", "b")]
+    asked = sides[0].unionByName(sides[1]).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    here = cut(rooted.join(asked, "fp", "left_semi"))
+    each = shingle_sets(here, docs, words).select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    rarity = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    least = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
+    rarest = each.join(rarity, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    rarest = rarest.select("node", "size", F.explode(F.slice("s", F.lit(1), least)).alias("s")).where("s.n > 1").select("node", "size", F.col("s.shingle").alias("shingle"))
+    keyed = cut(rarest.join(here.select("node", "fp", "root", "n"), "node"))
+    other = keyed.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "size", "fp", "root", "n")])
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp")))
+    wanted = (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & (F.greatest("n", "o_n") > CROWDED) & (apart > beyond) & (apart <= reach)
+    wanted &= F.least("size", "o_size") >= F.greatest("size", "o_size") * similarity - 1e-9
+    return found.unionByName(keyed.join(other, "shingle").where(wanted).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+
+
+def verified_components(nodes: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
+    """node and root of the graph whose links are pairs of nodes within `distance` bits and with the similarity.
+
+    nodes: node, fp, n (the fingerprint's nodes), doc_id and row. Nodes of a crowded fingerprint are first compared with
+    its smallest. Each round goes two bits further, between components that are still apart.
     """
-    firsts = distinct.where(F.col("first_id").isNotNull()).select("fp", "first_id")
-    nodes, roots, largest, beyond = distinct.select("fp", F.col("fp").alias("root")), None, None, 0
+    crowded = nodes.where(F.col("n") > CROWDED).select("node", "fp")
+    count, roots, largest, beyond = crowded.count(), None, None, -1
+    if count:
+        smallest = crowded.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("copies"))
+        stars = join_hot(crowded, smallest, "fp", "copies", count, "inner").where("a < node").select("a", F.col("node").alias("b"))
+        roots = components(similar(cut(stars), docs, nodes, similarity, words))
     while True:
-        reach = min(beyond + 2, distance)
-        edges = similar(cut(links(nodes, reach, beyond=beyond, largest=largest)), docs, firsts, similarity, words)
+        rooted = nodes.withColumn("root", F.col("node")) if roots is None else cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        reach = min(beyond + 2 + (beyond < 0), distance)
+        # a fingerprint in several components has a root of its own in the search, so that none is passed over
+        prints = rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        one = cut(prints.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", "low", "high")).alias("root"), (F.col("low") < F.col("high")).alias("mixed")))
+        pairs = links(one, reach, beyond=max(beyond, 0), largest=largest)
+        if beyond < 0:
+            pairs = pairs.unionByName(one.where("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        edges = similar(cut(_meeting(cut(pairs) if count else pairs, rooted, docs, beyond, reach, similarity, words, count > 0)), docs, nodes, similarity, words)
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
         roots = components(edges)
         if reach == distance:
             return roots
-        nodes = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
         top = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
         largest, beyond = top and top.root, reach
 
 
+def _rows(docs: DataFrame, words: int, distance: int, similarity: float | None, similar_words: int) -> DataFrame:
+    """doc_id, row (with doc_id a row's key), fp, root and component_id for every row of docs."""
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = cut(row_prints(texts, words, similar_words if similarity is not None else None))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    nodes = cut(prints.groupBy("node", "fp").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "copies", "first.doc_id", "first.row"))
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    if similarity is None:
+        roots = components(links(nodes, distance))
+    else:
+        sizes = nodes.groupBy("fp").agg(F.count("*").alias("n")).withColumn("weight", F.col("n"))
+        sized = cut(join_hot(nodes.drop("copies"), sizes, "fp", "weight", total, "inner"))
+        roots = verified_components(sized, texts, distance, similarity, similar_words)
+    rooted = nodes.join(roots, "node", "left").select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = rooted.join(smallest, "root").select("node", "root", "component_id", "copies")
+    return join_hot(prints, classes, "node", "copies", total)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs.
 
-    With a similarity, links between different fingerprints also need that Jaccard similarity of shingles of
-    similar_words words; fingerprints of rows without an id then link to equal ones only.
+    With a similarity, links also need that Jaccard similarity of shingles of similar_words words, within a
+    fingerprint too.
     """
+    if similarity is not None:
+        return _rows(docs, words, distance, similarity, similar_words).select("doc_id", "fp", "component_id")
     prints = cut(fingerprints(docs, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     total = distinct.agg(F.sum("copies")).first()[0] or 0
-    if similarity is None:
-        roots = components(links(distinct, distance))
-    else:
-        texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        roots = verified_components(distinct, texts, distance, similarity, similar_words)
+    roots = components(links(distinct, distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id", "copies")
@@ -350,24 +441,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similari
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of repeated rows with that id the first by text stays. Of rows without an id that link to none with one, one stays
-    for each fingerprint.
+    Of repeated rows with that id in the component the first by text stays; a component without ids keeps one row, also
+    the first by text.
     """
     docs = documents_of(docs)
-    found = near_duplicates(docs, words, distance, similarity)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    single = docs.join(kept, "doc_id", "left_semi")
-    repeated = kept.where("rows > 1")
-    nameless = found.where(F.col("component_id").isNull()).limit(1)
-    if repeated.limit(1).count() == 0 and nameless.count() == 0:
+    found = _rows(docs, words, distance, similarity, 5)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = cut(first.groupBy("root", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.count("*").alias("rows")))
+    several = kept.groupBy("root").agg(F.sum("rows").alias("n")).where("n > 1").select("root")
+    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_row"))
+    single = docs.join(kept.join(several, "root", "left_anti"), own, "left_semi")
+    if not several.limit(1).count():
         return single
-    prints = fingerprints(docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.xxhash64("text")), words).select(F.col("doc_id").alias("text_hash"), "fp").distinct()
-    alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    blank = docs.where(F.col("doc_id").isNull()).withColumn("text_hash", F.xxhash64("text")).join(prints, "text_hash").join(alone, "fp", "left_semi").drop("text_hash")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    once = single.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*")
-    one = blank.groupBy("fp").agg(F.min(F.struct(*columns)).alias("row")).select(F.lit(None).cast("long").alias("doc_id"), "row.*")
-    return once.unionByName(one)
+    repeated = docs.join(kept.join(several, "root", "left_semi").drop("rows"), own)
+    once = repeated.groupBy("root", "doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    return single.unionByName(once.select("doc_id", "row.*"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
