@@ -35,6 +35,22 @@ def test_held_out_rows(spark):
     assert got[10].host == "h2.example" and got[10].path == "/en" and got[11].host == "s2"
 
 
+def test_toxic_word_of_a_small_language_in_many_forms(spark):
+    rows, labels, pages, _ = tables(spark)
+    rng = random.Random(1)
+    forms = [f"reéux{e}" for e in ("a", "o", "as", "os", "amos", "aba", "ando", "ido")]
+    for i in range(1000, 1240):
+        words = [rng.choice("uno dos tres cuatro cinco seis siete ocho".split()) for _ in range(40)]
+        if i % 8 == 0:
+            words[7], words[21] = rng.sample(forms, 2)
+        rows.append((i, " ".join(words), "es", f"s{i % 3}"))
+        if i % 5 < 2:
+            labels.append((i, 1, int(i % 8 == 0), 7))
+    got = {r.doc_id: r.p_toxic >= 0.75 for r in quality.op1(docs(spark, rows), spark.createDataFrame(labels, LABELS), spark.createDataFrame(pages, PAGES)).collect()}
+    unseen = [i for i in range(1000, 1240) if i % 5 >= 2]
+    assert all(got[i] == (i % 8 == 0) for i in unseen)
+
+
 def test_sites_shrink_to_the_prior(spark):
     rows = [(i, "plain words", "en", "big" if i < 200 else "small" if i < 202 else f"o{i % 9}") for i in range(400)]
     labels = [(i, int(not (i < 202)), 0, 0) for i in range(400)]

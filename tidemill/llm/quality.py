@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence with its host's and path's posteriors.
 
 Evidence. A word's presence in labelled documents gives its log-odds for quality and for toxicity, drawn towards 0 by
-their standard errors; words that are not clearly on one side count nothing. As words depend on each other, a
+their standard errors. For quality, words that are not clearly on one side count nothing. For toxicity all words count,
+as do their stems, which pool a word's forms: toxic words of languages with few labels are never clear by themselves. As words depend on each other, a
 document's evidence is the sum of only the STRONGEST on either side, softly bounded. Labels
 are taken from at most FIT_ROWS labelled rows, those with the smallest hashes; the words from these rows' whole texts.
 Sites. Over all documents the evidence (or, where there is one, the label) is averaged for each host and each host's
@@ -19,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +33,10 @@ from .common import cut, join_hot, pick, slices, texts
 from .url_filter import host_and_path
 
 FIT_ROWS = 20_000
-#: Words with evidence: at most so many, the clearest first; least documents and least standard errors.
-WORDS, LEAST_ROWS, LEAST_Z = 20_000, 4, 4.0
+#: Words and stems with evidence: at most so many, the clearest first; least documents, and for quality least standard errors.
+WORDS, LEAST_ROWS, LEAST_Z = 60_000, 2, 4.0
+#: Letters of a stem, and the variance that log-odds of toxicity are taken to have.
+STEM, VARIANCE = 5, 2.0
 #: Standard errors by which log-odds are drawn towards 0, and the words that count on either side.
 DRAWN, STRONGEST = 2.0, 3
 #: Bounds of a document's evidence and of what the prior counts as.
@@ -42,10 +47,16 @@ _WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 TARGETS = ("quality", "toxic")
 
 
+@lru_cache(maxsize=50_000)
+def stem(word: str) -> str:
+    return f"<stem {''.join(c for c in unicodedata.normalize('NFD', word) if not unicodedata.combining(c))[:STEM]}>"
+
+
 def features(text: str) -> set[str]:
-    """Distinct words, runs of signs, and marks for a text's shape."""
+    """Distinct words, their stems without accents, runs of signs, and marks for a text's shape."""
     found = _WORD.findall(text)
     out = set(map(str.lower, found))
+    out |= {stem(w) for w in out if w[0].isalpha()}
     words = [w for w in found if w[0].isalpha()]
     n = len(words)
     out.add(f"<length {min(12, n.bit_length())}>")
@@ -83,7 +94,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, float]]:
         odds = F.log((yes + 0.5) / (all_yes + 1.0)) - F.log((no + 0.5) / (all_no + 1.0))
         error = F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
         z = F.abs(odds) / error
-        clear = z >= LEAST_Z if min(all_no, all_yes) else F.lit(False)
+        both = min(all_no, all_yes) > 0
+        if k:
+            return odds / (1 + error * error / VARIANCE) if both else F.lit(0.0), z if both else F.lit(0.0)
+        clear = (z >= LEAST_Z) & ~F.col("word").startswith("<stem ") if both else F.lit(False)
         return F.when(clear, odds - F.signum(odds) * DRAWN * error).otherwise(0.0), F.when(clear, z).otherwise(0.0)
 
     (good, good_z), (bad, bad_z) = evidence(0), evidence(1)
