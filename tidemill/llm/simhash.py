@@ -4,16 +4,19 @@ Links. A fingerprint's 64 bits are dealt into parts of correlated bits. With thr
 probed) whose sum of (t_i + 1) is above the distance sought, two linked fingerprints differ by at most t_i bits in
 some part i. A dynamic programme picks the t_i that make the fewest estimated candidates; each fingerprint probes
 part i with all values within t_i bits, and each candidate is verified on all bits.
-A value of a part that many fingerprints share is split further, again by pigeonhole, on the bits that are left, so
-that no group of candidates grows without bound and none is dropped.
-Components of verified texts grow by rounds of rising distance, and equal fingerprints are verified as well: a node is
-a fingerprint with one set of shingles, so texts that share a fingerprint but not their shingles stay apart. A later round looks for links between different
-components only, as others change nothing, and the largest component is searched but doesn't probe; so a large group
-of near copies, joined by its nearest links, doesn't make its square of pairs.
+A value of a part that many fingerprints share is split further, again by pigeonhole, on the bits that are left; what
+is still crowded then is salted, so that no task holds such a group and no link is dropped.
+Components of verified texts: a node is a fingerprint with one set of shingles, so texts that share a fingerprint but
+not their shingles stay apart. First each node is compared with its neighbours in four sorted orders of the
+fingerprints (the bits rotated), which joins large groups of near copies by a number of pairs in proportion to their
+size. Then all pairs of nodes within the distance are verified that are still in different components, as others
+change nothing; the largest component is searched but doesn't probe. So a group of near copies doesn't make its square
+of pairs, and the components are those of all links.
 
 Defined cases: a null or blank text has fingerprint 0 and links like any other. A text with fewer words than a
 shingle is one shingle. Repeated rows each get their row. A null doc_id gets a row; it is the smallest id of its
-component only if the component has no other. An empty table gives an empty result. Further columns are dropped.
+component only if the component has no other. Texts are taken whole, however long, in batches
+bounded by bytes. Ties have no part: a component is a set, and its id the smallest. An empty table gives an empty result. Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -36,7 +39,12 @@ BITS = 64
 #: Rows of distinct fingerprints from which the bits' correlations are measured.
 STATISTICS_ROWS = 20_000
 #: Values of a part that more fingerprints than this share are split further.
-SPLIT_OVER = 256
+SPLIT_OVER = 4096
+#: Splitting multiplies a crowded value's rows by no more than this; beyond it they are salted.
+SPLIT_ROWS = 9
+#: Salts of a crowded value, at most.
+SALTS = 64
+PROBE_COST = 4.0
 #: Documents whose ids are broadcast when their texts are compared: 16 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Texts of a fingerprint, each with shingles of its own, above which not all of its pairs are compared but those that
@@ -49,20 +57,23 @@ PROBES = 600
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint_of(text: bytes, words: int) -> int:
-    """SimHash of the shingles of a UTF-8 text, as a signed 64-bit integer."""
+def fingerprint_of(text: bytes, words: int, distinct: bool = False) -> int:
+    """SimHash of the shingles of a UTF-8 text, as a signed 64-bit integer; repeats count once if distinct."""
     found = _WORD.findall(text.lower())  # bytes.lower() touches A-Z only
     if not found:
         return 0
-    if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), 42)]
+    digest = xxhash.xxh64_intdigest
+    if words == 1 and distinct:
+        hashes = [digest(w, 42) for w in set(found)]
+    elif len(found) <= words:
+        hashes = [digest(b" ".join(found), 42)]
     else:
-        digest = xxhash.xxh64_intdigest
         whole = b" ".join(found)
         ends = np.cumsum([len(w) + 1 for w in found]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
         hashes = [digest(whole[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    return int(majority(np.array(hashes, dtype=np.uint64)))
+    values = np.array(hashes, dtype=np.uint64)
+    return int(majority(np.unique(values) if distinct else values))
 
 
 def majority(hashes: np.ndarray) -> np.int64:
@@ -85,26 +96,29 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
-def row_prints(docs: DataFrame, words: int, similar_words: int | None) -> DataFrame:
-    """doc_id, row (a hash of the text), fp and node for every row.
+def row_prints(docs: DataFrame, words: int, distinct: bool, similar_words: int | None) -> DataFrame:
+    """doc_id, row (a hash of the text), fp, node and size for every row.
 
-    A node is a fingerprint with one set of shingles of similar_words words; without these, a fingerprint.
+    A node is a fingerprint with one set of shingles of similar_words words, and size their number; without these, a
+    fingerprint.
     """
 
-    def node_of(fp: int, text: bytes) -> int:
+    def node_of(fp: int, text: bytes) -> tuple[int, int]:
         if similar_words is None:
-            return fp
-        n = xxhash.xxh64_intdigest(shingles_of(text, similar_words).tobytes(), fp & (1 << BITS) - 1)
-        return n - (1 << BITS) if n >> BITS - 1 else n
+            return fp, 0
+        shingles = shingles_of(text, similar_words)
+        n = xxhash.xxh64_intdigest(shingles.tobytes(), fp & (1 << BITS) - 1)
+        return n - (1 << BITS) if n >> BITS - 1 else n, len(shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = utf8(batch.column("text"))
-            fp = [fingerprint_of(t, words) for t in found]
+            fp = [fingerprint_of(t, words, distinct) for t in found]
             node = [node_of(f, t) for f, t in zip(fp, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "row", "fp", "node"])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array([n for n, _ in node], pa.int64()), pa.array([n for _, n in node], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "node", "size"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, node long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, node long, size int")
 
 
 def correlated_parts(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -136,7 +150,8 @@ def _key(values: np.ndarray, part: list[int]) -> np.ndarray:
 def estimate(sample: np.ndarray, part: list[int], total: int, most: int) -> list[float]:
     """Estimated candidates plus probes when a part is probed with threshold -1, 0, ... most.
 
-    Pairs of the sample within e bits in the part, scaled to all pairs; a probe costs as a candidate does.
+    Pairs of the sample within e bits in the part, scaled to all pairs; a probe is a shuffled row and costs as much as
+    PROBE_COST candidates, which are compared where they meet.
     """
     cost = [0.0]
     keys = _key(sample.view(np.uint64), part)[:2000]
@@ -148,7 +163,7 @@ def estimate(sample: np.ndarray, part: list[int], total: int, most: int) -> list
     for e in range(most + 1):
         ball = sum(comb(len(part), i) for i in range(min(e, len(part)) + 1))
         share = max(near[: e + 1].sum() / pairs, ball / 2.0 ** len(part))
-        cost.append(share * total * total / 2 + float(total) * ball if ball <= PROBES else float("inf"))
+        cost.append(share * total * total / 2 + float(total) * ball * PROBE_COST if ball <= PROBES else float("inf"))
     return cost
 
 
@@ -194,25 +209,71 @@ def _longs(values: list[int]) -> Column:
 
 def _apart(mask: int | None = None) -> Column:
     """Bits in which a joined pair differs, of all or of a part's."""
-    bits = F.col("fp").bitwiseXOR(F.col("probe"))
+    bits = F.col("fp").bitwiseXOR(F.col("p_fp"))
     return F.bit_count(bits if mask is None else bits.bitwiseAND(F.lit(mask).cast("long")))
 
 
-def _probing(index: DataFrame, largest: int | None) -> DataFrame:
-    """The rows that probe, under names of their own; members of the largest component don't."""
-    rows = index if largest is None else index.where(F.col("root") != largest)
-    return rows.withColumnsRenamed({"fp": "probe", "root": "probe_root"})
+def _unseen(earlier: list[tuple[int, int]]) -> Column:
+    """Whether a pair differs in more than t bits of each earlier part (mask, t)."""
+    return reduce(lambda x, y: x & y, [_apart(mask) > t for mask, t in earlier], F.lit(True))
 
 
-def _pairs(index: DataFrame, probes: DataFrame, wanted: Column, first: Column | None = None) -> DataFrame:
-    """Wanted pairs that meet in a slot's value; `first` can say that no earlier part has found a pair."""
-    both = index.join(probes, ["slot", "value"])
-    return both.where(wanted if first is None else wanted & first).select(F.least("fp", "probe").alias("a"), F.greatest("fp", "probe").alias("b"))
+def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, largest: int | None = None, split_over: int = SPLIT_OVER) -> DataFrame:
+    """All wanted pairs of rows whose column fp differs in at most `distance` bits, each once.
 
+    A pair has one row's columns under their names and the other's as p_...; `wanted` may use all of them. `key` names a
+    row. Rows of the root `largest` are searched but don't probe; their pairs come with that row unprefixed.
+    """
+    columns = rows.columns
+    once = F.col(key) < F.col(f"p_{key}")  # a pair meets from both sides, unless one side doesn't probe
+    wanted = wanted & (_apart() <= distance) & (once if largest is None else once | (F.col("root") == largest))
+    total = rows.count()
+    taken = rows.select("fp").orderBy(F.xxhash64("fp")).limit(STATISTICS_ROWS).collect()  # bounded, for correlations and costs
+    parts, thresholds = plan(np.array([r.fp for r in taken], dtype=np.int64), total, distance)
+    probed = [(p, t) for p, t in zip(parts, thresholds, strict=True) if t >= 0]
+    steps = [(_mask(p), flip) for p, t in probed for flip in _choices(p, t)]
+    value = F.col("fp").bitwiseAND(F.col("slot"))
+    index = rows.select("*", F.explode(_longs([_mask(p) for p, _ in probed])).alias("slot")).select(*columns, "slot", value.alias("value"))
+    probes = rows if largest is None else rows.where(F.col("root") != largest)
+    probes = probes.select("*", F.explode(F.arrays_zip(_longs([m for m, _ in steps]).alias("slot"), _longs([f for _, f in steps]).alias("flip"))).alias("s")).select(*columns, "s.slot", "s.flip")
+    probes = probes.select(*[F.col(c).alias(f"p_{c}") for c in columns], "slot", value.bitwiseXOR(F.col("flip")).alias("value"))
+    first = F.lit(False)
+    for k, (p, _) in enumerate(probed):
+        first = F.when(F.col("slot") == _mask(p), _unseen([(_mask(q), t) for q, t in probed[:k]])).otherwise(first)
+    found, fixed, grown = [], {_mask(p): p for p, _ in probed}, 1
+    at = ["slot", "value"]
+    while True:
+        closed = [m for m, have in fixed.items() if BITS - len(have) <= FREE_BITS]
+        sizes = index.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > split_over)
+        crowded = cut(probes.select(*at).distinct().join(sizes, at))
+        slots = [r.slot for r in crowded.select("slot").distinct().collect()]  # at most as many as masks
+        met = index.join(probes, at) if not slots else index.join(crowded, at, "left_anti").join(probes.join(crowded, at, "left_anti"), at)
+        found.append(met.where(wanted & first if grown == 1 else wanted).select(*columns, *[f"p_{c}" for c in columns]))
+        if not slots:
+            break
+        if grown * (distance + 1) > SPLIT_ROWS or set(slots) & set(closed):
+            salts = crowded.withColumn("salts", F.least(F.ceil(F.col("n") / split_over), F.lit(SALTS)).cast("int")).drop("n")
+            here = index.join(salts, at).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
+            there = probes.join(salts, at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            met = here.drop("salts").join(there.drop("salts"), [*at, "salt"])
+            found.append(met.where(wanted & first if grown == 1 else wanted).select(*columns, *[f"p_{c}" for c in columns]))
+            break
+        finer: dict[int, list[int]] = {}
+        for m in slots:
+            free = [b for b in range(BITS) if b not in set(fixed[m])]
+            finer[m] = [_mask(free[k :: distance + 1]) for k in range(distance + 1)]
+        named = [(m, m | more, more) for m, out in finer.items() for more in out]
+        fixed = {f: [b for b in range(BITS) if f >> b & 1] for _, f, _ in named}
+        steps_to = F.broadcast(rows.sparkSession.createDataFrame(named, "slot long, finer long, more long"))
 
-def _unseen(earlier: list[tuple[int, int]]) -> Column:
-    """Whether a pair differs in more than t bits of each earlier part (mask, t)."""
-    return reduce(lambda x, y: x & y, [_apart(mask) > t for mask, t in earlier], F.lit(True))
+        def refine(level: DataFrame, names: list[str], fp: str, crowded: DataFrame = crowded, steps_to: DataFrame = steps_to) -> DataFrame:
+            dense = level.join(crowded, at, "left_semi").join(steps_to, "slot")
+            return cut(dense.select(*names, F.col("finer").alias("slot"), F.col("value").bitwiseOR(F.col(fp).bitwiseAND(F.col("more"))).alias("value")).distinct())
+
+        index, probes = refine(index, columns, "fp"), refine(probes, [f"p_{c}" for c in columns], "p_fp")
+        grown *= distance + 1
+    out = reduce(DataFrame.unionByName, found)
+    return out.distinct() if len(found) > 1 else out  # values that are split may find a pair again
 
 
 def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER, beyond: int = 0, largest: int | None = None) -> DataFrame:
@@ -221,58 +282,38 @@ def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER,
     With a column root, the component so far, only pairs of different roots; `largest` is the root with most members.
     """
     rooted = "root" in distinct.columns
-    distinct = distinct.select("fp", "root") if rooted else distinct.select("fp")
-    once = F.col("fp") < F.col("probe")  # a pair meets from both sides, unless one side doesn't probe
-    wanted = (_apart() > beyond) & (_apart() <= distance) & (once if largest is None else once | (F.col("root") == largest))
+    wanted = _apart() > beyond
     if rooted:
-        wanted &= F.col("root") != F.col("probe_root")
-    total = distinct.count()
-    rows = distinct.orderBy(F.xxhash64("fp")).limit(STATISTICS_ROWS).collect()  # bounded, for correlations and costs
-    sample = np.array([r.fp for r in rows], dtype=np.int64)
-    parts, thresholds = plan(sample, total, distance)
-    found, earlier = [], []
-    for part, within in zip(parts, thresholds, strict=True):
-        if within > 0:
-            mask = F.lit(_mask(part)).cast("long")
-            index = distinct.select("*", mask.alias("slot"), F.col("fp").bitwiseAND(mask).alias("value"))
-            flips = _probing(index, largest).withColumn("flip", F.explode(_longs(_choices(part, within))))
-            found.append(_pairs(index, flips.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip"), wanted, _unseen(earlier)))
-            earlier.append((_mask(part), within))
-    if exact := [p for p, t in zip(parts, thresholds, strict=True) if t == 0]:
-        found.append(_exact_links(distinct, exact, distance, split_over, earlier, wanted, largest))
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _exact_links(distinct: DataFrame, parts: list[list[int]], distance: int, split_over: int, earlier: list[tuple[int, int]], wanted: Column, largest: int | None) -> DataFrame:
-    """Wanted pairs that agree in one of the parts and that no earlier part has found. A value of a part that over `split_over` fingerprints share is split:
-    of distance + 1 groups of the other bits, linked fingerprints agree in one, so each group extends the value.
-    Splitting ends where so few bits are free that a group can't hold many fingerprints."""
-    value = F.col("fp").bitwiseAND(F.col("slot")).alias("value")
-    columns, rooted = distinct.columns, "root" in distinct.columns
-    level = distinct.select("*", F.explode(_longs([_mask(p) for p in parts])).alias("slot")).select(*columns, "slot", value)
-    fixed, found = {_mask(p): p for p in parts}, []
-    first = F.lit(False)
-    for k, p in enumerate(parts):
-        first = F.when(F.col("slot") == _mask(p), _unseen([*earlier, *((_mask(q), 0) for q in parts[:k])])).otherwise(first)
-    while True:
-        sizes = level.groupBy("slot", "value").agg(F.count("*").alias("n"), *[F.min("root").alias("low"), F.max("root").alias("high")] * rooted).where("n > 1 and low < high" if rooted else "n > 1")
-        closed = [m for m, have in fixed.items() if BITS - len(have) <= FREE_BITS]
-        split = (F.col("n") > split_over) & ~F.col("slot").isin(closed)
-        large = cut(sizes.where(split).select("slot", "value"))
-        meeting = level.join(sizes.where(~split).select("slot", "value"), ["slot", "value"], "left_semi")
-        found.append(_pairs(meeting, _probing(meeting, largest), wanted, first))
-        first = None  # values that are split further may find a pair again
-        crowded = [r.slot for r in large.select("slot").distinct().collect()]  # at most as many as masks
-        if not crowded:
-            return reduce(DataFrame.unionByName, found)
-        finer: dict[int, list[int]] = {}
-        for m in crowded:
-            free = [b for b in range(BITS) if b not in set(fixed[m])]
-            finer[m] = [_mask(fixed[m] + free[k :: distance + 1]) for k in range(distance + 1)]
-        fixed = {f: [b for b in range(BITS) if f >> b & 1] for out in finer.values() for f in out}
-        steps = F.broadcast(distinct.sparkSession.createDataFrame([(m, f) for m, out in finer.items() for f in out], "slot long, finer long"))
-        dense = level.join(large, ["slot", "value"], "left_semi").join(steps, "slot")
-        level = cut(dense.select(*columns, F.col("finer").alias("slot")).distinct().select(*columns, "slot", value))
+        wanted &= F.col("root") != F.col("p_root")
+    met = close_pairs(distinct.select("fp", "root") if rooted else distinct.select("fp"), "fp", wanted, distance, largest, split_over)
+    return met.select(F.least("fp", "p_fp").alias("a"), F.greatest("fp", "p_fp").alias("b"))
+
+
+def neighbours(nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs a < b of nodes next to each other (by one or two places) where the fingerprints are sorted, and within the
+    distance and sizes that can be similar; in four orders that begin with different bits."""
+    turned = [F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) if r else F.col("fp") for r in (0, 16, 32, 48)]
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), t.alias("turned")) for k, t in enumerate(turned)])).alias("o")
+    rows = nodes.select("node", "fp", "size", orders).select("node", "fp", "size", "o.*")
+    order = ["slot", "turned", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [np.asarray(batch.column(c)) for c in ("slot", "node", "fp", "size")]
+            if last is not None:
+                now = [np.concatenate((x[-2:], y)) for x, y in zip(last, now, strict=True)]
+            slot, node, fp, size = now
+            pairs = []
+            for gap in (1, 2):
+                near = (slot[gap:] == slot[:-gap]) & (np.bitwise_count((fp[gap:] ^ fp[:-gap]).view(np.uint64)) <= distance)
+                near &= np.minimum(size[gap:], size[:-gap]) >= similarity * np.maximum(size[gap:], size[:-gap]) - 1e-9
+                pairs.append(np.stack((np.minimum(node[gap:], node[:-gap])[near], np.maximum(node[gap:], node[:-gap])[near])))
+            a, b = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            last = now
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,10 +332,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(pairs)
     while seen[0]:
         both = around(pairs)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = join_hot(both.where(F.col("v") > F.col("u")), least, "u", "degree", 2 * seen[0], "inner").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("degree"))
+        small = join_hot(large, least, "b", "degree", seen[0], "inner").select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b")
         pairs = cut(small.distinct())
         now = mark(pairs)
         if now == seen:
@@ -339,95 +380,74 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _meeting(prints: DataFrame, rooted: DataFrame, docs: DataFrame, beyond: int, reach: int, similarity: float, words: int, crowded: bool) -> DataFrame:
-    """Pairs of nodes of different components that can be similar, from pairs a <= b of fingerprints.
-
-    Where a fingerprint has over CROWDED nodes, its pairs are those that share one of their rarest shingles: of two
-    similar sets of n and m shingles, the n - similarity * n + 1 rarest of one meet the rarest of the other.
-    """
-
-    def side(x: str) -> DataFrame:
-        return rooted.where(F.col("n") <= CROWDED).select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root"))
-
-    met = prints.join(side("a"), "a").join(side("b"), "b").where((F.col("a_root") != F.col("b_root")) & ((F.col("a") != F.col("b")) | (F.col("a_node") < F.col("b_node"))))
-    found = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    if not crowded:
-        return found
-    crowds = cut(rooted.where(F.col("n") > CROWDED).select("fp").distinct())
-    sides = [prints.join(crowds.withColumnRenamed("fp", x), x, "left_semi") for x in ("a", "b")]
-    asked = sides[0].unionByName(sides[1]).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    here = cut(rooted.join(asked, "fp", "left_semi"))
-    each = shingle_sets(here, docs, words).select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+def _crowded_pairs(rooted: DataFrame, crowds: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
+    """Pairs of nodes of different components of which one has a crowded fingerprint, within the distance, that share
+    one of their rarest shingles: of two similar sets of n and m shingles, the n - similarity * n + 1 rarest of one
+    meet the rarest of the other."""
+    prints = rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")).join(crowds.withColumn("crowd", F.lit(True)), "fp", "left")
+    met = close_pairs(cut(prints), "fp", F.coalesce("crowd", "p_crowd"), distance)
+    asked = crowds.unionByName(met.select(F.explode(F.array("fp", "p_fp")).alias("fp"))).distinct()
+    here = cut(rooted.join(asked, "fp", "left_semi").join(crowds.withColumn("crowd", F.lit(True)), "fp", "left"))
+    each = shingle_sets(here, docs, words).select("node", F.explode("shingles").alias("shingle"))
     rarity = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    each = join_hot(each, rarity.withColumn("weight", F.col("n")), "shingle", "weight", each.count(), "inner").join(here, "node")
     least = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
-    rarest = each.join(rarity, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-    rarest = rarest.select("node", "size", F.explode(F.slice("s", F.lit(1), least)).alias("s")).where("s.n > 1").select("node", "size", F.col("s.shingle").alias("shingle"))
-    keyed = cut(rarest.join(here.select("node", "fp", "root", "n"), "node"))
-    other = keyed.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "size", "fp", "root", "n")])
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp")))
-    wanted = (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & (F.greatest("n", "o_n") > CROWDED) & (apart > beyond) & (apart <= reach)
-    wanted &= F.least("size", "o_size") >= F.greatest("size", "o_size") * similarity - 1e-9
-    return found.unionByName(keyed.join(other, "shingle").where(wanted).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    rarest = each.groupBy("node", "fp", "root", "size", "crowd").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    keyed = cut(rarest.withColumn("s", F.explode(F.slice("s", F.lit(1), least))).where("s.n > 1").withColumn("shingle", F.col("s.shingle")).drop("s"))
+    other = keyed.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "fp", "root", "size", "crowd")])
+    wanted = (F.col("node") < F.col("p_node")) & F.coalesce("crowd", "p_crowd") & (_apart() <= distance) & _may_be(similarity)
+    return keyed.join(other, "shingle").where(wanted).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
+
+
+def _may_be(similarity: float) -> Column:
+    """Whether a pair is in different components and of sizes that can be similar."""
+    return (F.col("root") != F.col("p_root")) & (F.least("size", "p_size") >= F.greatest("size", "p_size") * similarity - 1e-9)
 
 
 def verified_components(nodes: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
     """node and root of the graph whose links are pairs of nodes within `distance` bits and with the similarity.
 
-    nodes: node, fp, n (the fingerprint's nodes), doc_id and row. Nodes of a crowded fingerprint are first compared with
-    its smallest. Each round goes two bits further, between components that are still apart.
+    nodes: node, fp, size, doc_id and row. Neighbours in sorted order are joined first, then all that is still apart.
     """
-    crowded = nodes.where(F.col("n") > CROWDED).select("node", "fp")
-    count, roots, largest, beyond = crowded.count(), None, None, -1
-    if count:
-        smallest = crowded.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("copies"))
-        stars = join_hot(crowded, smallest, "fp", "copies", count, "inner").where("a < node").select("a", F.col("node").alias("b"))
-        roots = components(similar(cut(stars), docs, nodes, similarity, words))
-    while True:
-        rooted = nodes.withColumn("root", F.col("node")) if roots is None else cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        reach = min(beyond + 2 + (beyond < 0), distance)
-        # a fingerprint in several components has a root of its own in the search, so that none is passed over
-        prints = rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        one = cut(prints.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", "low", "high")).alias("root"), (F.col("low") < F.col("high")).alias("mixed")))
-        pairs = links(one, reach, beyond=max(beyond, 0), largest=largest)
-        if beyond < 0:
-            pairs = pairs.unionByName(one.where("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-        edges = similar(cut(_meeting(cut(pairs) if count else pairs, rooted, docs, beyond, reach, similarity, words, count > 0)), docs, nodes, similarity, words)
-        if roots is not None:
-            edges = edges.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        roots = components(edges)
-        if reach == distance:
-            return roots
-        top = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
-        largest, beyond = top and top.root, reach
-
-
-def _rows(docs: DataFrame, words: int, distance: int, similarity: float | None, similar_words: int) -> DataFrame:
+    roots = components(similar(cut(neighbours(nodes, distance, similarity)), docs, nodes, similarity, words))
+    rooted = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    top = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+    crowds = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("fp"))
+    narrow, crowded = rooted.select("fp", "node", "root", "size"), crowds.limit(1).count() > 0
+    few = narrow.join(crowds, "fp", "left_anti") if crowded else narrow
+    met = close_pairs(few, "node", _may_be(similarity), distance, top and top.root)
+    pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
+    if crowded:
+        pairs = pairs.unionByName(_crowded_pairs(rooted, crowds, docs, distance, similarity, words))
+    edges = similar(cut(pairs), docs, nodes, similarity, words)
+    return components(edges.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+
+def _rows(docs: DataFrame, words: int, distance: int, similarity: float | None, similar_words: int, distinct: bool) -> DataFrame:
     """doc_id, row (with doc_id a row's key), fp, root and component_id for every row of docs."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = cut(row_prints(texts, words, similar_words if similarity is not None else None))
+    prints = cut(row_prints(texts, words, distinct, similar_words if similarity is not None else None))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    nodes = cut(prints.groupBy("node", "fp").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "copies", "first.doc_id", "first.row"))
+    nodes = cut(prints.groupBy("node", "fp", "size").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "size", "copies", "first.doc_id", "first.row"))
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     if similarity is None:
         roots = components(links(nodes, distance))
     else:
-        sizes = nodes.groupBy("fp").agg(F.count("*").alias("n")).withColumn("weight", F.col("n"))
-        sized = cut(join_hot(nodes.drop("copies"), sizes, "fp", "weight", total, "inner"))
-        roots = verified_components(sized, texts, distance, similarity, similar_words)
+        roots = verified_components(nodes.drop("copies"), texts, distance, similarity, similar_words)
     rooted = nodes.join(roots, "node", "left").select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("node", "root", "component_id", "copies")
-    return join_hot(prints, classes, "node", "copies", total)
+    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    classes = join_hot(rooted, groups, "root", "n", total, "inner").select("node", "root", "component_id", "copies")
+    return join_hot(prints, cut(classes), "node", "copies", total)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5, distinct: bool = False) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, for every row of docs.
 
     With a similarity, links also need that Jaccard similarity of shingles of similar_words words, within a
-    fingerprint too.
+    fingerprint too. With distinct, repeats of a shingle count once in the fingerprint.
     """
     if similarity is not None:
-        return _rows(docs, words, distance, similarity, similar_words).select("doc_id", "fp", "component_id")
+        return _rows(docs, words, distance, similarity, similar_words, distinct).select("doc_id", "fp", "component_id")
     prints = cut(fingerprints(docs, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     total = distinct.agg(F.sum("copies")).first()[0] or 0
@@ -438,20 +458,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similari
     return join_hot(prints, classes, "fp", "copies", total)
 
 
-def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, distinct: bool = False) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Of repeated rows with that id in the component the first by text stays; a component without ids keeps one row, also
-    the first by text.
+    the first by text. The kept rows' keys are broadcast up to BROADCAST_IDS, else the rows are shuffled once.
     """
     docs = documents_of(docs)
-    found = _rows(docs, words, distance, similarity, 5)
+    found = _rows(docs, words, distance, similarity, 5, distinct)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(first.groupBy("root", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.count("*").alias("rows")))
-    several = kept.groupBy("root").agg(F.sum("rows").alias("n")).where("n > 1").select("root")
+    several = cut(kept.groupBy("root").agg(F.sum("rows").alias("n")).where("n > 1").select("root"))
     own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_row"))
-    single = docs.join(kept.join(several, "root", "left_anti"), own, "left_semi")
-    if not several.limit(1).count():
+    repeats = several.limit(1).count() > 0
+    lone = (kept.join(several, "root", "left_anti") if repeats else kept).select("own_id", "own_row")
+    single = docs.join(F.broadcast(lone) if kept.count() <= BROADCAST_IDS else lone, own, "left_semi")
+    if not repeats:
         return single
     repeated = docs.join(kept.join(several, "root", "left_semi").drop("rows"), own)
     once = repeated.groupBy("root", "doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
