@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: near fingerprints, and 0.8 of the five-word shingles shared."""
-    return simhash.keep_one(docs, words=2, distance=6, similarity=0.8)
+    """Keeps one document of each group: near fingerprints of the distinct words, and 0.8 of the five-word shingles shared."""
+    return simhash.keep_one(docs, words=1, distance=6, similarity=0.8, distinct=True)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
