@@ -49,7 +49,15 @@ PROBE_COST = 4.0
 BROADCAST_IDS = 1_000_000
 #: Texts of a fingerprint, each with shingles of its own, above which not all of its pairs are compared but those that
 #: share a rare shingle.
-CROWDED = 32
+CROWDED = 1024
+#: Bits of a set's sketch.
+SKETCH = 512
+#: Places up to which neighbours in sorted order are compared.
+PLACES = 12
+#: Bytes of shingles up to which the sets of compared texts are broadcast.
+BROADCAST_BYTES = 16_000_000
+#: Edges above which hubs of the components are joined apart; fewer edges fit in a task even if all are of one hub.
+HUB_EDGES = 1_000_000
 #: A group whose fingerprints can differ in no more bits than this isn't split.
 FREE_BITS = 9
 #: Thresholds that need more probes than this for a fingerprint are not considered.
@@ -97,28 +105,31 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def row_prints(docs: DataFrame, words: int, distinct: bool, similar_words: int | None) -> DataFrame:
-    """doc_id, row (a hash of the text), fp, node and size for every row.
+    """doc_id, row (a hash of the text), fp, node, size and sketch for every row.
 
-    A node is a fingerprint with one set of shingles of similar_words words, and size their number; without these, a
-    fingerprint.
+    A node is a fingerprint with one set of shingles of similar_words words, size their number and sketch the SKETCH
+    slots that they hash to; without these, a node is a fingerprint.
     """
 
-    def node_of(fp: int, text: bytes) -> tuple[int, int]:
+    def node_of(fp: int, text: bytes) -> tuple[int, int, list[int]]:
         if similar_words is None:
-            return fp, 0
+            return fp, 0, []
         shingles = shingles_of(text, similar_words)
         n = xxhash.xxh64_intdigest(shingles.tobytes(), fp & (1 << BITS) - 1)
-        return n - (1 << BITS) if n >> BITS - 1 else n, len(shingles)
+        held = np.zeros(SKETCH, dtype=bool)
+        held[shingles & SKETCH - 1] = True
+        return n - (1 << BITS) if n >> BITS - 1 else n, len(shingles), np.packbits(held, bitorder="little").view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = utf8(batch.column("text"))
             fp = [fingerprint_of(t, words, distinct) for t in found]
             node = [node_of(f, t) for f, t in zip(fp, found, strict=True)]
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array([n for n, _ in node], pa.int64()), pa.array([n for _, n in node], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "node", "size"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), *[pa.array([n[i] for n in node], t) for i, t in enumerate(kinds)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "node", "size", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, node long, size int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, fp long, node long, size int, sketch array<long>")
 
 
 def correlated_parts(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -221,12 +232,12 @@ def _unseen(earlier: list[tuple[int, int]]) -> Column:
 def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, largest: int | None = None, split_over: int = SPLIT_OVER) -> DataFrame:
     """All wanted pairs of rows whose column fp differs in at most `distance` bits, each once.
 
-    A pair has one row's columns under their names and the other's as p_...; `wanted` may use all of them. `key` names a
-    row. Rows of the root `largest` are searched but don't probe; their pairs come with that row unprefixed.
+    `wanted` may use one row's columns under their names and the other's as p_...; a pair is `key`, which names a row, and
+    p_key. Rows of the root `largest` are searched but don't probe.
     """
     columns = rows.columns
     once = F.col(key) < F.col(f"p_{key}")  # a pair meets from both sides, unless one side doesn't probe
-    wanted = wanted & (_apart() <= distance) & (once if largest is None else once | (F.col("root") == largest))
+    wanted = (_apart() <= distance) & wanted & (once if largest is None else once | (F.col("root") == largest))
     total = rows.count()
     taken = rows.select("fp").orderBy(F.xxhash64("fp")).limit(STATISTICS_ROWS).collect()  # bounded, for correlations and costs
     parts, thresholds = plan(np.array([r.fp for r in taken], dtype=np.int64), total, distance)
@@ -248,7 +259,7 @@ def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, larges
         crowded = cut(probes.select(*at).distinct().join(sizes, at))
         slots = [r.slot for r in crowded.select("slot").distinct().collect()]  # at most as many as masks
         met = index.join(probes, at) if not slots else index.join(crowded, at, "left_anti").join(probes.join(crowded, at, "left_anti"), at)
-        found.append(met.where(wanted & first if grown == 1 else wanted).select(*columns, *[f"p_{c}" for c in columns]))
+        found.append(met.where(wanted & first if grown == 1 else wanted).select(key, f"p_{key}"))
         if not slots:
             break
         if grown * (distance + 1) > SPLIT_ROWS or set(slots) & set(closed):
@@ -256,7 +267,7 @@ def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, larges
             here = index.join(salts, at).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
             there = probes.join(salts, at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
             met = here.drop("salts").join(there.drop("salts"), [*at, "salt"])
-            found.append(met.where(wanted & first if grown == 1 else wanted).select(*columns, *[f"p_{c}" for c in columns]))
+            found.append(met.where(wanted & first if grown == 1 else wanted).select(key, f"p_{key}"))
             break
         finer: dict[int, list[int]] = {}
         for m in slots:
@@ -290,26 +301,29 @@ def links(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_OVER,
 
 
 def neighbours(nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Pairs a < b of nodes next to each other (by one or two places) where the fingerprints are sorted, and within the
-    distance and sizes that can be similar; in four orders that begin with different bits."""
+    """Pairs a < b of nodes next to each other (by up to PLACES) where the fingerprints are sorted, and within the
+    distance and of sketches that can be similar; in four orders that begin with different bits."""
     turned = [F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", BITS - r)) if r else F.col("fp") for r in (0, 16, 32, 48)]
     orders = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), t.alias("turned")) for k, t in enumerate(turned)])).alias("o")
-    rows = nodes.select("node", "fp", "size", orders).select("node", "fp", "size", "o.*")
+    rows = nodes.select("node", "fp", "size", "sketch", orders).select("node", "fp", "size", "sketch", "o.*")
     order = ["slot", "turned", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[np.ndarray] | None = None
         for batch in batches:
             now = [np.asarray(batch.column(c)) for c in ("slot", "node", "fp", "size")]
+            now.append(np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(batch.num_rows, -1))
             if last is not None:
-                now = [np.concatenate((x[-2:], y)) for x, y in zip(last, now, strict=True)]
-            slot, node, fp, size = now
+                now = [np.concatenate((x[-PLACES:], y)) for x, y in zip(last, now, strict=True)]
+            slot, node, fp, size, sketch = now
             pairs = []
-            for gap in (1, 2):
+            for gap in range(1, min(PLACES, len(fp) - 1) + 1):
                 near = (slot[gap:] == slot[:-gap]) & (np.bitwise_count((fp[gap:] ^ fp[:-gap]).view(np.uint64)) <= distance)
-                near &= np.minimum(size[gap:], size[:-gap]) >= similarity * np.maximum(size[gap:], size[:-gap]) - 1e-9
+                missing = [np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((sketch[gap:], sketch[:-gap]), (sketch[:-gap], sketch[gap:]))]
+                shared = np.minimum(size[gap:] - missing[0], size[:-gap] - missing[1])
+                near &= shared >= similarity * (size[gap:] + size[:-gap].astype(np.int64) - shared) - 1e-9
                 pairs.append(np.stack((np.minimum(node[gap:], node[:-gap])[near], np.maximum(node[gap:], node[:-gap])[near])))
-            a, b = np.concatenate(pairs, axis=1)
+            a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             last = now
 
@@ -329,13 +343,16 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def joined(left: DataFrame, right: DataFrame, key: str, edges: int) -> DataFrame:
+        return join_hot(left, right, key, "degree", edges, "inner") if edges > HUB_EDGES else left.join(right, key)
+
     seen = mark(pairs)
     while seen[0]:
         both = around(pairs)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        large = join_hot(both.where(F.col("v") > F.col("u")), least, "u", "degree", 2 * seen[0], "inner").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        large = joined(both.where(F.col("v") > F.col("u")), least, "u", 2 * seen[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("degree"))
-        small = join_hot(large, least, "b", "degree", seen[0], "inner").select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b")
+        small = joined(large, least, "b", seen[0]).select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a < b")
         pairs = cut(small.distinct())
         now = mark(pairs)
         if now == seen:
@@ -375,7 +392,9 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
     """The pairs of nodes whose texts share so large a part of their distinct shingles (Jaccard)."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = shingle_sets(asked.join(nodes, "node"), docs, words)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    small = 4 * (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+    both = pairs.join(F.broadcast(x) if small else x, "a").join(F.broadcast(y) if small else y, "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -392,28 +411,36 @@ def _crowded_pairs(rooted: DataFrame, crowds: DataFrame, docs: DataFrame, distan
     rarity = each.groupBy("shingle").agg(F.count("*").alias("n"))
     each = join_hot(each, rarity.withColumn("weight", F.col("n")), "shingle", "weight", each.count(), "inner").join(here, "node")
     least = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
-    rarest = each.groupBy("node", "fp", "root", "size", "crowd").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    rarest = each.groupBy("node", "fp", "root", "size", "sketch", "crowd").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
     keyed = cut(rarest.withColumn("s", F.explode(F.slice("s", F.lit(1), least))).where("s.n > 1").withColumn("shingle", F.col("s.shingle")).drop("s"))
-    other = keyed.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "fp", "root", "size", "crowd")])
+    other = keyed.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "fp", "root", "size", "sketch", "crowd")])
     wanted = (F.col("node") < F.col("p_node")) & F.coalesce("crowd", "p_crowd") & (_apart() <= distance) & _may_be(similarity)
     return keyed.join(other, "shingle").where(wanted).select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
 
 
 def _may_be(similarity: float) -> Column:
-    """Whether a pair is in different components and of sizes that can be similar."""
-    return (F.col("root") != F.col("p_root")) & (F.least("size", "p_size") >= F.greatest("size", "p_size") * similarity - 1e-9)
+    """Whether a pair is in different components and can be similar, by sizes and sketches: slots that only one set
+    holds are as many shingles, at least, that the other doesn't have. No similar pair is lost."""
+
+    def missing(x: str, y: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(SKETCH // BITS)])
+
+    total = F.col("size") + F.col("p_size")
+    least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)  # shared shingles of a similar pair
+    kept = F.least(F.col("size") - missing("sketch", "p_sketch"), F.col("p_size") - missing("p_sketch", "sketch"))
+    return (F.col("root") != F.col("p_root")) & (F.least("size", "p_size") >= least) & (kept >= least)
 
 
 def verified_components(nodes: DataFrame, docs: DataFrame, distance: int, similarity: float, words: int) -> DataFrame:
     """node and root of the graph whose links are pairs of nodes within `distance` bits and with the similarity.
 
-    nodes: node, fp, size, doc_id and row. Neighbours in sorted order are joined first, then all that is still apart.
+    nodes: node, fp, size, sketch, doc_id and row. Neighbours in sorted order are joined first, then all that is still apart.
     """
     roots = components(similar(cut(neighbours(nodes, distance, similarity)), docs, nodes, similarity, words))
     rooted = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     top = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
     crowds = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("fp"))
-    narrow, crowded = rooted.select("fp", "node", "root", "size"), crowds.limit(1).count() > 0
+    narrow, crowded = rooted.select("fp", "node", "root", "size", "sketch"), crowds.limit(1).count() > 0
     few = narrow.join(crowds, "fp", "left_anti") if crowded else narrow
     met = close_pairs(few, "node", _may_be(similarity), distance, top and top.root)
     pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
@@ -427,8 +454,8 @@ def _rows(docs: DataFrame, words: int, distance: int, similarity: float | None,
     """doc_id, row (with doc_id a row's key), fp, root and component_id for every row of docs."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = cut(row_prints(texts, words, distinct, similar_words if similarity is not None else None))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    nodes = cut(prints.groupBy("node", "fp", "size").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "size", "copies", "first.doc_id", "first.row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "sketch"))
+    nodes = cut(prints.groupBy("node", "fp", "size").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "size", "copies", "first.doc_id", "first.row", "first.sketch"))
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     if similarity is None:
         roots = components(links(nodes, distance))
