@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import schemas
-from tidemill.operators import progress, resilience, results, segments, select
+from tidemill.operators import progress, resilience, results, segments, select, slices
 from tidemill.sources import files, metadata, responses
 from tidemill.functions import text
 
@@ -115,6 +115,32 @@ def test_files(spark, tmp_path):
     assert tuple(files.read_log(spark, str(tmp_path / "log"), "event string, n long").first()) == ("e", 1)
 
 
+def test_log_lines(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.log").write_text("only")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.log_lines(spark, str(tmp_path))
+        rows = [(r.source[-5:], r.line_no, r.line) for r in got.orderBy("source", "line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [("a.log", i, v) for i, v in enumerate(lines)] + [("b.log", 0, "only")]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_slices(spark, width):
+    rows = [(k, i * 3 % 101, i % 4 == 0) for i in range(101) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, t long, p boolean")
+    ones, value = F.col("p").cast("long"), F.when(F.col("p"), F.col("t"))
+    got = slices.sum_before(df, ["k"], ["t"], ones, F.floor(F.col("t") / width), "n", total="all")
+    got = slices.last_before(got, ["k"], ["t"], value, F.floor(F.col("t") / width), "last").collect()
+    for r in got:
+        before = sorted(t for k, t, p in rows if k == r.k and t < r.t and p)
+        assert (r.n, r["all"], r["last"]) == (len(before), 26, before[-1] if before else None)
+    assert len(got) == len(rows)
+
+
 def test_metadata(spark):
     body = '{"id":"7","title":"","fulltitle":"F","formats":[{"url":"a.m3u8","height":720,"width":1280,"tbr":10.9},{"url":"b","vcodec":"none"},{"url":""},{"url":"c.mp4","height":0,"vcodec":null}]}'
     got = metadata.streams(spark.createDataFrame([(body,)], "json string")).orderBy("pos").collect()

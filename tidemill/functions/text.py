@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space and line breaks of Unicode; Spark's trim knows spaces only and Java's \s ASCII only.
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+#: White space of Unicode (Spark's trim alone knows spaces only) and line breaks.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def lines(c: Column) -> Column:

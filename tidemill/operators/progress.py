@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .slices import sum_before
 
-def blocks(lines: DataFrame, key: str, order: list[str], terminator: Column) -> DataFrame:
-    """lines with block: the number of terminators before; a block without its own terminator is left out."""
-    ordered = Window.partitionBy(key).orderBy(*order)
-    before = F.coalesce(F.count_if(terminator).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    all_of_key = F.count_if(terminator).over(Window.partitionBy(key))
-    return lines.withColumn("block", before).withColumn("n_blocks", all_of_key).where("block < n_blocks").drop("n_blocks")
+
+def _ones(where: Column) -> Column:
+    return F.when(where, 1).otherwise(0).cast("long")
+
+
+def blocks(lines: DataFrame, key: str, order: list[str], terminator: Column, slice_by: Column | None = None) -> DataFrame:
+    """lines with block: the number of terminators before; a block without its own terminator is left out.
+
+    slice_by doesn't fall along the order and deals a key's lines out.
+    """
+    return sum_before(lines, [key], order, _ones(terminator), slice_by, "block", total="n_blocks").where("block < n_blocks").drop("n_blocks")
 
 
 def until_end(lines: DataFrame, key: str, order: list[str], end: Column) -> DataFrame:
     """lines up to the first end, itself included."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("ended", F.coalesce(F.count_if(end).over(before), F.lit(0))).where("ended = 0").drop("ended")
+    first = lines.where(end).groupBy(F.col(key).alias("end_key")).agg(F.min(F.struct(*order)).alias("end_at"))
+    joined = lines.join(first, F.col(key).eqNullSafe(F.col("end_key")), "left")
+    return joined.where(F.col("end_at").isNull() | (F.struct(*order) <= F.col("end_at"))).drop("end_key", "end_at")
 
 
 def latest(updates: DataFrame, key: str, order: list[str], *keep: str) -> DataFrame:
@@ -32,3 +39,15 @@ def progress_text(state: DataFrame, n: int) -> DataFrame:
     rows = index.join(state, "url_index", "left").select("url_index", part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("url_index", "part")))
     return rows.agg(F.array_join(F.transform(ordered, lambda x: x["part"]), ", ").alias("progress"))
+
+
+def progress_texts(state: DataFrame, size: int) -> DataFrame:
+    """batch and progress: a text for each batch of `size` videos (by url_index) that has a state, as progress_text's."""
+    part = F.concat(F.coalesce("downloaded", F.lit(0)).cast("string"), F.lit("/"), F.coalesce("total", F.lit(0)).cast("string"))
+    place = F.pmod("url_index", F.lit(size)).cast("int")
+    rows = state.groupBy(F.floor(F.col("url_index") / size).alias("batch")).agg(F.map_from_entries(F.collect_list(F.struct(place, part))).alias("known"))
+
+    def line(i: Column) -> Column:
+        return F.concat(F.lit("video_"), (F.col("batch") * size + i).cast("string"), F.lit(": "), F.coalesce(F.element_at("known", i), F.lit("0/0")))
+
+    return rows.select("batch", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), line), ", ").alias("progress"))

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resilience import PAUSE
+from .slices import last_before, sum_before
 
 
-def numbered_attempts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with attempt, from 0 for each key."""
-    return rows.withColumn("attempt", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def numbered_attempts(rows: DataFrame, keys: list[str], order: list[str], slice_by: Column | None = None) -> DataFrame:
+    """rows with attempt, from 0 for each key; slice_by doesn't fall along the order and deals a key's rows out."""
+    return sum_before(rows, keys, order, F.lit(1).cast("long"), slice_by, "attempt").withColumn("attempt", F.col("attempt").cast("int"))
 
 
-def paused(rows: DataFrame, key: str, order: list[str], is_pause: Column, ts: str = "ts", seconds: float = PAUSE) -> DataFrame:
+def paused(rows: DataFrame, key: str, order: list[str], is_pause: Column, ts: str = "ts", seconds: float = PAUSE, slice_by: Column | None = None) -> DataFrame:
     """rows with paused: whether the key's last pause before the row, and no earlier one, still lasts at its time."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    until = F.last_value(F.when(is_pause, F.unix_micros(ts) + F.lit(int(seconds * 1_000_000))), ignoreNulls=True).over(before)
-    return rows.withColumn("paused", F.coalesce(F.unix_micros(ts) < until, F.lit(False)))
+    until = F.when(is_pause, F.unix_micros(ts) + F.lit(int(seconds * 1_000_000)))
+    known = last_before(rows, [key], order, until, slice_by, "until")
+    return known.withColumn("paused", F.coalesce(F.unix_micros(ts) < F.col("until"), F.lit(False))).drop("until")
 
 
 def peak_concurrency(intervals: DataFrame, key: str, slice_seconds: int = 3600) -> DataFrame:
@@ -28,7 +29,7 @@ def peak_concurrency(intervals: DataFrame, key: str, slice_seconds: int = 3600)
     """
     begin = intervals.select(key, F.col("started").alias("t"), F.lit(1).alias("delta"))
     end = intervals.select(key, F.col("ended").alias("t"), F.lit(-1).alias("delta"))
-    steps = begin.unionByName(end).groupBy(key, "t").agg(F.sum(F.when(F.col("delta") < 0, F.col("delta")).otherwise(0)).alias("ends"), F.sum("delta").alias("net"))
+    steps = begin.unionByName(end).groupBy(key, "t").agg(F.sum("delta").alias("net"))
     steps = steps.withColumn("slice", F.floor(F.col("t") / (slice_seconds * 1_000_000)))
     sums = steps.groupBy(key, "slice").agg(F.sum("net").alias("slice_net"))
     earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import cookies, progress, quality, resilience, status, text, urls
+from ..functions import cookies, progress, quality, resilience, routing, status, text, urls
 from ..operators import progress as progress_ops
 from ..operators import resilience as resilience_ops
 from ..operators import results, segments, select
-from ..sources import metadata, responses
+from ..operators.slices import hours
+from ..settings import PREFIX
+from ..sources import files, metadata, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,9 +143,8 @@ INDEXED = "i AS (SELECT user_id AS video_id, CAST(row_number() OVER (PARTITION B
   string_agg('file ''' || printf('%05d', idx) || '.ts''', chr(10) ORDER BY idx) AS listing FROM i GROUP BY 1, 2"""
 )
 def q10_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), (F.row_number().over(order) - 1).alias("idx"))
-    return segments.merge_batches(rows)
+    rows = resilience_ops.numbered_attempts(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.floor(F.col("event_id") / 100_000))
+    return segments.merge_batches(rows.select(F.col("user_id").alias("video_id"), F.col("attempt").alias("idx")))
 
 
 @query(r"""SELECT doc_id, substr(regexp_replace(translate(text, '/\:*?"<>|', '_________'), '^\s+|\s+$', '', 'g'), 1, 100) AS title FROM documents""")
@@ -159,20 +160,21 @@ SELECT user_id, block, count(*) AS n_lines, max(event_id) FILTER (event_type = '
 )
 def q12_progress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.col("event_type") == "purchase"
-    rows = progress_ops.blocks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ends)
+    rows = progress_ops.blocks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ends, hours(F.col("ts").cast("timestamp")))
     click = F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))
     return rows.groupBy("user_id", "block").agg(F.count("*").alias("n_lines"), F.max(F.when(ends, F.col("event_id"))).alias("ended_by"), F.max_by("value", click).alias("click"))
 
 
 @query(
     """WITH l AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error'),
-r AS (SELECT CAST(range AS INT) AS i FROM range(60))
-SELECT string_agg('video_' || i || ': ' || coalesce(CAST(trunc(value) AS BIGINT), 0) || '/' || coalesce(event_id, 0), ', ' ORDER BY i) AS progress FROM r LEFT JOIN l ON i = user_id AND n = 1"""
+b AS (SELECT DISTINCT user_id // 60 AS batch FROM l), r AS (SELECT batch, batch * 60 + range AS i FROM b, range(60))
+SELECT batch, string_agg('video_' || i || ': ' || coalesce(CAST(trunc(value) AS BIGINT), 0) || '/' || coalesce(event_id, 0), ', ' ORDER BY i) AS progress
+FROM r LEFT JOIN l ON i = user_id AND n = 1 GROUP BY batch"""
 )
 def q13_progress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = table(spark, sf_dir, "events").where("event_type = 'error' AND user_id BETWEEN 0 AND 59")
-    updates = errors.select(F.col("user_id").cast("int").alias("url_index"), F.col("value").cast("bigint").alias("downloaded"), F.col("event_id").alias("total"), "ts", "event_id")
-    return progress_ops.progress_text(progress_ops.latest(updates, "url_index", ["ts", "event_id"], "downloaded", "total"), 60)
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    updates = errors.select(F.col("user_id").alias("url_index"), F.col("value").cast("bigint").alias("downloaded"), F.col("event_id").alias("total"), "ts", "event_id")
+    return progress_ops.progress_texts(progress_ops.latest(updates, "url_index", ["ts", "event_id"], "downloaded", "total"), 60)
 
 
 @query(
@@ -196,7 +198,7 @@ SELECT event_id, attempt, status, least(CASE status WHEN 429 THEN 1.0::DOUBLE EL
 )
 def q15_retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_type IN ('error', 'click')")
-    rows = resilience_ops.numbered_attempts(rows, ["user_id"], ["ts", "event_id"]).withColumn("status", F.when(F.col("event_type") == "error", 429).otherwise(500))
+    rows = resilience_ops.numbered_attempts(rows, ["user_id"], ["ts", "event_id"], hours(F.col("ts").cast("timestamp"))).withColumn("status", F.when(F.col("event_type") == "error", 429).otherwise(500))
     after = F.when(F.col("event_id") % 2 == 0, F.col("value"))
     s, a = F.col("status"), F.col("attempt")
     return rows.select("event_id", "attempt", "status", resilience.longest_delay(s, a).alias("longest"), resilience.delay_bound(s, a, after).alias("bound"), resilience.goes_on(s, a, 3).alias("goes_on"))
@@ -213,7 +215,7 @@ SELECT event_id, coalesce(ts < until, false) AS paused FROM p"""
 )
 def q17_paused_at_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return resilience_ops.paused(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "error", seconds=600).select("event_id", "paused")
+    return resilience_ops.paused(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "error", seconds=600, slice_by=hours("ts")).select("event_id", "paused")
 
 
 @query(
@@ -432,3 +434,84 @@ def q36_stale_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q37_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.when(F.col("value") >= 50, "success").otherwise("failed").alias("status"))
     return results.summary(rows, 3).withColumn("exit_code", F.when((F.col("total") > 0) & (F.col("failed") == 0), 0).otherwise(1))
+
+
+@query(
+    r"""WITH f AS (SELECT CAST(o_orderkey AS VARCHAR) AS source, ['# list ' || o_orderkey, '', '  video-' || o_custkey || '_' || o_orderkey, 'https://h/clip' || CASE WHEN o_orderkey % 2 = 0 THEN '/video--1_2' ELSE '' END || '  '] AS l FROM orders),
+e AS (SELECT source, unnest(l) AS line, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos FROM f)
+SELECT source, pos, trim(line) AS line, regexp_matches(line, 'video-(-?[0-9]+)_([0-9]+)') AS valid FROM e WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')"""
+)
+def q38_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    last = F.concat(F.lit("https://h/clip"), F.when(F.col("o_orderkey") % 2 == 0, "/video--1_2").otherwise(""))
+    content = F.concat(F.lit("# list "), key, F.lit("\n\r\n  video-"), F.col("o_custkey").cast("string"), F.lit("_"), key, F.lit("\n"), last, F.lit("  \n"))
+    return files.url_list(table(spark, sf_dir, "orders").select(key.alias("path"), content.alias("content")))
+
+
+@query(
+    f"""WITH {INDEXED}, m AS (SELECT i.video_id, idx FROM i JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) e ON user_id = video_id AND n = idx WHERE event_type = 'error')
+SELECT video_id, string_agg(printf('%05d', idx) || '.ts', ' ' ORDER BY idx) AS names FROM m GROUP BY video_id"""
+)
+def q39_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resilience_ops.numbered_attempts(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.floor(F.col("event_id") / 100_000))
+    rows = rows.select(F.col("user_id").alias("video_id"), F.col("attempt").alias("idx"), "event_type")
+    present = rows.where("event_type <> 'error' OR idx % 2 = 0").select("video_id", "idx", F.when(F.col("event_type") == "error", 0).otherwise(9).alias("length"))
+    return segments.missing_files(rows, present).select("video_id", F.array_join("names", " ").alias("names"))
+
+
+@query(
+    """WITH f AS (SELECT user_id, min(struct_pack(t := ts, e := event_id)) FILTER (event_type = 'purchase') AS f FROM events GROUP BY user_id)
+SELECT user_id, count(*) AS n_lines, max(event_id) AS last_id FROM events JOIN f USING (user_id) WHERE f IS NULL OR struct_pack(t := ts, e := event_id) <= f GROUP BY user_id"""
+)
+def q40_until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = progress_ops.until_end(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_lines"), F.max("event_id").alias("last_id"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'best' ELSE 'best[height<=' || CAST(floor(l_quantity) AS INT) || ']' END AS selector FROM lineitem"""
+)
+def q41_format_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.when(F.col("l_returnflag") == "R", "worst").otherwise(F.concat(F.floor("l_quantity").cast("string"), F.lit("p")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quality.selector(asked).alias("selector"))
+
+
+@query(
+    """SELECT page_id AS seq, 'https://cdn.example/' || page_id || '.m3u8' AS url FROM pages
+WHERE page_id % 5 <> 0 AND CASE page_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 999999 WHEN 2 THEN 1000000 ELSE 0 END < 1000000 AND page_id % 7 <> 0"""
+)
+def q42_response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id").cast("string")
+    length = F.when(F.col("page_id") % 4 == 0, "10").when(F.col("page_id") % 4 == 1, "999999").when(F.col("page_id") % 4 == 2, "1000000").otherwise("unknown")
+    body = F.concat(F.lit('{"u":"https://cdn.example/'), key, F.lit('.m3u8"'), F.when(F.col("page_id") % 7 == 0, "").otherwise("}"))
+    url = F.concat(F.lit("https://h/"), F.when(F.col("page_id") % 5 == 0, "clip/").otherwise("video/"), key)
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), url.alias("url"), F.lit("application/json").alias("content_type"), length.alias("content_length"), body.alias("body"))
+    return responses.playlist_urls(rows).select("seq", "url")
+
+
+@query(
+    """WITH m AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'yt-dlp' WHEN 'view' THEN 'ffmpeg' WHEN 'purchase' THEN 'auto' END AS method, event_id % 2 = 0 AS verify, CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'browser' END AS source FROM events)
+SELECT event_id, CASE WHEN method IN ('yt-dlp', 'auto') THEN 'direct_with_resume' WHEN method = 'ffmpeg' THEN 'remux' END AS way,
+  coalesce(method = 'yt-dlp' OR method = 'auto' AND coalesce(source, '') <> 'none', false) AS cookies, coalesce(method = 'ffmpeg' AND NOT verify, false) AS warns FROM m"""
+)
+def q43_method_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    method = F.when(kind == "click", "yt-dlp").when(kind == "view", "ffmpeg").when(kind == "purchase", "auto")
+    source = F.when(F.col("event_id") % 3 == 0, "none").when(F.col("event_id") % 3 == 1, "browser")
+    return table(spark, sf_dir, "events").select("event_id", routing.route(method, source, F.col("event_id") % 2 == 0).alias("r")).select("event_id", "r.*")
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS video_id, coalesce(CASE WHEN event_id % 4 > 0 THEN event_id END, 0) AS downloaded, coalesce(CASE WHEN event_id % 4 > 0 THEN event_id END, 0) AS total FROM events""")
+def q44_remux_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://h/video-1_"), F.col("user_id").cast("string"))
+    size = F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("long"))
+    return table(spark, sf_dir, "events").select("event_id", routing.remux_update(url, size).alias("u")).select("event_id", "u.*")
+
+
+@query(
+    r"""SELECT c_custkey, 'Configuration error: one or more settings have invalid values.' || chr(10) || 'Check your .env file or TIDEMILL_* environment variables:' || chr(10) ||
+  '  - max_retries: ' || c_mktsegment || chr(10) || '    Received: <redacted>' || chr(10) || 'Fix the offending value(s) and try again.' AS message FROM customer"""
+)
+def q45_settings_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = F.array(F.struct(F.lit("max_retries").alias("field"), F.col("c_mktsegment").alias("message")))
+    return table(spark, sf_dir, "customer").select("c_custkey", routing.settings_message(errors, PREFIX).alias("message"))

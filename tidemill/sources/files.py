@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..operators.slices import sum_before
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +19,15 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("source"), F.posexplode(text.lines(F.col("content"))).alias("line_no", "line"))
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source, line_no (from 0) and line of text files of any size: read in splits, numbered over them.
+
+    For captured logs; lines end with CR, LF or both.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    return sum_before(read, ["source"], ["split", "place"], F.lit(1).cast("long"), F.col("split"), "line_no").select("source", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
 def url_list(files: DataFrame) -> DataFrame:
     """source, pos, line and valid (has a video id) of the entries of url lists, in order."""
     rows = numbered_lines(files).select("source", F.col("line_no").alias("pos"), text.strip(F.col("line")).alias("line"))
