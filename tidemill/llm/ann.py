@@ -1,20 +1,20 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
 Fitting. Coarse centroids and, for the residuals, a codebook for each group of components are fitted by k-means on at
-most SAMPLE rows, those with the smallest hashes. Every row is then indexed: its nearest centroid's list and its
+most SAMPLE rows, those with the smallest hashes, shared by the dimensions there are. There are about as many lists as
+the square root of the rows, MOST_LISTS at most. Every row is then indexed: its nearest centroid's list and its
 residual's codes.
-Search. A query probes the lists whose centroids have the largest inner products with it: PROBED of them, and more
-until they hold LEAST_ROWS rows. In each chunk of a
-list a table of the query's products with all codebook entries gives every row's approximate score by lookups; the
-RERANKED best by that are scored exactly on the original vectors. The chunks' best are joined for each query.
-A list of any size is dealt into chunks, and a list's queries into blocks, so a task holds one of each at a time.
+Search. A query probes the lists whose centroids have the largest inner products with it: so many that on the sample
+COVER of the true neighbours lie in them, and more until they hold LEAST times k other rows. Small lists are packed into splits and
+large ones dealt into several; a task holds a split and a block of queries at a time. There tables of the queries'
+products with all codebook entries give every probed row's approximate score by lookups; the best by that, k and one in
+RERANKED_OF of the split's rows, are scored exactly on the original vectors. The splits' best are joined for each query.
 
 Recall on the tables here, which are close to random directions and so hard: see the README.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take
 no part. Only vectors of equal dimension meet. Repeated ids: of a query the smallest row is used, candidates count
-row by row; no row with the query's id is its candidate. Fewer candidates than k are all returned, as few rows are all
-probed and reranked. An empty table gives an empty result. Further columns are dropped.
+row by row; no row with the query's id is its candidate. Fewer candidates than k are all returned. An empty table gives an empty result. Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -24,19 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, matrix
 from .vectors import TOP, Best, best_of_all, checked, queries_of, runs
 
 SAMPLE = 16_000
-LISTS, PROBED = 64, 48
+MOST_LISTS, COVER = 1000, 0.955
+#: Rows that a query sees at least, as a multiple of k.
+LEAST = 5
+#: Queries of the sample by which the number of probed lists is chosen.
+TRIED = 400
 #: Components of one sub-vector, entries of its codebook.
 WIDTH, ENTRIES = 4, 256
-CHUNK, QUERIES, RERANKED = 8192, 1024, 64
-LEAST_ROWS = 2000
-ROUNDS, SEED = 12, 20_240_229
+CHUNK, QUERIES, RERANKED_OF = 8192, 4096, 64
+#: Pairs of query and row for a task, and tasks, at most; a task takes its groups one after another.
+PAIRS, MOST_TASKS = 8_000_000, 20_000
+ROUNDS, SEED = 8, 20_240_229
 
 
 def k_means(data: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -44,10 +49,9 @@ def k_means(data: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = data[rng.permutation(len(data))[:k]].copy()
     for _ in range(ROUNDS):
         near = nearest(data, centres)
-        count = np.bincount(near, minlength=len(centres))
-        total = np.zeros_like(centres)
-        np.add.at(total, near, data)
-        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+        order = np.argsort(near, kind="stable")
+        some, first, count = np.unique(near[order], return_index=True, return_counts=True)
+        centres[some] = np.add.reduceat(data[order], first, axis=0) / count[:, None]
     return centres
 
 
@@ -60,41 +64,75 @@ def nearest(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Centroids and codebooks for one dimension."""
+    """Centroids and codebooks for one dimension of `rows` rows."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, rows: int, k: int = TOP):
         rng = np.random.default_rng(SEED)
-        self.centres = k_means(sample, LISTS, rng)
-        rest = sample - self.centres[nearest(sample, self.centres)]
+        self.centres = k_means(sample, max(1, min(MOST_LISTS, round(math.sqrt(rows)))), rng)
+        lists = nearest(sample, self.centres)
+        rest = sample - self.centres[lists]
         self.parts = np.array_split(np.arange(sample.shape[1]), math.ceil(sample.shape[1] / WIDTH))
         self.books = [k_means(rest[:, p], ENTRIES, rng) for p in self.parts]
+        self.probed = self._enough(sample, lists, k)
+
+    def _enough(self, sample: np.ndarray, lists: np.ndarray, k: int) -> int:
+        """How many lists hold COVER of the sample's true neighbours of some of its rows."""
+        if len(sample) <= k:
+            return len(self.centres)
+        tried = sample[:TRIED]
+        score = tried @ sample.T
+        score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(tried @ self.centres.T), axis=1, kind="stable"), axis=1)
+        found = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel())
+        return int(found[math.ceil(COVER * len(found)) - 1]) + 1
 
     def index(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(data, self.centres)
         rest = data - self.centres[lists]
         return lists, np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def probes(self, queries: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    def probes(self, queries: np.ndarray, sizes: np.ndarray, k: int = TOP) -> list[np.ndarray]:
         """Each query's lists, the nearest first; sizes are the lists' rows."""
         order = np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
         before = np.cumsum(sizes[order], axis=1) - sizes[order]
-        return [row[: max(PROBED, int(n))] for row, n in zip(order, (before < LEAST_ROWS).sum(axis=1), strict=True)]
-
-    def approximate(self, queries: np.ndarray, chosen: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of rows of a list by the queries' tables."""
-        out = np.repeat((queries @ self.centres[chosen])[:, None], len(codes), axis=1).astype(np.float32)
-        for j, (p, book) in enumerate(zip(self.parts, self.books, strict=True)):
-            out += np.take((queries[:, p] @ book.T).astype(np.float32), codes[:, j], axis=1)
-        return out
-
-
-def fit(vectors: DataFrame) -> dict[int, Model]:
-    """A model for each dimension, on at most SAMPLE rows of it."""
-    out = {}
-    for row in vectors.groupBy("dim").count().orderBy("dim").collect():
-        rows = vectors.where(F.col("dim") == row.dim).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(SAMPLE).select("vec").collect()
-        out[row.dim] = Model(np.frombuffer(b"".join(r.vec for r in rows)).reshape(len(rows), -1))
-    return out
+        return [row[: max(self.probed, int(n))] for row, n in zip(order, (before <= LEAST * k).sum(axis=1), strict=True)]
+
+    def approximate(self, queries: np.ndarray, probing: list[np.ndarray], lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Scores of rows by the queries' tables, -inf where a query doesn't probe the row's list; rows come by list."""
+        tables = [np.ascontiguousarray((book @ queries[:, p].T).astype(np.float32)) for p, book in zip(self.parts, self.books, strict=True)]
+        coarse = (self.centres @ queries.T).astype(np.float32)
+        asked = np.zeros((len(self.centres), len(queries)), dtype=bool)
+        for i, probed in enumerate(probing):
+            asked[probed, i] = True
+        out = np.full((len(codes), len(queries)), -np.inf, dtype=np.float32)
+        edges = np.concatenate((np.flatnonzero(np.diff(lists, prepend=-1)), [len(lists)]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            who = asked[lists[a]]
+            few = 3 * who.sum() < len(who)  # their tables are taken apart; else all are looked up, which is as fast
+            if not who.any():
+                continue
+            part = np.repeat((coarse[lists[a]][who] if few else coarse[lists[a]])[None, :], b - a, axis=0)
+            for j, table in enumerate(tables):
+                part += np.take(table[:, who] if few else table, codes[a:b, j], axis=0)
+            if few:
+                out[a:b, who] = part
+            else:
+                out[a:b] = np.where(who, part, -np.inf)
+        return np.ascontiguousarray(out.T)
+
+
+def fit(vectors: DataFrame, k: int = TOP) -> dict[int, Model]:
+    """A model for each dimension, on SAMPLE rows at most in all."""
+    counts = {r.dim: r.n for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "vec")
+    chosen = vectors.select("dim", "vec", F.row_number().over(first).alias("place")).where(F.col("place") <= max(1, SAMPLE // len(counts)))
+    held: dict[int, list[bytes]] = {}
+    for r in chosen.orderBy("dim", "place").collect():
+        held.setdefault(r.dim, []).append(r.vec)
+    return {dim: Model(np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1), counts[dim], k) for dim, vecs in held.items()}
 
 
 def indexed(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
@@ -112,8 +150,23 @@ def indexed(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
     return vectors.select("vec_id", "dim", "vec").mapInArrow(run, "vec_id long, dim int, vec binary, list int, codes binary")
 
 
-def probing(queries: DataFrame, models: dict[int, Model], sizes: dict[tuple[int, int], int]) -> DataFrame:
-    """A row for each query and list that it probes."""
+def packed(sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Each list's first split and number of splits: large lists have several of their own, small ones share one."""
+    out, next_split, room, last = {}, 0, 0, None
+    for dim, k in sorted(sizes):
+        n = sizes[dim, k]
+        if n > CHUNK:
+            out[dim, k] = (next_split, math.ceil(n / CHUNK))
+            next_split, room = next_split + out[dim, k][1], 0
+        else:
+            if n > room or dim != last:
+                next_split, room = next_split + 1, CHUNK
+            out[dim, k], room, last = (next_split - 1, 1), room - n, dim
+    return out
+
+
+def probing(queries: DataFrame, models: dict[int, Model], sizes: dict[tuple[int, int], int], k: int) -> DataFrame:
+    """vec_id, dim, vec and the lists that a query probes."""
     shared = queries.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,63 +174,63 @@ def probing(queries: DataFrame, models: dict[int, Model], sizes: dict[tuple[int,
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims).tolist():
                 part, model = batch.filter(pa.array(dims == dim)), shared.value[dim]
-                rows = np.array([sizes.get((dim, k), 0) for k in range(len(model.centres))])
-                lists = model.probes(matrix(part.column("vec")), rows)
+                rows = np.array([sizes.get((dim, i), 0) for i in range(len(model.centres))])
+                lists = [np.sort(x[rows[x] > 0]) for x in model.probes(matrix(part.column("vec")), rows, k)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("vec_id", "dim", "vec")], pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["vec_id", "dim", "vec", "lists"])
 
-    rows = queries.select("vec_id", "dim", "vec").mapInArrow(run, "vec_id long, dim int, vec binary, lists array<int>")
-    return rows.select("vec_id", "dim", "vec", F.explode("lists").alias("list"))
+    return queries.select("vec_id", "dim", "vec").mapInArrow(run, "vec_id long, dim int, vec binary, lists array<int>")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, vec_id and score: what each group finds for its queries; best_of_all joins the groups."""
-    models = fit(vectors)
+    spark, models = vectors.sparkSession, fit(vectors, k)
     index = cut(indexed(vectors, models))
-    sizes = {(r.dim, r.list): r.n for r in index.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}  # LISTS for each dimension
-    probes = probing(queries, models, sizes)
-    asked = {(r.dim, r.list): r.n for r in probes.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}
-    plan, groups = [], 0
-    for key in sorted(sizes):
-        if key in asked:
-            chunks, blocks = math.ceil(sizes[key] / CHUNK), math.ceil(asked[key] / QUERIES)
-            plan.append((*key, groups, chunks, blocks))
-            groups += chunks * blocks
-    spark = vectors.sparkSession
-    table = F.broadcast(spark.createDataFrame(plan, "dim int, list int, first long, chunks int, blocks int"))
-
-    def spread(df: DataFrame, side: int, codes: str) -> DataFrame:
-        own = F.pmod(F.xxhash64("vec_id"), F.col("blocks" if side == 0 else "chunks"))
-        each = df.join(table, ["dim", "list"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks" if side == 0 else "blocks") - 1)))
-        chunk, block = ("other", "own") if side == 0 else ("own", "other")
-        return each.select((F.col("first") + F.col(chunk) * F.col("blocks") + F.col(block)).alias("grp"), "dim", F.lit(side).alias("side"), "list", "vec_id", "vec", F.expr(codes).alias("codes"))
-
-    rows = spread(probes, 0, "cast(null as binary)").unionByName(spread(index, 1, "codes"))
-    dealt = rows.repartition(max(groups, 1), "grp").sortWithinPartitions("grp", "dim", "side", "vec_id")
+    sizes = {(r.dim, r.list): r.n for r in index.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}  # a model's lists
+    probes = cut(probing(queries, models, sizes, k))
+    splits = packed(sizes)
+    places = F.broadcast(spark.createDataFrame([(*key, *place) for key, place in splits.items()], "dim int, list int, first long, splits int"))
+    each = probes.select("vec_id", "dim", F.explode("lists").alias("list")).join(places, ["dim", "list"]).groupBy("first", "splits")
+    asked = {r["first"]: (r.splits, r.n) for r in each.agg(F.count_distinct("vec_id").alias("n")).collect()}  # one for each pack of lists
+    blocks = {first: math.ceil(n / QUERIES) for first, (_, n) in asked.items()}
+    packs = F.broadcast(spark.createDataFrame([(*key, first, n, blocks.get(first, 0)) for key, (first, n) in splits.items()], "dim int, list int, first long, splits int, blocks int"))
+    most = max(blocks.values(), default=1)
+    tasks = max(1, min(MOST_TASKS, math.ceil(sum(sizes[key] * asked.get(first, (1, 0))[1] for key, (first, _) in splits.items()) / PAIRS)))
+    group = (F.col("split") * most + F.col("block")).alias("grp")
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    asking = probes.select("*", F.explode("lists").alias("list")).join(packs, ["dim", "list"]).select("vec_id", "dim", "vec", "lists", "first", "splits", block.alias("block")).distinct()
+    asking = asking.withColumn("split", F.explode(F.expr("sequence(first, first + splits - 1)"))).select(group, "dim", F.lit(0).alias("side"), F.lit(-1).alias("list"), "vec_id", "vec", "lists", F.lit(None).cast("binary").alias("codes"))
+    held_by = index.join(packs, ["dim", "list"]).where("blocks > 0").withColumn("split", F.col("first") + F.pmod(F.xxhash64("vec_id", "vec"), F.col("splits")))
+    held_by = held_by.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(group, "dim", F.lit(1).alias("side"), "list", "vec_id", "vec", F.lit(None).cast("array<int>").alias("lists"), "codes")
+    dealt = asking.unionByName(held_by).repartition(tasks, "grp").sortWithinPartitions("grp", "dim", "side", "list", "vec_id")
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple]] = [[], []]
-        at = None
+        at: tuple[int, int] | None = None
 
         def finish() -> Iterator[pa.RecordBatch]:
             if held[0] and held[1]:
                 own, data = (np.concatenate([h[i] for h in held[0]]) for i in (0, 1))
-                ids, there, codes = (np.concatenate([h[i] for h in held[1]]) for i in (0, 1, 2))
-                best = Best(len(own), k, np.float64)
-                keep = min(RERANKED, len(ids))
+                probed = [p for h in held[0] for p in h[2]]
+                ids, there, lists, codes = (np.concatenate([h[i] for h in held[1]]) for i in range(4))
+                keep = min(k + len(ids) // RERANKED_OF, len(ids))
                 for a in range(0, len(own), 256):
-                    q = data[a : a + 256]
-                    score = shared.value[at[1]].approximate(q, held[0][0][2], codes)
-                    score[ids[None, :] == own[a : a + 256, None]] = -np.inf
-                    least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    for i in range(len(q)):
-                        mine = np.flatnonzero(score[i] >= least[i])
-                        if len(mine) > keep:  # rows come by id, so of equal scores the smaller ids stay
-                            equal = score[i, mine] == least[i]
-                            mine = np.concatenate((mine[~equal], mine[equal][: keep - int((~equal).sum())]))
-                        mine = mine[ids[mine] != own[a + i]]
-                        best.add(np.full(len(mine), a + i), ids[mine], (there[mine] * q[i]).sum(axis=1))
-                yield best.batch(own, pa.float64())
+                    q, names = data[a : a + 256], own[a : a + 256]
+                    score = shared.value[at[1]].approximate(q, probed[a : a + 256], lists, codes)
+                    score[ids[None, :] == names[:, None]] = -np.inf
+                    best = Best(len(q), k, np.float64)
+                    chosen = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                    # of equal scores at the border the smaller ids stay
+                    border = np.take_along_axis(score, chosen, axis=1).min(axis=1)
+                    for i in np.flatnonzero((score == border[:, None]).sum(axis=1) > 1):
+                        chosen[i] = np.lexsort((ids, -score[i]))[:keep]
+                    for i in range(0, len(q), 16):
+                        mine = chosen[i : i + 16]
+                        exact = (there[mine] * q[i : i + 16, None, :]).sum(axis=2)
+                        some = np.isfinite(np.take_along_axis(score[i : i + 16], mine, axis=1))
+                        rows, columns = np.nonzero(some)
+                        best.add(rows + i, ids[mine[rows, columns]], exact[rows, columns])
+                    yield best.batch(names, pa.float64())
             held[0].clear()
             held[1].clear()
 
@@ -186,7 +239,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                 yield from finish()
                 at = (grp, dim)
             ids, data = np.array(part.column("vec_id")), matrix(part.column("vec"))
-            held[side].append((ids, data, part.column("list")[0].as_py()) if side == 0 else (ids, data, matrix(part.column("codes"), np.uint8)))
+            if side == 0:
+                held[0].append((ids, data, [np.array(x) for x in part.column("lists").to_pylist()]))
+            else:
+                held[1].append((ids, data, np.array(part.column("list")), matrix(part.column("codes"), np.uint8)))
         yield from finish()
 
     return dealt.mapInArrow(run, "query_id long, vec_id long, score double")

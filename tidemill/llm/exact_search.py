@@ -31,6 +31,8 @@ from .vectors import TOP, Best, best_of_all, checked, queries_of, runs
 
 SCALE = 64.0
 QUERIES, CANDIDATES = 1024, 8192
+#: Tasks, at most; a task takes its groups one after another.
+MOST_TASKS = 20_000
 #: Candidates of a bucket, at most, and the least ratio of its shortest to its longest.
 BUCKET, RATIO = 1024, 0.9
 #: Local cosine threshold from which coordinates prune.
@@ -111,11 +113,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         """Queries go to all splits, candidates to all blocks."""
         each = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((splits if side == 0 else blocks) - 1))))
         block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) if side == 0 else F.col("other")
-        split = F.pmod(F.xxhash64(F.lit("split"), "vec_id"), F.lit(splits)) if side == 1 else F.col("other")
+        split = F.pmod(F.xxhash64(F.lit("split"), "vec_id", "vec"), F.lit(splits)) if side == 1 else F.col("other")
         return each.select((block * splits + split).cast("long").alias("grp"), "dim", F.lit(side).alias("side"), "vec_id", "size", "vec")
 
     rows = spread(queries, 0).unionByName(spread(vectors, 1))
-    dealt = rows.repartition(blocks * splits, "grp").sortWithinPartitions("grp", "dim", "side", F.desc("size"), "vec_id")
+    dealt = rows.repartition(min(blocks * splits, MOST_TASKS), "grp").sortWithinPartitions("grp", "dim", "side", F.desc("size"), "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, held = None, None, []
