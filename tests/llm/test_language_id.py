@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -87,3 +88,20 @@ def test_nothing_to_learn(spark):
     assert li.op4(docs(spark, [])).collect() == []
     got = li.op4(docs(spark, [(4, "text", None, "a"), (None, "text", "en", "a")])).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in got} == {(4, "und", 0.0), (None, "und", 0.0)}
+
+
+def test_shards_of_languages(spark, monkeypatch):
+    """More languages than a shard holds, and more than a thousand: the same predictions as with one shard."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(1100):
+        own = rng.sample(letters, 5)
+        rows += [(2 * k + j, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(12)), f"l{k:04d}", "s") for j in range(2)]
+    frame = docs(spark, rows)
+    profiles = li.learn(frame)
+    assert len(profiles) > 1000
+    asked = frame.where("doc_id < 60")
+    sharded = sorted(map(tuple, li.predict(asked, profiles, "doc_id").collect()))
+    monkeypatch.setattr(li, "AT_ONCE", 5000)
+    assert sharded == sorted(map(tuple, li.predict(asked, profiles, "doc_id").collect()))

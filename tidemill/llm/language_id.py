@@ -5,8 +5,8 @@ A document's own most frequent n-grams are compared with each profile by the out
 the document's n-grams of how far their rank is from the profile's, or the profile's length where it lacks one. The
 nearest profile wins; the score is 1 less the distance as a share of the largest possible.
 
-Profiles are counted over all training rows; nothing is sampled. They are broadcast: at most MAX_LANGUAGES of
-PROFILE n-grams. Beyond MAX_LANGUAGES distinct values of lang the most frequent are learned.
+Profiles are counted over all training rows; nothing is sampled. All languages are learned. They travel with the tasks
+in shards of AT_ONCE languages; with several shards each document keeps its nearest profile over all of them.
 
 Defined cases: a null text, or one without letters, is `und` with score 0, as is every text if nothing was learned.
 Equal distances go to the first language by code point; equal counts of n-grams to the smaller code. Rows with a
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents_of, pick, slices, texts
 
 PROFILE = 300
-MAX_LANGUAGES = 1000
+#: Languages of a shard, whose profiles make one table of ranks.
+AT_ONCE = 250
 UNKNOWN = "und"
 #: The pipeline's stage rejects what is scored below this: text that resembles no learned language.
 MIN_SCORE = 0.05
@@ -117,8 +118,7 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     counts = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = cut(counts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PROFILE))
-    sizes = top.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
-    rows = top.join(F.broadcast(sizes), "lang").select("lang", "gram", "rank").collect()  # MAX_LANGUAGES x PROFILE at most
+    rows = top.select("lang", "gram", "rank").collect()  # PROFILE for each language
     profiles: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         profiles.setdefault(r.lang, []).append((r.rank, r.gram))
@@ -136,16 +136,14 @@ class Judge:
             grams = np.array(profiles[lang], dtype=np.int64)
             self.ranks[np.searchsorted(self.known, grams), k] = np.arange(len(grams))
 
-    def __call__(self, codes: np.ndarray) -> tuple[str, float]:
-        own = ranked(codes)
-        if not len(own) or not self.langs:
-            return UNKNOWN, 0.0
+    def __call__(self, own: np.ndarray) -> tuple[int, str]:
+        """The least distance of a document's ranked n-grams, and its language."""
         at = np.searchsorted(self.known, own)
         at[(at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != own)] = len(self.known)
         ranks = self.ranks[at]
         apart = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(np.argmin(apart))
-        return self.langs[best], 1.0 - float(apart[best]) / (PROFILE * len(own))
+        return int(apart[best]), self.langs[best]
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> DataFrame:
@@ -153,15 +151,22 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> Data
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
     columns = list(dict.fromkeys([*keep, "text"]))
+    names = sorted(profiles)
+    shards = [docs.sparkSession.sparkContext.broadcast({n: profiles[n] for n in names[a : a + AT_ONCE]}) for a in range(0, len(names), AT_ONCE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(profiles)
+        only = Judge(shards[0].value) if len(shards) == 1 else None
         for batch in slices(batches, most=SLICE):
             code, row = ngrams(texts(batch.column("text")))
             order = np.argsort(row, kind="stable")
             code = code[order]
             ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-            found = [judge(code[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            own = [ranked(code[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            best: list[tuple[int, str] | None] = [None] * len(own)
+            for shard in shards:
+                judge = only or Judge(shard.value)
+                best = [b if not len(o) else judge(o) if b is None else min(b, judge(o)) for o, b in zip(own, best, strict=True)]
+            found = [(UNKNOWN, 0.0) if b is None else (b[1], 1.0 - b[0] / (PROFILE * len(o))) for o, b in zip(own, best, strict=True)]
             arrays = [batch.column(c) for c in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score"])
 

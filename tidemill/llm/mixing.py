@@ -1,14 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each row gets a hash-random key. Within a source the rows are sorted by key in ranges of the key space, the sizes
-are summed up along that order by distributed prefix sums (first over ranges, then in each range), and the source is
-cut at its exact budget; a budget above the source's size repeats whole epochs first. The row that the cut falls on
-is taken in part.
+are summed up along that order by distributed prefix sums (over wide ranges, then over the ranges in the one with the
+cut, then inside the range with the cut), and the source is cut at its exact budget; a budget above the source's size
+repeats whole epochs first. The row that the cut falls on is taken in part.
 
 Budgets: a source's share of all sizes is its weight's share; no target is above `repeats` times the source's size,
 and what is cut off there is shared anew by weight among the others until none is above.
 
-Defined cases: a null or blank text has size 0 and takes 0. Null is a source of its own, the last. Rows with null or
+Equal rows have one key. Where the cut falls among them they are counted first and then told apart by number, so that
+one much repeated row doesn't fill a task.
+
+Defined cases: texts are taken whole, however long. A null or blank text has size 0 and takes 0. Null is a source of its own, the last. Rows with null or
 repeated doc_id, and rows that are equal in all columns, count each by themselves; which of equal rows takes more is
 open, the rows of the result as a whole are the same in each run. If all sizes are 0 all targets are 0. An empty
 table gives an empty result. Further columns are dropped.
@@ -26,6 +29,8 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: Rows of a source that one range of keys holds, about.
 RANGE_ROWS = 2048
+#: Ranges of a wide one, and equal rows that are written out at a time.
+WIDE, AT_ONCE = 1024, 10_000
 #: Plans of up to so many sources are broadcast: some 100 bytes each.
 BROADCAST_SOURCES = 100_000
 SEED = 20_240_229
@@ -97,15 +102,21 @@ def _range_of(key: Column, ranges: Column) -> Column:
     return F.floor(F.shiftrightunsigned(key, 32) * ranges / F.lit(2.0**32))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and taken, the words that the mix takes of the row, repeats counted.
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
-    Rows before and after the range that a source's cut lies in need no more than the ranges' sums, so only the
-    rows of those ranges, about RANGE_ROWS for each source, are shuffled and sorted.
-    """
-    columns = docs.columns
-    sized = docs.withColumn("size", words_in(F.col("text"))).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    narrow = cut(sized.select("source", "size", "key"))
+
+def _located(sums: DataFrame, column: str) -> DataFrame:
+    """place, column and before of the row in which a place's rest lies, along the column; sums: place, the column,
+    amount, rest and base, what comes before the first row."""
+    order = Window.partitionBy("place").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("amount").over(order), F.lit(0)))
+    return rows.where("before <= rest AND rest < before + amount").select("place", column, "before")
+
+
+def _cuts(narrow: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, int, int]:
+    """The plan of each source (place, target, epochs, rest, ranges, and the range of its cut), with the numbers of
+    sources and rows; narrow: source, size and key."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     budget = F.floor("target")
     plan = cut(
@@ -117,32 +128,74 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     )
     counted = plan.agg(F.count("*").alias("sources"), F.sum("rows").alias("rows")).first()
     sources, rows = counted.sources, counted.rows or 0
-    order = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     dealt = _with_plan(narrow, plan.select("source", "place", "rows", "ranges"), sources, rows)
-    sums = dealt.groupBy("place", _range_of(F.col("key"), F.col("ranges")).alias("range")).agg(F.sum("size").alias("range_size"))
-    offsets = sums.withColumn("before", F.coalesce(F.sum("range_size").over(order), F.lit(0)))
-    cuts = offsets.join(plan.select("place", "rest"), "place").where("before <= rest AND rest < before + range_size").select("place", F.col("range").alias("cut_range"), "before")
-    plan = cut(plan.join(cuts, "place", "left"))
-    placed = _with_plan(sized, plan, sources, rows).withColumn("range", _range_of(F.col("key"), F.col("ranges")))
+    sums = cut(dealt.groupBy("place", _range_of(F.col("key"), F.col("ranges")).alias("range")).agg(F.sum("size").alias("amount")))
+    wide = F.floor(F.col("range") / WIDE).alias("wide")
+    rest = plan.select("place", "rest", F.lit(0).cast("long").alias("base"))
+    first = _located(sums.groupBy("place", wide).agg(F.sum("amount").alias("amount")).join(rest, "place"), "wide")
+    inside = sums.withColumn("wide", wide).join(first, ["place", "wide"]).withColumnRenamed("before", "base").join(rest.drop("base"), "place")
+    cuts = _located(inside.select("place", "range", "amount", "rest", "base"), "range").withColumnRenamed("range", "cut_range")
+    return cut(plan.join(cuts, "place", "left")), sources, rows
+
+
+def _placed(rows: DataFrame, plan: DataFrame, sources: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows outside the ranges of the cuts, with `again`, 1 before the cut and 0 after; and rows inside."""
+    placed = _with_plan(rows, plan, sources, n).withColumn("range", _range_of(F.col("key"), F.col("ranges")))
     at_cut = F.coalesce(F.col("range") == F.col("cut_range"), F.lit(False))
-    whole = placed.where(~at_cut).withColumn("part", F.when(F.col("range") < F.col("cut_range"), F.col("size")).otherwise(0))
-    inside = Window.partitionBy("place").orderBy(F.shiftrightunsigned("key", 1), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    partly = placed.where(at_cut).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start)))
-    taken = (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")
-    return whole.unionByName(partly).select(*columns, "size", "source_size", "target", taken)
+    outside = placed.where(~at_cut).withColumn("again", F.when(F.col("range") < F.col("cut_range"), 1).otherwise(0))
+    return outside, placed.where(at_cut)
+
+
+def _at_cut(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal rows inside the ranges of the cuts as one: `equal`, their number, and `part`, the words taken of them."""
+    groups = rows.groupBy(*columns, "size", "key", "place", "epochs", "rest", "before", "source_size", "target").agg(F.count("*").alias("equal"))
+    inside = Window.partitionBy("place").orderBy(F.shiftrightunsigned("key", 1), "doc_id", "size", *[c for c in columns if c not in ("doc_id", "source", "text")]).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("equal")).over(inside), F.lit(0))
+    return groups.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size") * F.col("equal"), F.col("rest") - start)))
+
 
+def _numbered(rows: DataFrame, times: str) -> DataFrame:
+    """Each row `times` times with n from 0, in steps so that no long array is made."""
+    steps = rows.where(F.col(times) > 0).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / AT_ONCE))))
+    return steps.withColumn("n", F.explode(F.sequence(F.col("step") * AT_ONCE, F.least((F.col("step") + 1) * AT_ONCE, F.col(times)) - 1))).drop("step")
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row once for each whole time that it is taken, and once more, cut, if taken in part."""
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """docs without text, with size, source_size, target and taken, the words that the mix takes of the row, repeats
+    counted.
+
+    Texts are read once, for sizes and keys. Rows before and after the range that a source's cut lies in need no more
+    than the ranges' sums, so only that range's rows, about RANGE_ROWS for each source, are shuffled and sorted.
+    """
+    columns = [c for c in docs.columns if c != "text"]
+    narrow = cut(_keyed(docs.withColumn("size", words_in(F.col("text"))), seed).drop("text"))
+    plan, sources, n = _cuts(narrow.select("source", "size", "key"), weights, repeats)
+    outside, inside = _placed(narrow, plan, sources, n)
+    whole = outside.withColumn("taken", (F.col("epochs") + F.col("again")) * F.col("size"))
+    each = _numbered(_at_cut(inside, columns), "equal")
+    partly = each.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("n") * F.col("size"))))
+    names = [*columns, "size", "source_size", "target", "taken"]
+    return whole.select(*names).unionByName(partly.select(*names))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row once for each whole time that it is taken, and once more, cut, if taken in part.
+
+    Words are counted once, for the plan, and then in the ranges of the cuts only.
+    """
     docs = documents_of(docs)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0)
-    mixed = mix(docs).withColumn("times", times.cast("int")).withColumn("left", F.col("taken") - F.col("times") * F.col("size"))
-    copies = mixed.withColumn("copies", F.col("times") + F.when(F.col("left") > 0, 1).otherwise(0)).where("copies > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    short = F.col("copy") > F.col("times")
-    text = F.when(short, first_words(F.col("text"), F.col("left"))).otherwise(F.col("text"))
-    return copies.withColumn("text", text).withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    keyed, size = _keyed(docs, seed), words_in(F.col("text"))
+    plan, sources, n = _cuts(cut(keyed.select("source", size.alias("size"), "key")), weights, repeats)
+    outside, inside = _placed(keyed, plan, sources, n)
+    times = F.when(F.col("text").rlike(WORD), F.col("epochs") + F.col("again")).otherwise(0)
+    whole = outside.withColumn("times", times.cast("int")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    at_cut = _at_cut(inside.withColumn("size", size), docs.columns).where("size > 0")
+    at_cut = at_cut.withColumn("full", F.col("epochs") * F.col("equal") + F.floor(F.col("part") / F.col("size"))).withColumn("left", F.col("part") % F.col("size"))
+    each = _numbered(at_cut.withColumn("copies", F.col("full") + F.when(F.col("left") > 0, 1).otherwise(0)), "copies")
+    short = F.col("n") >= F.col("full")
+    each = each.withColumn("text", F.when(short, first_words(F.col("text"), F.col("left"))).otherwise(F.col("text")))
+    partly = each.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return whole.select(*docs.columns).unionByName(partly.select(*docs.columns))
 
 
 def op8(docs: DataFrame) -> DataFrame:

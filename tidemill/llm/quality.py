@@ -6,11 +6,12 @@ as do their stems, which pool a word's forms: toxic words of languages with few
 document's evidence is the sum of only the STRONGEST on either side, softly bounded. Labels
 are taken from at most FIT_ROWS labelled rows, those with the smallest hashes; the words from these rows' whole texts.
 Sites. Over all documents the evidence (or, where there is one, the label) is averaged for each host and each host's
-paths. How much hosts differ (method of moments) says how many documents the global prior counts as; a host's
-posterior is shrunk to that prior, and a path's to its host's. A document's own share is left out of its site's.
+paths. How much hosts differ from all, and paths from their own host, beyond what their documents differ (nested
+analysis of variance) says how many documents the prior counts as; a host's posterior is shrunk to the global prior,
+and a path's to its host's. A document's own share is left out of its site's.
 The result joins both: the odds of the path's posterior times the document's own.
 
-Defined cases: a null text has no words and gets its site's posterior. A document without a page has its source as
+Defined cases: texts are taken whole, however long; ties have no part. A null text has no words and gets its site's posterior. A document without a page has its source as
 host and no path; null sources are one host. Null and repeated doc_ids each keep their rows; of several pages or
 labels of a document the first page by id and the mean label count. Without labels all evidence is 0. An empty table
 gives an empty result. Further columns are dropped.
@@ -33,8 +34,8 @@ from .common import cut, join_hot, pick, slices, texts
 from .url_filter import host_and_path
 
 FIT_ROWS = 20_000
-#: Words and stems with evidence: at most so many, the clearest first; least documents, and for quality least standard errors.
-WORDS, LEAST_ROWS, LEAST_Z = 60_000, 2, 4.0
+#: Words and stems have evidence from so many documents on, and for quality from so many standard errors.
+LEAST_ROWS, LEAST_Z = 2, 4.0
 #: Letters of a stem, and the variance that log-odds of toxicity are taken to have.
 STEM, VARIANCE = 5, 2.0
 #: Standard errors by which log-odds are drawn towards 0, and the words that count on either side.
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, float]]:
     (good, good_z), (bad, bad_z) = evidence(0), evidence(1)
     scored = counts.where("word <> ''").where(sum(F.col(f"n{s}") for s in range(4)) >= 2 * LEAST_ROWS)
     scored = scored.select("word", good.alias("good"), bad.alias("bad"), F.greatest(good_z, bad_z).alias("z")).where("z > 0")
-    return {r.word: (r.good, r.bad) for r in scored.orderBy(F.desc("z"), "word").limit(WORDS).collect()}
+    return {r.word: (r.good, r.bad) for r in scored.collect()}  # words that two of FIT_ROWS rows share
 
 
 def soft(values: list[float]) -> float:
@@ -147,15 +148,24 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def strength(groups: DataFrame, target: str, mean: float) -> float:
-    """How many documents a prior counts as, from how much the groups' means differ beyond chance."""
-    n, m = F.col("n"), F.col(target) / F.col("n")
-    row = groups.where("n > 1").agg(F.sum(n).alias("n"), F.sum(n * (m - mean) * (m - mean)).alias("between"), F.count("*").alias("k")).first()
-    within = mean * (1 - mean)
-    if not row.n or not within:
-        return MANY
-    spread = (row.between - row.k * within) / row.n
-    return min(MANY, max(FEWEST, within / spread - 1)) if spread > 0 else MANY
+def strengths(paths: DataFrame, hosts: DataFrame, target: str) -> tuple[float, float, float]:
+    """The mean of all, and how many documents it counts as for a host, and a host's posterior for a path.
+
+    paths: n, the target's sum and squares of each; hosts: n, the sum, and the sum of their paths' squared n.
+    """
+    n, total = F.col("n"), F.col(target)
+    p = paths.agg(F.sum(n).alias("n"), F.sum(total).alias("s"), F.sum(f"{target}_squares").alias("q"), F.sum(total * total / n).alias("b"), F.count("*").alias("k")).first()
+    h = hosts.agg(F.sum(total * total / n).alias("b"), F.sum(n * n).alias("nn"), F.sum(F.col("path_nn") / n).alias("inner"), F.count("*").alias("k")).first()
+    if not p.n:
+        return 0.5, MANY, MANY
+    within = max(p.q - p.b, 0.0) / max(p.n - p.k, 1)
+
+    def counts_as(between: float, groups: int, each: float) -> float:
+        """groups: degrees of freedom; each: documents that a group has on the whole."""
+        spread = (between / groups - within) * groups / each if groups > 0 and each > 0 else 0.0
+        return min(MANY, max(FEWEST, within / spread)) if spread > 0 else MANY
+
+    return p.s / p.n, counts_as(h.b - p.s * p.s / p.n, h.k - 1, p.n - h.nn / p.n), counts_as(p.b - h.b, p.k - h.k, p.n - h.inner)
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
@@ -167,31 +177,36 @@ def posteriors(rows: DataFrame) -> DataFrame:
         own = F.coalesce(F.col(label), _sigmoid(F.col(evidence) + math.log(prior[t] / (1 - prior[t]))))
         rows = rows.withColumn(f"{t}_own", own)
     rows = cut(rows.withColumn("site", F.xxhash64("host", "path")).withColumn("host_key", F.xxhash64("host")))
-
-    def sums(key: str) -> DataFrame:
-        return cut(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(f"{t}_own").alias(t) for t in TARGETS]))
-
-    hosts, paths = sums("host_key"), sums("site")
-    total = known.n
+    sums = [x for t in TARGETS for x in (F.sum(f"{t}_own").alias(t), F.sum(F.col(f"{t}_own") * F.col(f"{t}_own")).alias(f"{t}_squares"))]
+    paths = cut(rows.groupBy("host_key", "site").agg(F.count("*").alias("n"), *sums))
+    hosts = cut(paths.groupBy("host_key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("path_nn"), *[F.sum(t).alias(t) for t in TARGETS]))
     out = rows
     for key, groups, prefix in (("host_key", hosts, "host"), ("site", paths, "path")):
         named = groups.select(key, F.col("n").alias(f"{prefix}_n"), *[F.col(t).alias(f"{prefix}_{t}") for t in TARGETS], F.col("n").alias("weight"))
-        out = join_hot(out, named, key, "weight", total, "inner")
+        out = join_hot(out, named, key, "weight", known.n, "inner")
     for t in TARGETS:
-        a, b = strength(hosts, t, prior[t]), strength(paths, t, prior[t])
-        host = (F.lit(a * prior[t]) + F.col(f"host_{t}") - F.col(f"{t}_own")) / (F.col("host_n") - 1 + a)
+        mean, a, b = strengths(paths, hosts, t)
+        host = (F.lit(a * mean) + F.col(f"host_{t}") - F.col(f"{t}_own")) / (F.col("host_n") - 1 + a)
         out = out.withColumn(f"{t}_host", host)
         out = out.withColumn(f"{t}_site", (F.lit(b) * F.col(f"{t}_host") + F.col(f"path_{t}") - F.col(f"{t}_own")) / (F.col("path_n") - 1 + b))
     return out
 
 
+def _with_known(evidence: DataFrame, labels: DataFrame, sites: DataFrame) -> DataFrame:
+    """evidence with its documents' labels and sites; rows without an id, and ids of very many rows, stay dealt out."""
+    copies = evidence.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    known = cut(labels.join(sites, "doc_id", "full").join(copies, "doc_id"))
+    named = join_hot(evidence.where(F.col("doc_id").isNotNull()), known, "doc_id", "copies", evidence.count())
+    return named.unionByName(evidence.where(F.col("doc_id").isNull()), allowMissingColumns=True)
+
+
 def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, host, path, p_quality, p_toxic and keep."""
     docs = pick(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     labels = pick(labels, "doc_id", *TARGETS).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.avg(t).alias(t) for t in TARGETS])
     evidence = cut(scored(docs, fit(docs, labels)))
     sites = sites_of(pick(pages, "page_id", "url"))
-    rows = evidence.join(labels, "doc_id", "left").join(sites, "doc_id", "left")
+    rows = _with_known(evidence, labels, sites)
     rows = rows.select("doc_id", F.coalesce("host", "source", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "good", "bad", *TARGETS)
     found = posteriors(rows)
     quality = _sigmoid(_logit(F.col("quality_site")) + F.col("good"))
