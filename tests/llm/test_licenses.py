@@ -45,3 +45,33 @@ def test_templates(spark):
     got = {r.doc_id: r.labels for r in licenses.op5(docs(spark, rows + noise)).collect() if r.doc_id < 1000}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
     assert licenses.op5(docs(spark, [])).collect() == []
+
+
+def test_names_lines_and_edited_texts(spark):
+    """SPDX lines, a bare name, a text with words put in between its phrases, and one without its second phrase."""
+    full = next(t for label, t, p in licenses.TEMPLATES if label == "mit" and "|" in p)
+    edited = full.replace("any person", "any natural or legal person")
+    cut_off = full.replace("to deal in the software without restriction", "to do what they like")
+    texts = ["// SPDX-License-Identifier: GPL-3.0-only", "MIT License", edited, "x " * 500 + full, "identifier of a license", "SPDX-License-Identifier: nothing known", cut_off]
+    noise = [(100 + i, f"some words of a text number {i} in the corpus", "en", "s") for i in range(200)]
+    got = {r.doc_id: r.labels for r in licenses.op5(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + noise)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["gpl-3", "mit", "mit", "mit", "", "", "mit"]
+    assert not any(got[r[0]] for r in noise)
+
+
+def test_labels_against_brute_force(spark):
+    """A template's text stands in a file word by word exactly where brute force finds it."""
+    rng = random.Random(2)
+    chosen = [t for t in licenses.templates() if not t.base]
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
+        if i % 2:
+            at = rng.randrange(len(words))
+            words[at:at] = [w.decode() for w in rng.choice(chosen).words]
+        rows.append((i, " ".join(words), "en", "s"))
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.op5(docs(spark, rows)).collect()}
+    for i, text, _, _ in rows:
+        want = {t.label for t in licenses.templates() if f" {b' '.join(t.words).decode()} " in f" {text} "}
+        assert want <= got[i]
+        assert bool(want) == bool(got[i])

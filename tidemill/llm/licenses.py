@@ -1,14 +1,14 @@
 """License scans by a positional index of rare words.
 
 Templates are short license texts with phrases that must occur. The index posts each template's rarest words, by
-document frequency over the whole corpus, with their positions. A file's occurrences of posted words each say where
-a template would start; starts that several words agree on are candidates, and a candidate counts if its mandatory
-phrases stand there word by word. Base phrases are templates of one phrase each: every place of theirs holds their
+document frequency over the whole corpus, with their positions, from inside and outside its phrases. A file's
+occurrences of posted words each say where a template would start; starts that several words agree on, within SLACK
+words, are candidates, and a candidate counts if all its mandatory phrases stand there word by word. Base phrases are templates of one phrase each: every place of theirs holds their
 rarest word, so looking that word up finds all places.
 
 The score is the largest share, weighted by rarity, of an accepted template's words that stand at their places.
 
-Defined cases: a null text is empty: 0 words, no places, empty labels, null first and last word, score 0. Texts are
+Defined cases: equal frequencies go by place in the template. A null text is empty: 0 words, no places, empty labels, null first and last word, score 0. Texts are
 taken whole. Null and repeated doc_ids each keep their rows. An empty table gives an empty result. Further columns
 are dropped.
 """
@@ -29,7 +29,7 @@ from .common import pick, slices, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words posted for a template, the rarest first.
-POSTED = 2
+POSTED = 4
 #: Share of a template's weight that must stand at its places.
 LEAST = 0.5
 #: Words by which a mandatory phrase may be off its place in the template.
@@ -54,12 +54,31 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("mit", "released under the mit license", "the mit license"),
+    ("mit", "mit license", "mit license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge|to deal in the software without restriction",
+    ),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "without any express or implied warranty|in no event will the authors be held liable",
+    ),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 
 
+# Names of licenses in a file's SPDX line, as words, and their labels.
+SPDX = {
+    "agpl 3 0": "agpl", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0", "epl 2 0": "epl",
+    "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "isc": "isc", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "mit": "mit", "mpl 2 0": "mpl-2.0", "unlicense": "unlicense", "zlib": "zlib",
+}
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -71,7 +90,8 @@ class Template:
 
 def templates() -> list[Template]:
     out = [Template(label, t, ((0, t),), True) for text, label in BASE for t in [tuple(text.encode().split())]]
-    for label, text, phrases in TEMPLATES:
+    marked = tuple((label, f"spdx license identifier {name}", f"spdx license identifier {name}") for name, label in SPDX.items())
+    for label, text, phrases in TEMPLATES + marked:
         words = tuple(text.encode().split())
         need = []
         for phrase in phrases.split("|"):
@@ -113,9 +133,11 @@ class Index:
         self.need: list[int] = []
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.templates):
-            # a base phrase is looked up by its rarest word alone, others by the rarest words of their phrases
-            inside = sorted({at + i for at, p in t.phrases for i in range(len(p))})
-            rare = sorted(inside, key=lambda i: (-self.idf[t.words[i]], i))[: 1 if t.base else POSTED]
+            # a base phrase is looked up by its rarest word alone, others by the rarest words of all, and of each phrase
+            rarest = sorted(range(len(t.words)), key=lambda i: (-self.idf[t.words[i]], i))
+            inside = [min(range(at, at + len(p)), key=lambda i: (-self.idf[t.words[i]], i)) for at, p in t.phrases]
+            two = [i for at, p in t.phrases for i in sorted(range(at, at + len(p)), key=lambda i: (-self.idf[t.words[i]], i))[:2]]
+            rare = rarest[:1] if t.base else sorted({*rarest[:POSTED], *inside, *two})
             self.need.append(1 if t.base else min(2, len(rare)))
             for i in rare:
                 self.postings.setdefault(t.words[i], []).append((k, i))
@@ -130,6 +152,8 @@ class Index:
                     starts.update((k, at - i) for k, i in postings[w])
         places, base, labels, score = [], set(), set(), 0.0
         for (k, start), votes in starts.items():
+            if self.need[k] > 1:
+                votes = sum(starts.get((k, start + d), 0) for d in range(-SLACK, SLACK + 1))
             if votes < self.need[k]:
                 continue
             t = self.templates[k]
