@@ -1,3 +1,5 @@
+import math
+import pytest
 import random
 
 from tidemill.llm import quality
@@ -69,3 +71,44 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame([(1, None, ""), (None, "https://h/en/4", ""), (3, "https://h/en/4", "")], PAGES)
     assert len(quality.op1(docs(spark, rows), odd, pages).collect()) == len(rows)
     assert quality.op1(docs(spark, []), *none).collect() == []
+
+
+def test_posteriors_against_brute_force(spark):
+    """Nested analysis of variance and shrinkage, redone row by row."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        host, path = f"h{min(rng.randrange(12), 8)}", f"/p{rng.randrange(4)}"
+        lean = 2.5 * (host in ("h1", "h8")) - 1 + (path == "/p0")
+        rows.append((i if i % 50 else None, host, path, rng.gauss(lean, 1), rng.gauss(-lean, 1), rng.choice([None, 0.0, 1.0]), rng.choice([None, None, 1.0, 0.0])))
+    frame = spark.createDataFrame(rows, "doc_id long, host string, path string, good double, bad double, quality double, toxic double")
+    got = {(r.host, r.path, r.good): r for r in quality.posteriors(frame).collect()}
+    for t, e, at in (("quality", 3, 5), ("toxic", 4, 6)):
+        known = [r[at] for r in rows if r[at] is not None]
+        prior = sum(known) / len(known)
+        own = [r[at] if r[at] is not None else 1 / (1 + math.exp(-(r[e] + math.log(prior / (1 - prior))))) for r in rows]
+        mean, n = sum(own) / len(own), len(own)
+
+        def groups(key):
+            out = {}
+            for r, v in zip(rows, own, strict=True):
+                out.setdefault(key(r), []).append(v)
+            return out
+
+        hosts, paths = groups(lambda r: r[1]), groups(lambda r: r[1:3])
+        p_within = sum((v - sum(g) / len(g)) ** 2 for g in paths.values() for v in g) / (n - len(paths))
+        h_between = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in hosts.values())
+        p_between = sum(len(g) * (sum(g) / len(g) - sum(hosts[k[0]]) / len(hosts[k[0]])) ** 2 for k, g in paths.items())
+        h_each = n - sum(len(g) ** 2 for g in hosts.values()) / n
+        p_each = n - sum(len(g) ** 2 / len(hosts[k[0]]) for k, g in paths.items())
+
+        def counts_as(between, df, each):
+            spread = (between - df * p_within) / each
+            return min(quality.MANY, max(quality.FEWEST, p_within / spread)) if spread > 0 else quality.MANY
+
+        a, b = counts_as(h_between, len(hosts) - 1, h_each), counts_as(p_between, len(paths) - len(hosts), p_each)
+        for r, v in zip(rows, own, strict=True):
+            h, p = hosts[r[1]], paths[r[1:3]]
+            host = (a * prior + sum(h) - v - (mean - prior) * (len(h) - 1)) / (len(h) - 1 + a)
+            site = (b * host + sum(p) - v - (mean - prior) * (len(p) - 1)) / (len(p) - 1 + b)
+            assert got[r[1], r[2], r[3]][f"{t}_site"] == pytest.approx(site, rel=1e-6, abs=1e-9)

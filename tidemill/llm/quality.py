@@ -186,9 +186,10 @@ def posteriors(rows: DataFrame) -> DataFrame:
         out = join_hot(out, named, key, "weight", known.n, "inner")
     for t in TARGETS:
         mean, a, b = strengths(paths, hosts, t)
-        host = (F.lit(a * mean) + F.col(f"host_{t}") - F.col(f"{t}_own")) / (F.col("host_n") - 1 + a)
+        off = F.lit(mean - prior[t])  # soft scores may lie higher or lower than labels on the whole; sites are set right by that
+        host = (F.lit(a * prior[t]) + F.col(f"host_{t}") - F.col(f"{t}_own") - off * (F.col("host_n") - 1)) / (F.col("host_n") - 1 + a)
         out = out.withColumn(f"{t}_host", host)
-        out = out.withColumn(f"{t}_site", (F.lit(b) * F.col(f"{t}_host") + F.col(f"path_{t}") - F.col(f"{t}_own")) / (F.col("path_n") - 1 + b))
+        out = out.withColumn(f"{t}_site", (F.lit(b) * F.col(f"{t}_host") + F.col(f"path_{t}") - F.col(f"{t}_own") - off * (F.col("path_n") - 1)) / (F.col("path_n") - 1 + b))
     return out
 
 
