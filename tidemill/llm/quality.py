@@ -48,23 +48,25 @@ _WORD = re.compile(r"[^\W\d_]+|[^\w\s]+")
 TARGETS = ("quality", "toxic")
 
 
-@lru_cache(maxsize=50_000)
-def stem(word: str) -> str:
-    return f"<stem {''.join(c for c in unicodedata.normalize('NFD', word) if not unicodedata.combining(c))[:STEM]}>"
+@lru_cache(maxsize=200_000)
+def stem(start: str) -> str:
+    """The stem of words with these first STEM characters: their letters without accents."""
+    return f"<stem {''.join(c for c in unicodedata.normalize('NFD', start) if not unicodedata.combining(c))[:STEM]}>"
 
 
 def features(text: str) -> set[str]:
     """Distinct words, their stems without accents, runs of signs, and marks for a text's shape."""
-    found = _WORD.findall(text)
-    out = set(map(str.lower, found))
-    out |= {stem(w) for w in out if w[0].isalpha()}
+    found = Counter(_WORD.findall(text))
     words = [w for w in found if w[0].isalpha()]
-    n = len(words)
+    lower = set(map(str.lower, words))
+    out = {w.lower() for w in found.keys() - set(words)} | lower
+    out.update(map(stem, {w[:STEM] for w in lower}))
+    n = sum(map(found.__getitem__, words))
     out.add(f"<length {min(12, n.bit_length())}>")
     if n:
-        out.add(f"<distinct {10 * len({w.lower() for w in words}) // n}>")
-        out.add(f"<upper {10 * sum(map(str.isupper, words)) // n}>")
-        out.add(f"<signs {min(10, 10 * (len(found) - n) // n)}>")
+        out.add(f"<distinct {10 * len(lower) // n}>")
+        out.add(f"<upper {10 * sum(map(found.__getitem__, filter(str.isupper, words))) // n}>")
+        out.add(f"<signs {min(10, 10 * (found.total() - n) // n)}>")
     return out
 
 
@@ -74,14 +76,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, float]]:
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", *TARGETS)  # a bounded number of small rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple[str, int]] = Counter()
+        counts: list[Counter[str]] = [Counter() for _ in range(2 * len(TARGETS))]
         for batch in slices(batches):
             sides = [batch.column(t).to_pylist() for t in TARGETS]
             for text, *side in zip(texts(batch.column("text")), *sides, strict=True):
-                own = [2 * k + (v >= 0.5) for k, v in enumerate(side) if v is not None]
-                for f in [*features(text), ""]:
-                    n.update((f, s) for s in own)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["word", "side", "n"])
+                found = features(text) | {""}
+                for k, v in enumerate(side):
+                    if v is not None:
+                        counts[2 * k + (v >= 0.5)].update(found)
+        for side, n in enumerate(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array([side] * len(n), pa.int32()), pa.array(n.values(), pa.int64())], ["word", "side", "n"])
 
     sums = [F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(4)]
     counts = cut(rows.mapInArrow(count, "word string, side int, n long").groupBy("word").agg(*sums))
