@@ -54,6 +54,20 @@ def test_exact_in_blocks(spark, monkeypatch, kind):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_short_candidates_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(exact_search, "QUERIES", 16)
+    monkeypatch.setattr(exact_search, "CANDIDATES", 300)
+    monkeypatch.setattr(exact_search, "HEAD", 64)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 4)) * rng.lognormal(0, 2, size=(900, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(i, [i / 10_000, 0.1]) for i in range(2000, 2060)]
+    checked = vectors.checked(table(spark, rows), scale=exact_search.SCALE)
+    sent, groups = exact_search.dealt(checked, vectors.queries_of(checked), 20)
+    assert groups in (3 * 4, 4 * 4, 5 * 4)
+    assert sent.where("side = 1").count() < 0.6 * 960 * groups / 4
+    assert sorted(tuple(r) for r in exact_search.op6(table(spark, rows)).collect()) == brute(rows)
+
+
 def test_nearest_edge_rows(spark):
     rows = edge_vectors(np.random.default_rng(2))[:-1]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.op9(table(spark, rows)).collect())
