@@ -9,7 +9,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -93,6 +93,33 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return a.unionByName(b)
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with `name`, the sum of `value` (no nulls) over the rows of the same keys that come before in order.
+
+    rows are read twice, so they come from a written table or a checkpoint; order should tell all rows of a key apart.
+    They are dealt out by ranges of keys and order, so a key of many rows is spread over many tasks, and summed inside
+    a range. Of each range only the sums of its first and last key come to the driver, and what the first key has in the
+    ranges before goes back as one row for each range.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id()))
+    ends = dealt.groupBy("part", *keys).agg(F.sum(value).alias("amount")).groupBy("part").agg(F.min(F.struct(*keys, "amount")).alias("first"), F.max(F.struct(*keys, "amount")).alias("last"))
+    offsets, key, carried = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r.part):
+        first, last = tuple(r.first)[:-1], tuple(r.last)[:-1]
+        offset = carried if first == key else 0
+        offsets.append((r.part, *first, offset))
+        key, carried = last, r.last.amount + (offset if first == last else 0)
+    fields = [dealt.schema["part"], *[dealt.schema[k] for k in keys]]
+    schema = ", ".join([f"p{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["carried long"])
+    same = [F.col(f.name).eqNullSafe(F.col(f"p{i}")) for i, f in enumerate(fields)]
+    before = Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(spark.createDataFrame(offsets, schema)), same, "left")
+    inside = F.coalesce(F.sum(value).over(before), F.lit(0))
+    return joined.withColumn(name, F.coalesce("carried", F.lit(0)) + inside).drop("part", "carried", *[f"p{i}" for i in range(len(fields))])
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [t if t is not None else "" for t in column.to_pylist()]
