@@ -1,10 +1,12 @@
+import random
 from datetime import datetime
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill import settings
-from tidemill.functions import cookies, progress, quality, resilience, status, text, urls
+from tidemill.functions import cookies, progress, quality, resilience, routing, status, text, urls
 
 
 def one(spark, column, **given):
@@ -57,6 +59,19 @@ def test_titles_and_names(spark):
     assert one(spark, urls.has_traversal(F.col("p")), p="a..b") is True
 
 
+BASES = ["https://h/a/b/l.m3u8?t=1", "http://h", "https://h/", "https://h/a/b/", "HTTPS://u:p@h:8/a;x/b;y?q#f", "https://h/a//b/../c", "https://h?q=1", "https://h/a/./b/..", "https://h//a/b", "https://h/a;b/c;"]
+TOKENS = ["a", "b", "..", ".", "/", "//", ";", "?", "#", "x=1", "é", " ", "%2F", "seg.ts", "ftp:", "data:", "https:", "\t", ":", "&"]
+
+
+def test_join_as_the_library(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(BASES), "".join(rng.choice(TOKENS) for _ in range(rng.randint(0, 7)))) for _ in range(4000)]
+    joined = spark.createDataFrame(rows, "b string, r string").select("b", "r", urls.join(F.col("b"), F.col("r")).alias("got"))
+    assert "Python" not in joined._jdf.queryExecution().toString()
+    for r in joined.collect():
+        assert r.got == urljoin(r.b, r.r), (r.b, r.r)
+
+
 def test_resolve(spark):
     def to(base, part):
         return one(spark, urls.resolve(F.col("b"), F.col("p")), b=base, p=part)
@@ -147,7 +162,29 @@ def test_delays(spark):
     assert [one(spark, resilience.goes_on(F.lit(503), F.lit(a), 3)) for a in range(3)] == [True, True, False]
     assert one(spark, resilience.outcome(F.lit(200), F.lit(0), F.lit(True))) == "retry"
     assert one(spark, resilience.outcome(F.lit(200), F.lit(0), F.lit(False))) == "failed"
+    nothing = F.lit(None).cast("int")
+    assert [one(spark, resilience.outcome(nothing, nothing, F.lit(p))) for p in (True, False)] == ["retry", "failed"]
     assert [one(spark, resilience.refresh(F.lit(s))) for s in (200, 403, 410, 404)] == ["text", "refresh", "refresh", "stop"]
+    assert one(spark, resilience.refresh(nothing)) == "retry"
+    assert [one(spark, resilience.refresh(F.lit(403), F.lit(a), F.lit(b))) for a, b in ((True, True), (False, True), (True, False), (True, None))] == ["refresh", "stop", "stop", "stop"]
+
+
+@pytest.mark.parametrize(
+    ("method", "source", "verify", "want"),
+    [
+        ("yt-dlp", "browser", True, ("direct_with_resume", "segments", True, False)),
+        ("yt-dlp", "none", False, ("direct_with_resume", "segments", False, False)),
+        ("ffmpeg", "browser", False, ("remux", "segments", True, True)),
+        ("ffmpeg", None, True, ("remux", "segments", False, False)),
+        ("auto", "browser", True, ("direct_with_resume", "segments", True, False)),
+        ("auto", None, True, ("direct_with_resume", "segments", False, False)),
+        ("other", "browser", False, (None, None, False, False)),
+        (None, None, None, (None, None, False, False)),
+    ],
+)
+def test_route(spark, method, source, verify, want):
+    given = spark.createDataFrame([(method, source, verify)], "m string, s string, v boolean")
+    assert tuple(given.select(routing.route(*[F.col(c) for c in "msv"]).alias("r")).first().r) == want
 
 
 def test_statuses(spark):
@@ -163,6 +200,7 @@ def test_statuses(spark):
     assert both("quality_not_available", asked="")[1:] == ("no_streams", "quality_not_available: requested p, available: ")
     assert both("KeyError") == (None, None, "unexpected_error: KeyError")
     assert len(one(spark, status.correlation_id())) == 8
+    assert tuple(one(spark, status.log_context(F.col("k"), F.col("m")), k="download", m="no")) == ("download_error", "no")
 
 
 def test_cookies(spark):
@@ -181,3 +219,16 @@ def test_settings():
             settings.Settings(**bad)
     with pytest.raises(TypeError):
         settings.from_environment({}, nothing=1)
+
+
+def test_env_file(spark):
+    given = "# none\nexport TIDEMILL_MAX_RETRIES = 7 # seven\nTIDEMILL_LOG_LEVEL='error'\n\nTIDEMILL_LOG_FILE=\"a #b\"\nnothing\n"
+    got = settings.from_environment({"TIDEMILL_LOG_LEVEL": "INFO"}, given, throttled_rate=2000)
+    assert got == settings.Settings(max_retries=7, log_level="INFO", log_file="a #b", throttled_rate=2000)
+    names = spark.createDataFrame([("m1", "TIDEMILL_ZZZ"), ("m2", "TIDEMILL_ZZZ"), ("m1", "tidemill_max_retries"), ("m1", "PATH"), ("m1", None)], "machine string, name string")
+    assert sorted(map(tuple, settings.unknown_settings(names).collect())) == [("m1", "TIDEMILL_ZZZ"), ("m2", "TIDEMILL_ZZZ")]
+
+
+def test_settings_message(spark):
+    errors = F.array(*[F.struct(F.lit(f).alias("field"), F.lit("bad").alias("message")) for f in ("max_retries", "log_level")])
+    assert one(spark, routing.settings_message(errors, "X_")) == "Settings that can't be used:\nX_MAX_RETRIES = (hidden): bad\nX_LOG_LEVEL = (hidden): bad"

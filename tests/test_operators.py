@@ -1,11 +1,12 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill import schemas
-from tidemill.operators import progress, resilience, results, segments, select, slices
-from tidemill.sources import files, metadata, responses
+from tidemill.operators import fate, progress, resilience, results, segments, select, slices
+from tidemill.sources import files, metadata, responses, signatures
 from tidemill.functions import text
 
 T0 = datetime(2025, 1, 1)
@@ -100,6 +101,8 @@ def test_results(spark):
     assert tuple(results.summary(rows, 1).first()) == (3, 1, 2, 1)
     assert [r.pos for r in results.failures(rows).orderBy("pos").collect()] == [1, 2]
     assert results.exit_code(rows).first().exit_code == 1
+    assert results.exit_code(rows.where("pos = 0")).first().exit_code == 0
+    assert results.exit_code(rows, F.count_if(F.col("status") == "failed") > 0).first().exit_code == 130
     urls = spark.createDataFrame([(i, "u") for i in range(4)], "pos int, url string")
     assert {r.pos: r.status for r in results.gather(urls, rows).collect()}[3] == "cancelled"
 
@@ -128,9 +131,11 @@ def test_log_lines(spark, tmp_path):
     assert rows == [("a.log", i, v) for i, v in enumerate(lines)] + [("b.log", 0, "only")]
 
 
+@pytest.mark.parametrize("most", [0, 60, 1_000_000])
 @pytest.mark.parametrize("width", [1, 7, 1000])
-def test_slices(spark, width):
-    rows = [(k, i * 3 % 101, i % 4 == 0) for i in range(101) for k in ("a", None)]
+def test_slices(spark, monkeypatch, width, most):
+    monkeypatch.setattr(slices, "MOST_ROWS", most)
+    rows = [(k, i * 3 % 101, i % 4 == 0) for i in range(101) for k in ("a", None)] + [("few", t, t % 2 == 0) for t in range(52)]
     df = spark.createDataFrame(rows, "k string, t long, p boolean")
     ones, value = F.col("p").cast("long"), F.when(F.col("p"), F.col("t"))
     got = slices.sum_before(df, ["k"], ["t"], ones, F.floor(F.col("t") / width), "n", total="all")
@@ -159,3 +164,105 @@ def test_responses(spark):
     ]
     got = responses.playlist_urls(spark.createDataFrame(rows, schemas.RESPONSES)).orderBy("seq", "place").collect()
     assert [(r.seq, r.place, r.url) for r in got] == [(0, -1, "https://h/a.M3U8?x"), (1, 0, "https://c/z.m3u8"), (1, 2, "https://c/y.m3u8")]
+
+
+def gone_through(steps, tries):
+    """request, attempt and fate of a key's steps, one after another."""
+    out, request, attempt = [], 0, 0
+    for step in steps:
+        goes_on = step in ("retry", "refresh")
+        last = attempt == tries - 1
+        out.append((request, attempt, "used_up" if goes_on and last else step))
+        request, attempt = (request, attempt + 1) if goes_on and not last else (request + 1, 0)
+    return out
+
+
+@pytest.mark.parametrize(("tries", "most"), [(1, 1_000_000), (3, 1_000_000), (3, 50)])
+def test_fates(spark, monkeypatch, tries, most):
+    """Against going through the attempts one by one; one key holds over a third of the rows."""
+    monkeypatch.setattr(slices, "MOST_ROWS", most)
+    rng = random.Random(tries)
+    kinds = ["retry", "retry", "retry", "refresh", "ok", "failed", "stop"]
+    history = {k: [rng.choice(kinds) for _ in range(n)] for k, n in (("hot", 400), (None, 120), *[(f"k{i}", i % 9) for i in range(60)])}
+    rows = [(k, t * 7, step) for k, steps in history.items() for t, step in enumerate(steps)]
+    df = spark.createDataFrame(rows, "k string, t long, step string").repartition(5)
+    tried = fate.requests(df, ["k"], ["t"], "step", tries, F.floor(F.col("t") / 100))
+    got = {(r.k, r.t): (r.request, r.attempt, r.fate) for r in tried.collect()}
+    want = {(k, t * 7): w for k, steps in history.items() for t, w in enumerate(gone_through(steps, tries))}
+    assert got == want
+    for r in fate.fates(tried, ["k"]).collect():
+        own = [w for (k, _), w in sorted(want.items(), key=lambda x: x[0][1]) if k == r.k and w[0] == r.request]
+        last = own[-1][2]
+        assert (r.tries, r.refreshes, r.fate) == (len(own), sum(w[2] == "refresh" for w in own), "open" if last in ("retry", "refresh") else last)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_waits(spark, monkeypatch, most):
+    monkeypatch.setattr(slices, "MOST_ROWS", most)
+    rng = random.Random(7)
+    pauses = [(rng.choice("ab"), T0 + timedelta(seconds=rng.randint(0, 60)), i, rng.choice([1.5, 10.0, 0.0])) for i in range(40)]
+    tries = [(rng.choice("abc"), T0 + timedelta(seconds=rng.randint(0, 70)), i) for i in range(90)]
+    got = resilience.waits(
+        spark.createDataFrame(tries, "u string, ts timestamp, seq long"), spark.createDataFrame(pauses, "u string, ts timestamp, seq long, seconds double"), "u", ["seq"], slice_by=F.floor(F.unix_micros("ts") / 7_000_000)
+    ).collect()
+    want = {}
+    for u, ts, seq in tries:
+        before = [p for p in pauses if p[0] == u and p[1] <= ts]
+        last = max(before, key=lambda p: (p[1], p[2]), default=None)
+        want[seq] = max(0, int((last[1] + timedelta(seconds=last[3]) - ts) / timedelta(microseconds=1))) if last else 0
+    assert {r.seq: r.wait_us for r in got} == want and any(want.values())
+
+
+def test_block_fields(spark):
+    lines = ["frame=N/A", "fps=2.5", "progress=continue", "frame=1", "frame=2", "speed=1.5x", "out_time_us=5", "out_time_ms=6", "junk", "progress=end", "frame=9", "progress=continue"]
+    df = spark.createDataFrame([(k, i, v) for k in ("s", "t") for i, v in enumerate(lines)] + [("u", 0, "frame=x"), ("u", 1, "progress=end"), ("open", 0, "frame=3")], schemas.PROGRESS_LINES)
+    got = {tuple(r) for r in progress.block_fields(df, "source", ["line_no"], strict=False).collect()}
+    whole = [(0, None, 2.5, None, None, None, None, None, "continue"), (1, 2, None, 1.5, None, 5, 6, None, "end")]
+    assert got == {(k, *w) for k in ("s", "t") for w in whole} | {("u", 0, None, None, None, None, None, None, None, "end")}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        progress.block_fields(df, "source", ["line_no"]).collect()
+
+
+@pytest.mark.parametrize(("n", "sizes"), [(1, [1, 1]), (100, [1, 1]), (101, [2, 1]), (10_000, [100, 1]), (10_001, [101, 2, 1])])
+def test_merge_tree(spark, n, sizes):
+    rows = segments.merge_tree(spark.createDataFrame([("v", n), ("none", 0)], "video_id string, segments long")).collect()
+    by_level = {k: sorted((r.first, r.inputs) for r in rows if r.level == k) for k in range(len(sizes))}
+    assert {r.video_id for r in rows} == {"v"} and [len(by_level[k]) for k in sorted(by_level)] == sizes
+    for k, below in enumerate([n, *sizes[:-1]]):
+        covered = [i for first, m in by_level[k] for i in range(first, first + m)]
+        assert covered == list(range(below))
+    assert [(r.level, r.node) for r in rows if r.is_output] == [(len(sizes) - 1, 0)]
+
+
+def test_resume_after_a_change(spark, tmp_path):
+    store = str(tmp_path / "signatures")
+    first = spark.createDataFrame([("v", "https://h/l", "a\nb\nc"), ("w", "https://h/l", "x\ny")], schemas.PLAYLISTS)
+    present = spark.createDataFrame([("v", 0, 9), ("v", 1, 0), ("w", 0, 9), ("w", 1, 9)], schemas.SEGMENTS_PRESENT)
+
+    def to_fetch(playlists):
+        return sorted((r.video_id, r.idx) for r in segments.resume(playlists, signatures.stored(spark, store), present).collect())
+
+    assert to_fetch(first) == [("v", 0), ("v", 1), ("v", 2), ("w", 0), ("w", 1)]
+    signatures.update(first, store)
+    assert to_fetch(first) == [("v", 1), ("v", 2)]
+    changed = first.where("video_id = 'w'").withColumn("content", F.lit("x\nz"))
+    assert to_fetch(changed) == [("w", 0), ("w", 1)]
+    for _ in range(2):  # run again it changes nothing
+        assert signatures.update(changed, store).count() == 2
+        assert sorted(p.name for p in (tmp_path / "signatures").glob("snapshot=*")) == ["snapshot=0", "snapshot=1"]
+    assert to_fetch(changed) == [] and to_fetch(first) == [("v", 1), ("v", 2), ("w", 0), ("w", 1)]
+
+
+def test_segment_folders(spark, tmp_path):
+    for i in range(1000):
+        folder = tmp_path / "media" / f"{i % 7}" / (f".film {i}_segments" if i % 2 else f"v{i}")
+        folder.mkdir(parents=True)
+        (folder / "00000.ts").write_bytes(b"x" * (i % 3))
+        (folder / "00002.ts").write_bytes(b"xx")
+        (folder / "batch_00000.ts").write_bytes(b"x")
+    present = files.segment_folders(spark, str(tmp_path / "media" / "*" / "*"))
+    assert present.count() == 1000 + sum(i % 3 > 0 for i in range(1000))
+    names = [f"film {i}" if i % 2 else f"v{i}" for i in range(1000)]
+    expected = spark.createDataFrame([(v, i) for v in names for i in range(3)], "video_id string, idx int")
+    lost = segments.missing(expected, present, "video_id", "idx").collect()
+    assert sorted((r.video_id, r.idx) for r in lost) == sorted([(v, 1) for v in names] + [(v, 0) for i, v in enumerate(names) if i % 3 == 0])

@@ -42,11 +42,23 @@ def goes_on(status: Column, attempt: Column, attempts: Column | int) -> Column:
 
 
 def outcome(status: Column, length: Column, parallel: Column) -> Column:
-    """ok, retry or failed. An empty body fails at once in sequence and is retried in parallel."""
-    empty = F.when(parallel, "retry").otherwise("failed")
-    return F.when((status == 200) & (length > 0), "ok").when(status == 200, empty).when(is_retryable(status), "retry").otherwise("failed")
+    """ok, retry or failed. An empty body, or no answer at all (a null status), fails at once in sequence and is retried
+    in parallel."""
+    nothing = F.when(parallel, "retry").otherwise("failed")
+    return F.when((status == 200) & (length > 0), "ok").when(status.isNull() | (status == 200), nothing).when(is_retryable(status), "retry").otherwise("failed")
 
 
-def refresh(status: Column) -> Column:
-    """What a playlist request leads to."""
-    return F.when(status == 200, "text").when(status.isin(403, 410), "refresh").otherwise("stop")
+def refresh(status: Column, can_refresh: Column | None = None, renewed: Column | None = None) -> Column:
+    """What a playlist request leads to: its text, a new address, another try (no answer, a null status) or the end.
+
+    can_refresh is whether there is something that finds new addresses, renewed whether it found one; both hold where
+    not given, a null doesn't.
+    """
+    found = F.lit(True)
+    for given in (can_refresh, renewed):
+        found = found if given is None else found & F.coalesce(given, F.lit(False))
+    return F.when(status.isNull(), "retry").when(status == 200, "text").when(status.isin(403, 410) & found, "refresh").otherwise("stop")
+
+
+#: Steps after which another try follows.
+GOING_ON = ("retry", "refresh")

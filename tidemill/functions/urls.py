@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .text import strip
 
+# How a video's id stands in a url, what stands for hidden parts, what a file name can't hold, and the most
+# characters of a title.
 VIDEO = r"video-(-?\d+)_(\d+)"
 REDACTED = "***REDACTED***"
-#: What a file name can't hold, and the most characters of a title.
 FORBIDDEN, TITLE_LENGTH = '/\\:*?"<>|', 100
 
 
@@ -53,14 +50,65 @@ def is_playlist(url: Column) -> Column:
     return F.coalesce(F.lower(url).contains(".m3u8"), F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def _join(base: pd.Series, part: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or p is None else urljoin(b, p) for b, p in zip(base, part, strict=True)], dtype=object)
+#: Characters before a url that don't belong to it.
+BLANK = "".join(map(chr, range(33)))
+#: The parts of a url (RFC 3986): scheme, authority with its slashes, path, query and fragment.
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+#: A path's last name and the parameters that follow its first semicolon.
+PARAMETERS = r"^((?:[^/]*/)*[^/;]*)(;[^/]*)?$"
+
+
+def _without_dots(names: Column) -> Column:
+    """A path's names with `.` and `..` worked off from the left; `..` at the top goes no further."""
+
+    def step(out: Column, name: Column) -> Column:
+        up = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name == ".", out).otherwise(F.concat(out, F.array(name)))
+
+    done = F.aggregate(names, F.array().cast("array<string>"), step)
+    return F.when(F.element_at(names, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+
+
+def _inner(names: Column) -> Column:
+    """Names without empty ones between the first and the last."""
+    return F.filter(names, lambda name, i: (name != "") | (i == 0) | (i == F.size(names) - 1))
+
+
+def _path_parts(path: Column) -> tuple[Column, Column]:
+    """A path's names and the parameters of the last one, empty if there is but a semicolon."""
+    parameters = F.regexp_extract(path, PARAMETERS, 2)
+    return F.regexp_extract(path, PARAMETERS, 1), F.when(parameters != ";", parameters).otherwise("")
+
+
+def _rooted(path: Column) -> Column:
+    """A path as it follows an authority."""
+    return F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def join(base: Column, reference: Column) -> Column:
+    """The url that a reference means at a base with http or https; as a standard library's join of urls gives it."""
+    given = F.translate(F.ltrim(reference, F.lit(BLANK)), "\t\r\n", "")
+    site = F.translate(F.ltrim(base, F.lit(BLANK)), "\t\r\n", "")
+    scheme, authority, path, query, fragment = [F.regexp_extract(given, PARTS, i) for i in range(1, 6)]
+    own_scheme, own_authority, own_path, own_query = [F.regexp_extract(site, PARTS, i) for i in range(1, 5)]
+    own_scheme = F.lower(own_scheme)
+    names, parameters = _path_parts(path)
+    query, fragment = F.when(query != "?", query).otherwise(""), F.when(fragment != "#", fragment).otherwise("")
+    own_names, own_parameters = _path_parts(own_path)
+    before, below = F.split(own_names, "/", -1), F.split(names, "/", -1)
+    before = F.when(F.element_at(before, -1) != "", F.slice(before, F.lit(1), F.size(before) - 1)).otherwise(before)
+    merged = F.array_join(_without_dots(F.when(names.startswith("/"), below).otherwise(_inner(F.concat(before, below)))), "/")
+    elsewhere = F.concat(own_scheme, F.lit(":"), authority, _rooted(F.concat(names, parameters)), query, fragment)
+    there = F.concat(own_scheme, F.lit(":"), own_authority, _rooted(F.concat(own_names, own_parameters)), F.when(query != "", query).otherwise(own_query), fragment)
+    beside = F.concat(own_scheme, F.lit(":"), own_authority, F.when(merged == "", "/").otherwise(_rooted(merged)), parameters, query, fragment)
+    other = (scheme != "") & (F.lower(scheme) != own_scheme)
+    has_authority = F.length(authority) > 2
+    return F.when(reference == "", base).when(other, reference).when(has_authority, elsewhere).when((names == "") & (parameters == ""), there).otherwise(beside)
 
 
 def resolve(base: Column, segment: Column) -> Column:
     """The segment's url; whatever starts with http is taken as it is."""
-    return F.when(segment.startswith("http"), segment).otherwise(_join(base, segment))
+    return F.when(segment.startswith("http"), segment).otherwise(join(base, segment))
 
 
 def sanitize_title(title: Column) -> Column:

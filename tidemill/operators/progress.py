@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import progress, text
 from .slices import sum_before
 
 
@@ -20,6 +21,21 @@ def blocks(lines: DataFrame, key: str, order: list[str], terminator: Column, sli
     return sum_before(lines, [key], order, _ones(terminator), slice_by, "block", total="n_blocks").where("block < n_blocks").drop("n_blocks")
 
 
+def block_fields(lines: DataFrame, key: str, order: list[str], slice_by: Column | None = None, strict: bool = True) -> DataFrame:
+    """A row for each finished block of `line`s: key, block and the fields with their types, the last value of each.
+
+    Lines after the end are left out, a block without its progress line too. A field that is missing or N/A is null; a
+    bad number raises, or is null with strict=False.
+    """
+    pairs = lines.withColumn("_pair", text.key_value(F.col("line"))).where("_pair IS NOT NULL")
+    name = F.col("_pair")["key"]
+    rows = until_end(pairs, key, order, (name == "progress") & (F.col("_pair")["value"] == "end"))
+    rows = blocks(rows, key, order, name == "progress", slice_by)
+    last = [F.max_by(F.col("_pair")["value"], F.when(name == f, F.struct(*order))).alias(f) for f in progress.FIELDS]
+    whole = rows.groupBy(key, "block").agg(*last)
+    return whole.select(key, "block", *[progress.field(f, F.col(f), strict).alias(f) for f in progress.FIELDS])
+
+
 def until_end(lines: DataFrame, key: str, order: list[str], end: Column) -> DataFrame:
     """lines up to the first end, itself included."""
     first = lines.where(end).groupBy(F.col(key).alias("end_key")).agg(F.min(F.struct(*order)).alias("end_at"))

@@ -21,6 +21,21 @@ def paused(rows: DataFrame, key: str, order: list[str], is_pause: Column, ts: st
     return known.withColumn("paused", F.coalesce(F.unix_micros(ts) < F.col("until"), F.lit(False))).drop("until")
 
 
+def waits(attempts: DataFrame, pauses: DataFrame, key: str, order: list[str], ts: str = "ts", slice_by: Column | None = None) -> DataFrame:
+    """attempts with wait_us: how long each still has to wait, in microseconds, for the last pause of its key that was
+    set at or before its time; 0 without one. A later pause replaces an earlier one, even a longer one.
+
+    pauses: the key, the time, seconds, and `order`, which tells rows of one time apart in both tables. An as-of join:
+    both tables in one order of time, each attempt with the last value before it; slice_by is made of key and time.
+    """
+    until = F.unix_micros(ts) + (F.col("seconds") * 1_000_000).cast("long")
+    marked = attempts.withColumn("_until", F.lit(None).cast("long")).withColumn("_kind", F.lit(1))
+    both = marked.unionByName(pauses.select(key, ts, *order, until.alias("_until"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    known = last_before(both, [key], [ts, "_kind", *order], F.col("_until"), slice_by, "_last").where("_kind = 1")
+    left = F.greatest(F.col("_last") - F.unix_micros(ts), F.lit(0).cast("long"))
+    return known.withColumn("wait_us", F.coalesce(left, F.lit(0).cast("long"))).drop("_until", "_kind", "_last")
+
+
 def peak_concurrency(intervals: DataFrame, key: str, slice_seconds: int = 3600) -> DataFrame:
     """The most intervals of a key that are open at one time; one that ends when another begins doesn't overlap it.
 

@@ -30,9 +30,15 @@ def failures(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") != "success").select("pos", "url", "status")
 
 
-def exit_code(results: DataFrame) -> DataFrame:
-    """One row: 0 if there are results and all are successful, else 1."""
-    return results.agg(F.when((F.count("*") > 0) & (F.count_if(F.col("status") != "success") == 0), 0).otherwise(1).alias("exit_code"))
+#: Fixed value: the exit code of a run that its user broke off.
+BROKEN_OFF = 130
+
+
+def exit_code(results: DataFrame, broken_off: Column | None = None) -> DataFrame:
+    """One row: 130 if the run was broken off (an aggregate over results), 0 if there are results and all are
+    successful, else 1."""
+    code = F.when((F.count("*") > 0) & (F.count_if(F.col("status") != "success") == 0), 0).otherwise(1)
+    return results.agg((code if broken_off is None else F.when(broken_off, BROKEN_OFF).otherwise(code)).alias("exit_code"))
 
 
 def ordered_distinct(values: Column) -> Column:

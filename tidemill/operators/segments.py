@@ -24,6 +24,17 @@ def stale(playlists: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(old, "video_id", "left").select("video_id", "signature", (~F.col("signature").eqNullSafe(F.col("stored"))).alias("stale"))
 
 
+def kept(present: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The files that are still good: those of videos whose signature is the stored one. verdicts as `stale` gives them."""
+    return present.join(verdicts.where("NOT stale").select("video_id"), "video_id", "left_semi")
+
+
+def resume(playlists: DataFrame, stored: DataFrame, present: DataFrame) -> DataFrame:
+    """video_id, idx, segment and url of what is to be fetched: all of a changed playlist, else what has no file."""
+    verdicts = stale(playlists, stored)
+    return missing(segments(playlists), kept(present, verdicts), "video_id", "idx")
+
+
 def missing(expected: DataFrame, present: DataFrame, *keys: str) -> DataFrame:
     """Expected rows without a file that isn't empty."""
     return expected.join(present.where("length > 0"), list(keys), "left_anti")
@@ -51,6 +62,26 @@ def merge_batches(expected: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     return expected.groupBy("video_id", start).agg(F.count("*").alias("segments"), F.array_join(line, "\n").alias("listing"))
 
 
+def merge_tree(counts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """The merges that make one file of each video's segments: video_id, level, node, first, inputs and is_output.
+
+    counts: video_id and segments. A merge of level 0 takes up to fan_in segments from `first` on, one of a higher level
+    so many nodes of the level below. The last one makes the output; there is one above level 0 even for one batch.
+    """
+    n, fan = F.col("segments"), F.lit(fan_in)
+    # sizes: the number of nodes of each level; 64 bits of segments have no more than 64 levels
+    sizes = F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)),
+        F.array(F.ceil(n / fan)),
+        lambda done, _: F.when((F.element_at(done, -1) > 1) | (F.size(done) == 1), F.concat(done, F.array(F.ceil(F.element_at(done, -1) / fan)))).otherwise(done),
+    )
+    levels = counts.where(n > 0).select("video_id", n.alias("below"), F.posexplode(sizes).alias("level", "nodes"), sizes.alias("sizes"))
+    below = F.when(F.col("level") == 0, F.col("below")).otherwise(F.get("sizes", F.col("level") - 1))
+    each = levels.withColumn("below", below).withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nodes") - 1)))
+    first = F.col("node") * fan_in
+    return each.select("video_id", "level", "node", first.alias("first"), F.least(F.lit(fan_in).cast("long"), F.col("below") - first).alias("inputs"), (F.col("level") == F.size("sizes") - 1).alias("is_output"))
+
+
 def missing_files(expected: DataFrame, present: DataFrame) -> DataFrame:
     """video_id and the names of files without which a merge can't begin, in order."""
     lost = missing(expected.select("video_id", "idx"), present, "video_id", "idx")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cookies, progress, quality, resilience, routing, status, text, urls
+from ..operators import fate
 from ..operators import progress as progress_ops
 from ..operators import resilience as resilience_ops
 from ..operators import results, segments, select
@@ -388,14 +389,14 @@ def q32_cookie_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 403 ELSE 200 END AS status, event_id % 2 AS size, event_id % 3 = 0 AS parallel FROM events)
-SELECT event_id, CASE WHEN status = 200 AND size > 0 THEN 'ok' WHEN status = 200 THEN CASE WHEN parallel THEN 'retry' ELSE 'failed' END WHEN status = 503 THEN 'retry' ELSE 'failed' END AS outcome,
-  CASE status WHEN 200 THEN 'text' WHEN 403 THEN 'refresh' ELSE 'stop' END AS playlist FROM a"""
+    """WITH a AS (SELECT event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 WHEN 'purchase' THEN 403 WHEN 'click' THEN 200 END AS status, event_id % 2 AS size, event_id % 3 = 0 AS parallel, event_id % 5 > 0 AS known FROM events)
+SELECT event_id, CASE WHEN status = 200 AND size > 0 THEN 'ok' WHEN status = 503 THEN 'retry' WHEN parallel AND (status IS NULL OR status = 200) THEN 'retry' ELSE 'failed' END AS outcome,
+  CASE WHEN status IS NULL THEN 'retry' WHEN status = 200 THEN 'text' WHEN status = 403 AND known THEN 'refresh' ELSE 'stop' END AS playlist FROM a"""
 )
 def q33_attempt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 404).when(F.col("event_type") == "purchase", 403).otherwise(200)
+    code = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 404).when(F.col("event_type") == "purchase", 403).when(F.col("event_type") == "click", 200)
     outcome = resilience.outcome(code, F.col("event_id") % 2, F.col("event_id") % 3 == 0)
-    return table(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"), resilience.refresh(code).alias("playlist"))
+    return table(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"), resilience.refresh(code, F.col("event_id") % 5 > 0).alias("playlist"))
 
 
 @query(
@@ -491,8 +492,8 @@ def q42_response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH m AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'yt-dlp' WHEN 'view' THEN 'ffmpeg' WHEN 'purchase' THEN 'auto' END AS method, event_id % 2 = 0 AS verify, CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'browser' END AS source FROM events)
-SELECT event_id, CASE WHEN method IN ('yt-dlp', 'auto') THEN 'direct_with_resume' WHEN method = 'ffmpeg' THEN 'remux' END AS way,
-  coalesce(method = 'yt-dlp' OR method = 'auto' AND coalesce(source, '') <> 'none', false) AS cookies, coalesce(method = 'ffmpeg' AND NOT verify, false) AS warns FROM m"""
+SELECT event_id, CASE WHEN method IN ('yt-dlp', 'auto') THEN 'direct_with_resume' WHEN method = 'ffmpeg' THEN 'remux' END AS way, CASE WHEN method IS NOT NULL THEN 'segments' END AS fallback,
+  method IS NOT NULL AND source IS NOT NULL AND source <> 'none' AS cookies, coalesce(method = 'ffmpeg' AND NOT verify, false) AS warns FROM m"""
 )
 def q43_method_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
@@ -509,9 +510,156 @@ def q44_remux_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT c_custkey, 'Configuration error: one or more settings have invalid values.' || chr(10) || 'Check your .env file or TIDEMILL_* environment variables:' || chr(10) ||
-  '  - max_retries: ' || c_mktsegment || chr(10) || '    Received: <redacted>' || chr(10) || 'Fix the offending value(s) and try again.' AS message FROM customer"""
+    """SELECT c_custkey, 'Settings that can''t be used:' || chr(10) || 'TIDEMILL_MAX_RETRIES = (hidden): ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'TIDEMILL_LOG_LEVEL = (hidden): unknown' ELSE '' END AS message FROM customer"""
 )
 def q45_settings_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = F.array(F.struct(F.lit("max_retries").alias("field"), F.col("c_mktsegment").alias("message")))
+    first = F.struct(F.lit("max_retries").alias("field"), F.col("c_mktsegment").alias("message"))
+    second = F.struct(F.lit("log_level").alias("field"), F.lit("unknown").alias("message"))
+    errors = F.when(F.col("c_custkey") % 2 == 0, F.array(first, second)).otherwise(F.array(first))
     return table(spark, sf_dir, "customer").select("c_custkey", routing.settings_message(errors, PREFIX).alias("message"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a video's attempts, for a third of the users each: one by one, in parallel and of a playlist.
+
+    Views are playlists and segments that got no answer, and some bodies are empty.
+    """
+    kind, k = F.col("event_type"), F.col("event_id")
+    code = F.when(kind == "error", 503).when(kind == "signup", 404).when(kind == "purchase", F.when(k % 2 == 0, 403).otherwise(410)).when(kind == "click", 200)
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("status", code)
+    segment = resilience.outcome(F.col("status"), k % 5, F.col("user_id") % 3 == 1)
+    playlist = resilience.refresh(F.col("status"), k % 4 > 0, k % 7 > 0)
+    return rows.select("user_id", "event_id", "ts", "status", F.when(F.col("user_id") % 3 == 2, playlist).otherwise(segment).alias("step"))
+
+
+STEPS = """a AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 403 ELSE 410 END WHEN 'click' THEN 200 END AS status,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT *, CASE WHEN user_id % 3 = 2 THEN CASE WHEN status IS NULL THEN 'retry' WHEN status = 200 THEN 'text' WHEN status IN (403, 410) AND event_id % 4 > 0 AND event_id % 7 > 0 THEN 'refresh' ELSE 'stop' END
+  WHEN status = 200 AND event_id % 5 > 0 THEN 'ok' WHEN status = 503 THEN 'retry' WHEN user_id % 3 = 1 AND coalesce(status, 200) = 200 THEN 'retry' ELSE 'failed' END AS step FROM a),
+r AS (SELECT user_id, n, step, status, 0 AS attempt, 0 AS request FROM s WHERE n = 1
+  UNION ALL SELECT s.user_id, s.n, s.step, s.status, CASE WHEN r.step IN ('retry', 'refresh') AND r.attempt < 2 THEN r.attempt + 1 ELSE 0 END, CASE WHEN r.step IN ('retry', 'refresh') AND r.attempt < 2 THEN r.request ELSE r.request + 1 END
+  FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {STEPS}
+SELECT user_id, CAST(request AS BIGINT) AS request, count(*) AS tries, count(*) FILTER (step = 'refresh' AND attempt < 2) AS refreshes,
+  CASE WHEN max(attempt) = 2 AND arg_max(step, n) IN ('retry', 'refresh') THEN 'used_up' WHEN arg_max(step, n) IN ('retry', 'refresh') THEN 'open' ELSE arg_max(step, n) END AS fate,
+  max(CASE WHEN status = 503 AND attempt < 2 THEN 0.05::DOUBLE * pow(2.0, attempt) END) AS longest FROM r GROUP BY user_id, request"""
+)
+def q46_request_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tried = fate.requests(attempts(spark, sf_dir), ["user_id"], ["ts", "event_id"], "step", 3, hours("ts"))
+    wait = F.when(resilience.goes_on(F.col("status"), F.col("attempt"), 3), resilience.longest_delay(F.col("status"), F.col("attempt")))
+    return fate.fates(tried, ["user_id"], F.max(wait).alias("longest"))
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, {ENTRIES} AS e FROM documents), n AS (SELECT doc_id, len(e) AS n, doc_id % 3 <> 1 AS stale FROM e WHERE e IS NOT NULL),
+i AS (SELECT doc_id, n, stale, unnest(range(n)) AS i FROM n), f AS (SELECT doc_id, count(*) AS m FROM i WHERE stale OR (doc_id + i) % 4 = 0 GROUP BY doc_id)
+SELECT doc_id AS video_id, n AS expected, stale, coalesce(m, 0) AS to_fetch, coalesce(m, 0) = 0 AS ready FROM n LEFT JOIN f USING (doc_id)"""
+)
+def q47_session_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    playlists = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.concat(F.lit("https://h/"), F.col("doc_id").cast("string"), F.lit("/l.m3u8")).alias("m3u8_url"), F.col("text").alias("content"))
+    known = playlists.where("video_id % 3 > 0").select("video_id", F.when(F.col("video_id") % 3 == 1, text.signature(text.entries(F.col("content")))).otherwise("another").alias("signature"))
+    each = playlists.select("video_id", F.posexplode(text.entries(F.col("content"))).alias("idx", "segment"))
+    present = each.where("(video_id + idx) % 4 <> 1 OR idx % 2 = 0").select("video_id", "idx", F.when((F.col("video_id") + F.col("idx")) % 4 == 0, 0).otherwise(188).alias("length"))
+    present = present.unionByName(each.where("(video_id + idx) % 4 = 1 AND idx % 2 > 0").select("video_id", "idx", F.lit(1).alias("length")))
+    open_ = segments.resume(playlists, known, present).groupBy("video_id").agg(F.count("*").alias("m"))
+    whole = playlists.where("content IS NOT NULL").select("video_id", F.size(text.entries(F.col("content"))).cast("long").alias("expected"))
+    out = whole.join(segments.stale(playlists, known).select("video_id", "stale"), "video_id").join(open_, "video_id", "left").withColumn("to_fetch", F.coalesce("m", F.lit(0).cast("long")))
+    return out.select("video_id", "expected", "stale", "to_fetch", (F.col("to_fetch") == 0).alias("ready"))
+
+
+@query(
+    """WITH p AS (SELECT user_id, ts, arg_max(epoch_us(ts) + CAST(trunc(value * 10 * 1000000) AS BIGINT), event_id) AS until FROM events WHERE event_type = 'error' GROUP BY user_id, ts),
+a AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'error')
+SELECT event_id, greatest(coalesce(until - epoch_us(a.ts), 0), 0) AS wait_us FROM a ASOF LEFT JOIN p ON p.user_id = a.user_id AND a.ts >= p.ts"""
+)
+def q48_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    pauses = rows.where("event_type = 'error'").select("user_id", "ts", "event_id", (F.col("value") * 10).alias("seconds"))
+    tried = rows.where("event_type <> 'error'").select("user_id", "ts", "event_id")
+    return resilience_ops.waits(tried, pauses, "user_id", ["event_id"], slice_by=hours("ts")).select("event_id", "wait_us")
+
+
+LINES = """l AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'frame' WHEN 'view' THEN 'speed' WHEN 'error' THEN 'total_size' WHEN 'signup' THEN 'out_time' ELSE 'progress' END AS k,
+  CASE event_type WHEN 'click' THEN CAST(event_id AS VARCHAR) WHEN 'view' THEN (event_id % 9) || '.5x' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'N/A' ELSE CAST(event_id * 1000 AS VARCHAR) END
+    WHEN 'signup' THEN '00:' || (event_id % 60) ELSE CASE WHEN event_id % 11 = 0 THEN 'end' ELSE 'continue' END END AS v FROM events)"""
+
+
+@query(
+    f"""WITH {LINES}, e AS (SELECT *, coalesce(bool_or(k = 'progress' AND v = 'end') OVER w, false) AS over, count(*) FILTER (k = 'progress') OVER w AS block FROM l
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT user_id, block, arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (k = 'frame') AS frame, arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (k = 'speed') AS speed,
+  arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (k = 'total_size') AS total_size, arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (k = 'out_time') AS out_time,
+  arg_max(v, struct_pack(t := ts, e := event_id)) FILTER (k = 'progress') AS progress FROM e WHERE NOT over GROUP BY user_id, block)
+SELECT user_id, block, CAST(frame AS INT) AS frame, CAST(rtrim(speed, 'x') AS DOUBLE) AS speed, CAST(nullif(total_size, 'N/A') AS BIGINT) AS total_size, out_time, progress FROM b WHERE progress IS NOT NULL"""
+)
+def q49_block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, key = F.col("event_type"), F.col("event_id").cast("string")
+    line = F.when(kind == "click", F.concat(F.lit(" frame="), key)).when(kind == "view", F.concat(F.lit("speed="), (F.col("event_id") % 9).cast("string"), F.lit(".5x ")))
+    line = line.when(kind == "error", F.concat(F.lit("total_size="), F.when(F.col("event_id") % 3 == 0, "N/A").otherwise((F.col("event_id") * 1000).cast("string"))))
+    line = line.when(kind == "signup", F.concat(F.lit("out_time=00:"), (F.col("event_id") % 60).cast("string")))
+    line = line.otherwise(F.when(F.col("event_id") % 11 == 0, "progress=end").otherwise("progress=continue"))
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("line", line)
+    return progress_ops.block_fields(rows, "user_id", ["ts", "event_id"], hours("ts")).drop("fps", "out_time_us", "out_time_ms")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT o_orderkey AS video_id, CAST(floor(o_totalprice / 1000) AS BIGINT) + CASE WHEN o_orderkey % 1000 = 0 THEN 10001 ELSE 0 END AS n FROM orders),
+t AS (SELECT video_id, 0 AS level, n AS below, (n + 99) // 100 AS nodes FROM c WHERE n > 0 UNION ALL SELECT video_id, level + 1, nodes, (nodes + 99) // 100 FROM t WHERE nodes > 1 OR level = 0)
+SELECT video_id, CAST(level AS INT) AS level, node, node * 100 AS first, least(100, below - node * 100) AS inputs, level > 0 AND nodes = 1 AS is_output FROM (SELECT *, unnest(range(nodes)) AS node FROM t)"""
+)
+def q50_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.floor(F.col("o_totalprice") / 1000) + F.when(F.col("o_orderkey") % 1000 == 0, 10_001).otherwise(0)
+    return segments.merge_tree(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), n.cast("long").alias("segments")))
+
+
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From videos' metadata to what is downloaded: the asked stream, its file and the result of each order."""
+    lines = table(spark, sf_dir, "lineitem")
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    height = F.when(F.col("l_returnflag") != "R", F.floor("l_quantity").cast("int") * 10)
+    address = F.concat(F.lit("https://m.example/"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".m3u8").otherwise(".mp4"))
+    stream = F.struct(address.alias("url"), height.alias("height"), F.when(F.col("l_linestatus") == "F", "none").otherwise("avc1").alias("vcodec"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), stream.alias("s")))), lambda x: x["s"])
+    name = F.concat(F.lit("order: "), F.col("l_orderkey").cast("string"))
+    body = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("id"), F.when(F.col("l_orderkey") % 3 > 0, name).otherwise("").alias("title"), F.col("formats")))
+    metadata_rows = lines.groupBy("l_orderkey").agg(listed.alias("formats")).select(body.alias("json"))
+    streams_ = metadata.streams(metadata_rows)
+    wanted = F.element_at(F.array(*map(F.lit, ("best", "worst", "240p", "480", "odd"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), wanted.alias("wanted")).distinct()
+    chosen = select.choose(asked, streams_).join(streams_.select("video_id", "pos", "title", "url"), ["video_id", "pos"], "left")
+    failed = status.status_label(F.col("error"), F.col("available"))
+    file = F.when(F.col("error").isNull(), urls.output_name(F.col("title"), F.concat(F.lit("1_"), "video_id"), F.col("video_id")))
+    return chosen.select("video_id", "wanted", "url", file.alias("output_path"), F.coalesce(failed, F.lit("success")).alias("status"))
+
+
+DOWNLOADS = """l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos,
+  'https://m.example/' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '.m3u8' ELSE '.mp4' END AS url, CASE WHEN l_returnflag <> 'R' THEN CAST(floor(l_quantity) AS INT) * 10 END AS h, l_linestatus FROM lineitem),
+s AS (SELECT * FROM l WHERE l_linestatus <> 'F'), w AS (SELECT DISTINCT o_orderkey AS k, ['best', 'worst', '240p', '480', 'odd'][o_orderkey % 5 + 1] AS wanted FROM orders),
+o AS (SELECT k, first(url ORDER BY (h IS NOT NULL) DESC, coalesce(h, 0) DESC, pos) AS best, first(url ORDER BY (h IS NULL), coalesce(h, 0), pos) AS worst,
+  first(url ORDER BY pos) FILTER (h = 240) AS u240, first(url ORDER BY pos) FILTER (h = 480) AS u480 FROM s GROUP BY k),
+c AS (SELECT w.k, wanted, o.k IS NOT NULL AS there, CASE wanted WHEN 'best' THEN best WHEN 'worst' THEN worst WHEN '240p' THEN u240 WHEN '480' THEN u480 END AS url FROM w LEFT JOIN o ON o.k = w.k),
+d AS (SELECT CAST(k AS VARCHAR) AS video_id, wanted, url, CASE WHEN url IS NOT NULL THEN CASE WHEN k % 3 > 0 THEN 'order_ ' || k ELSE CAST(k AS VARCHAR) END || '_1_' || k || '.mp4' END AS output_path,
+  CASE WHEN wanted = 'odd' THEN 'invalid_quality' WHEN url IS NOT NULL THEN 'success' WHEN there THEN 'quality_not_available' ELSE 'no_streams' END AS status FROM c)"""
+
+
+@query(f"WITH {DOWNLOADS} SELECT video_id, wanted, url, output_path, status FROM d")
+def q51_download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return downloads(spark, sf_dir)
+
+
+@query(f"WITH {DOWNLOADS} SELECT wanted, count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed FROM d GROUP BY ROLLUP (wanted)")
+def q52_download_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.summary_by(downloads(spark, sf_dir), "wanted", F.col("status") == "success")
+
+
+@query(
+    r"""WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+d AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS dir FROM u)
+SELECT page_id, site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END || 'up.ts' AS up, site || CASE WHEN path = '' THEN '' ELSE path END || '?t=1' AS same, regexp_extract(site, '^([a-z]+:)', 1) || '//cdn.example/x/' AS other FROM d"""
+)
+def q53_relative_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {"up": "./../up.ts", "same": "?t=1", "other": "//cdn.example/x/"}
+    return table(spark, sf_dir, "pages").select("page_id", *[urls.join(F.col("url"), F.lit(s)).alias(n) for n, s in parts.items()])

@@ -6,6 +6,9 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 PREFIX = "TIDEMILL_"
 LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 #: Bounds of the numbers.
@@ -39,9 +42,23 @@ class Settings:
             raise ValueError("log_level: unknown")
 
 
-def from_environment(environment: Mapping[str, str] | None = None, **given: object) -> Settings:
-    """Arguments go before the environment's prefixed names; values that don't fit raise."""
-    environment = os.environ if environment is None else environment
+def env_file(text: str) -> dict[str, str]:
+    """Names and values of the lines NAME=value of a .env file; `export` before a name, quotes around a value and what
+    follows ` #` after one without quotes are left out."""
+    out: dict[str, str] = {}
+    for line in map(str.strip, text.splitlines()):
+        name, equals, value = line.removeprefix("export ").partition("=")
+        if equals and not line.startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] in "'\"" and value[-1] == value[0]
+            out[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].rstrip()
+    return out
+
+
+def from_environment(environment: Mapping[str, str] | None = None, env_text: str = "", **given: object) -> Settings:
+    """Arguments go before the environment's prefixed names, and those before a .env file's text; values that don't fit
+    raise."""
+    environment = env_file(env_text) | dict(os.environ if environment is None else environment)
     read: dict[str, object] = {}
     for f in fields(Settings):
         text = environment.get(PREFIX + f.name.upper())
@@ -50,6 +67,12 @@ def from_environment(environment: Mapping[str, str] | None = None, **given: obje
     return Settings(**(read | given))  # type: ignore[arg-type]
 
 
+def unknown_settings(names: DataFrame) -> DataFrame:
+    """The rows of `name` that have the prefix and are no setting, as of many machines' environments."""
+    known = names.sparkSession.createDataFrame([(PREFIX + f.name.upper(),) for f in fields(Settings)], "known string")
+    return names.where(F.upper("name").startswith(PREFIX)).join(F.broadcast(known), F.upper("name") == F.col("known"), "left_anti")
+
+
 def unknown_names(environment: Mapping[str, str]) -> list[str]:
     """Prefixed names that are no setting, sorted."""
     known = {PREFIX + f.name.upper() for f in fields(Settings)}

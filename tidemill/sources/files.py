@@ -22,10 +22,11 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """source, line_no (from 0) and line of text files of any size: read in splits, numbered over them.
 
-    For captured logs; lines end with CR, LF or both.
+    For captured logs; lines end with CR, LF or both, and at no other break of Unicode (numbered_lines, for playlists
+    and url lists, knows those as well).
     """
     read = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
-    return sum_before(read, ["source"], ["split", "place"], F.lit(1).cast("long"), F.col("split"), "line_no").select("source", F.col("line_no").cast("int").alias("line_no"), "line")
+    return sum_before(read, ["source"], ["split", "place"], F.lit(1).cast("long"), F.col("split"), "line_no").select("source", "line_no", "line")
 
 
 def url_list(files: DataFrame) -> DataFrame:
@@ -42,6 +43,18 @@ def segment_folder(spark: SparkSession, path: str) -> DataFrame:
     return found.where(idx != "").select(idx.cast("int").alias("idx"), "length")
 
 
+def segment_folders(spark: SparkSession, folders: str) -> DataFrame:
+    """video_id, idx and length of the segment files in all folders that a glob names, as segment_folder's.
+
+    A video's folder is named `.<name>_segments`, or anything else that is its id. Names that begin with a dot are
+    hidden from Spark's listing, so the glob must reach the folders themselves, such as `media/*/*`; the driver expands
+    it and a job lists the files.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ts").load(folders).select("path", "length")
+    folder, idx = F.url_decode(F.regexp_extract("path", r"/([^/]+)/\d+\.ts$", 1)), F.regexp_extract("path", r"/(\d+)\.ts$", 1)
+    return found.where(idx != "").select(F.regexp_replace(folder, r"^\.(.*)_segments$", "$1").alias("video_id"), idx.cast("int").alias("idx"), "length")
+
+
 def write_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -1 +1 @@
-"""Stateful operators for Structured Streaming."""
+"""Streams: keyed state, sources and sinks."""
