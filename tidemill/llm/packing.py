@@ -22,7 +22,9 @@ gives an empty result. Further columns are dropped.
 from __future__ import annotations
 
 import os
-import zlib
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,34 +34,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import printable_bytes
 from .common import cut, join_hot, pick, running_sum, slices, utf8, written
 from .mixing import ranked_sources
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, PACKET, END = 4096, 256, 2
 #: Words whose ids a worker remembers in each of two generations, and the bytes of the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+#: Words that are parted here: printable ASCII and the Latin letters of two bytes that lower-case to one letter.
+LATIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
+PARTS = re.compile("[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 
 
 class Words:
     """A tokenizer that is asked once for each word between ASCII spaces, as its tokens and its normalisation never
-    reach over a space."""
+    reach over a space.
+
+    Words of Latin letters, digits and ASCII signs are parted as the tokenizer parts them, into letters, digits and
+    runs of signs, and its model is asked for the parts; other words, and those with apostrophes or special tokens, go
+    through the whole tokenizer.
+    """
 
     def __init__(self, text: str):
-        self.model = Tokenizer.from_str(text)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
+        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.end = self._bytes([END])
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in t or "<|" not in t for t in special):
+            raise ValueError("only special tokens that hold <| and no space are supported")
+        self.sign_of = {b: c for c, b in printable_bytes().items()}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _part(self, part: str, known: dict[bytes, bytes]) -> bytes:
+        """The ids of a part of a word, lower-cased; new ones are added to known."""
+        key = part.encode()
+        ids = self.young.get(key) or self.old.get(key) or known.get(key)
+        if ids is None:
+            signs = part if part.isascii() else key.decode("latin-1").translate(self.sign_of)
+            ids = known[key] = self._bytes([t.id for t in self.model.tokenize(signs)])
+        return ids
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that aren't among the younger ones."""
-        known = {w: self.old[w] for w in words if w in self.old}
-        new = [w for w in words if w not in known]
-        for word, got in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, self.kind).tobytes()
+        """The ids of words that aren't among the younger ones, and of their parts."""
+        known: dict[bytes, bytes] = {}
+        others = []
+        for word in words:
+            ids = self.old.get(word)
+            if ids is None:
+                text = word.decode()
+                if "'" in text or "<|" in text or not LATIN.fullmatch(text):
+                    others.append(word)
+                    continue
+                parts = PARTS.findall(text.lower())
+                ids = self._part(parts[0], known) if len(parts) == 1 else b"".join([self._part(p, known) for p in parts])
+            known[word] = ids
+        for word, got in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            known[word] = self._bytes(got.ids)
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young.update((w, ids) for w, ids in known.items() if len(w) <= LONGEST)
@@ -68,10 +110,14 @@ class Words:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, each with the end id."""
         split = [t.split() for t in texts]
-        young = self.young
-        known = self.learn({w for words in split for w in words if w not in young})
-        find = lambda w: young.get(w) or known.get(w) or b""
-        return [b"".join([*map(find, words), self.end]) for words in split]
+        got = [[*map(self.young.get, words)] for words in split]
+        known = self.learn({w for words, ids in zip(split, got, strict=True) if None in ids for w, g in zip(words, ids, strict=True) if g is None})
+        out = []
+        for words, ids in zip(split, got, strict=True):
+            if None in ids:
+                ids = [known[w] if g is None else g for w, g in zip(words, ids, strict=True)]
+            out.append(b"".join(ids) + self.end)
+        return out
 
 
 _words: dict[int, Words] = {}
