@@ -48,30 +48,59 @@ def test_templates(spark):
 
 
 def test_names_lines_and_edited_texts(spark):
-    """SPDX lines, a bare name, a text with words put in between its phrases, and one without its second phrase."""
+    """SPDX lines, a bare name, a text with words put in between its phrases, and one without its second phrase, which
+    decides and so makes it another text."""
     full = next(t for label, t, p in licenses.TEMPLATES if label == "mit" and "|" in p)
     edited = full.replace("any person", "any natural or legal person")
     cut_off = full.replace("to deal in the software without restriction", "to do what they like")
     texts = ["// SPDX-License-Identifier: GPL-3.0-only", "MIT License", edited, "x " * 500 + full, "identifier of a license", "SPDX-License-Identifier: nothing known", cut_off]
     noise = [(100 + i, f"some words of a text number {i} in the corpus", "en", "s") for i in range(200)]
     got = {r.doc_id: r.labels for r in licenses.op5(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + noise)).collect()}
-    assert [got[i] for i in range(len(texts))] == ["gpl-3", "mit", "mit", "mit", "", "", "mit"]
+    assert [got[i] for i in range(len(texts))] == ["gpl-3", "mit", "mit", "mit", "", "", ""]
     assert not any(got[r[0]] for r in noise)
 
 
+def test_more_names(spark):
+    texts = {
+        "Mozilla Public License, version 2.0": "mpl-2.0",
+        "Artistic License 2.0": "artistic-2.0",
+        "BSL-1.0": "bsl-1.0",
+        "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+        "under Apache-2.0 OR MIT": "apache-2.0,mit",
+        "SPDX-License-Identifier: (MIT AND Zlib) OR GPL-2.0-or-later WITH nothing": "gpl-2,mit,zlib",
+        "it is NOT released under the MIT license": "",
+        "MIT and ISC are names": "",
+    }
+    noise = [(1000 + i, "some other words of the corpus " * (i % 9), "en", "s") for i in range(200)]
+    got = {r.doc_id: r.labels for r in licenses.op5(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + noise)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_labels_against_brute_force(spark):
-    """A template's text stands in a file word by word exactly where brute force finds it."""
+    """Labels and scores are those of trying each template at every place."""
     rng = random.Random(2)
     chosen = [t for t in licenses.templates() if not t.base]
     rows = []
-    for i in range(150):
+    for i in range(320):
         words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
-        if i % 2:
+        for _ in range(i % 3):
+            put = [w.decode() for w in rng.choice(chosen).words]
+            for _ in range(rng.randrange(4)):  # edited: words lost, put in or moved
+                at = rng.randrange(len(put))
+                put[at : at + rng.randrange(2)] = rng.choice([[], ["new"], ["not"], ["or", "mit"], put[at : at + 1] * 2])
+                put = put or ["x"]
             at = rng.randrange(len(words))
-            words[at:at] = [w.decode() for w in rng.choice(chosen).words]
+            words[at:at] = put
         rows.append((i, " ".join(words), "en", "s"))
-    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.op5(docs(spark, rows)).collect()}
+    df = docs(spark, rows)
+    index = licenses.Index(*licenses.frequencies(df))
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in licenses.op5(df).collect()}
+    found = 0
     for i, text, _, _ in rows:
-        want = {t.label for t in licenses.templates() if f" {b' '.join(t.words).decode()} " in f" {text} "}
-        assert want <= got[i]
-        assert bool(want) == bool(got[i])
+        words = licenses.words_of(text.encode())
+        labels, score = set(filter(None, brute(text)[4].split(","))), 1.0 if brute(text)[1] else 0.0
+        more, best = licenses.outermost([index.fits(k, words, start) for k, t in enumerate(index.templates) if not t.base for start in range(-len(t.words), len(words))])
+        labels, score = labels | more, max(score, best)
+        assert (labels, round(min(score, 1), 9)) == (got[i][0], round(got[i][1], 9)), text
+        found += bool(labels)
+    assert found > 100

@@ -2,11 +2,14 @@
 
 Templates are short license texts with phrases that must occur. The index posts each template's rarest words, by
 document frequency over the whole corpus, with their positions, from inside and outside its phrases. A file's
-occurrences of posted words each say where a template would start; starts that several words agree on, within SLACK
-words, are candidates, and a candidate counts if all its mandatory phrases stand there word by word. Base phrases are templates of one phrase each: every place of theirs holds their
-rarest word, so looking that word up finds all places.
+occurrences of posted words each say where a template would start; starts around which several words agree, within SLACK
+words, are candidates. A candidate counts if all its mandatory phrases stand there word by word, if words of LEAST of its
+weight stand there, each within SLACK words of its place, and if no negation leads up to it. Base phrases are
+templates of one phrase each: every place of theirs holds their rarest word, so looking that word up finds all places.
+Identifiers, in a file's SPDX line or by themselves, are templates too; from there an expression is read on, over `or`,
+`and` and `with`.
 
-The score is the largest share, weighted by rarity, of an accepted template's words that stand at their places.
+The score is the largest share, weighted by rarity, of an accepted template's words that stand there.
 
 Defined cases: equal frequencies go by place in the template. A null text is empty: 0 words, no places, empty labels, null first and last word, score 0. Texts are
 taken whole. Null and repeated doc_ids each keep their rows. An empty table gives an empty result. Further columns
@@ -32,8 +35,11 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 POSTED = 4
 #: Share of a template's weight that must stand at its places.
 LEAST = 0.5
-#: Words by which a mandatory phrase may be off its place in the template.
+#: Words by which a word or phrase may be off its place in the template.
 SLACK = 3
+#: Words that take a template's meaning back where they stand before its first phrase, and those that may come between.
+NEGATIONS = frozenset({b"not", b"never", b"nor"})
+BETWEEN = frozenset(b"a an any as available be covered distributed is licensed made of offered provided published released subject terms the to under".split())
 
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -43,7 +49,11 @@ TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("artistic-2.0", "the artistic license 2 0", "artistic license 2 0"),
+    ("bsl-1.0", "boost software license version 1 0", "boost software license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc-nd", "cc by nc nd 4 0", "cc by nc nd"),
+    ("cc-by-nc-sa", "cc by nc sa 4 0", "cc by nc sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-text", "creative commons attribution 4 0 international license", "creative commons attribution"),
@@ -61,20 +71,20 @@ TEMPLATES = (
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         "permission is hereby granted free of charge|to deal in the software without restriction",
     ),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     (
         "zlib",
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
         "without any express or implied warranty|in no event will the authors be held liable",
     ),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license version 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 
 
-# Names of licenses in a file's SPDX line, as words, and their labels.
+# Identifiers of licenses, as words, and their labels; those of one word count in expressions only.
 SPDX = {
-    "agpl 3 0": "agpl", "apache 2 0": "apache-2.0", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0", "epl 2 0": "epl",
+    "agpl 3 0": "agpl", "apache 2 0": "apache-2.0", "artistic 2 0": "artistic-2.0", "bsl 1 0": "bsl-1.0", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "cc by 4 0": "cc-by-4.0", "cc by sa 4 0": "cc-by-sa", "cc0 1 0": "cc0", "epl 2 0": "epl",
     "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "isc": "isc", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "mit": "mit", "mpl 2 0": "mpl-2.0", "unlicense": "unlicense", "zlib": "zlib",
 }
 
@@ -86,12 +96,15 @@ class Template:
     #: Phrases with their place in the template.
     phrases: tuple[tuple[int, tuple[bytes, ...]], ...]
     base: bool
+    #: The word from which an expression is read, for identifiers.
+    reads: int | None = None
 
 
 def templates() -> list[Template]:
     out = [Template(label, t, ((0, t),), True) for text, label in BASE for t in [tuple(text.encode().split())]]
-    marked = tuple((label, f"spdx license identifier {name}", f"spdx license identifier {name}") for name, label in SPDX.items())
-    for label, text, phrases in TEMPLATES + marked:
+    marked = [("", "spdx license identifier", 3), *((label, name, 0) for name, label in SPDX.items() if " " in name)]
+    out += [Template(label, t, ((0, t),), False, reads) for label, text, reads in marked for t in [tuple(text.encode().split())]]
+    for label, text, phrases in TEMPLATES:
         words = tuple(text.encode().split())
         need = []
         for phrase in phrases.split("|"):
@@ -101,6 +114,41 @@ def templates() -> list[Template]:
     return out
 
 
+NOTHING: tuple[set[str], float, tuple[int, int]] = (set(), 0.0, (0, 0))
+
+
+def outermost(found: list[tuple[set[str], float, tuple[int, int]]]) -> tuple[set[str], float]:
+    """The labels and the best score of what fits, without what lies inside another's longer phrase."""
+    spans = {(a, b) for _, _, (a, b) in found}
+    kept = [(got, share) for got, share, (a, b) in found if got and not any(c <= a and b <= d and (c, d) != (a, b) for c, d in spans)]
+    return set().union(*[got for got, _ in kept]), max([share for _, share in kept], default=0.0)
+
+
+def negated(words: list[bytes], at: int) -> bool:
+    at -= 1
+    while at >= 0 and words[at] in BETWEEN:
+        at -= 1
+    return at >= 0 and words[at] in NEGATIONS
+
+
+_NAMES = {tuple(name.encode().split()): label for name, label in SPDX.items()}
+
+
+def expression(words: list[bytes], at: int) -> set[str]:
+    """Labels of the identifiers that an expression names, read from a place on."""
+    out: set[str] = set()
+    while True:
+        size = next((n for n in (3, 2, 1) if tuple(words[at : at + n]) in _NAMES), 0)
+        if not size:
+            return out
+        out.add(_NAMES[tuple(words[at : at + size])])
+        at += size
+        at += 1 if words[at : at + 1] == [b"only"] else 2 if words[at : at + 2] == [b"or", b"later"] else 0
+        if words[at : at + 1] not in ([b"or"], [b"and"], [b"with"]):
+            return out
+        at += 1
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text, A-Z lower-cased."""
     return WORD.findall(text.lower())
@@ -142,6 +190,20 @@ class Index:
             for i in rare:
                 self.postings.setdefault(t.words[i], []).append((k, i))
 
+    def fits(self, k: int, words: list[bytes], start: int) -> tuple[set[str], float, tuple[int, int]]:
+        """A template's labels, if it stands at a start, the share of its weight that does, and the place of its first
+        phrase."""
+        t = self.templates[k]
+        if t.reads is not None:
+            there = start >= 0 and tuple(words[start : start + len(t.words)]) == t.words and not negated(words, start)
+            got = expression(words, start + t.reads) if there else set()
+            return (got, 1.0, (start, start + len(t.words))) if got else NOTHING
+        places = [next((a for a in range(max(0, start + at - SLACK), start + at + SLACK + 1) if tuple(words[a : a + len(p)]) == p), None) for at, p in t.phrases]
+        if None in places or negated(words, places[0]):
+            return NOTHING
+        there = sum(self.idf[w] for i, w in enumerate(t.words) if w in words[max(0, start + i - SLACK) : max(0, start + i + SLACK + 1)])
+        return ({t.label}, there / self.weight[k], (places[0], places[0] + len(t.phrases[0][1]))) if there >= LEAST * self.weight[k] else NOTHING
+
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
         postings = self.postings
@@ -151,11 +213,9 @@ class Index:
                 if w in postings:
                     starts.update((k, at - i) for k, i in postings[w])
         places, base, labels, score = [], set(), set(), 0.0
-        for (k, start), votes in starts.items():
-            if self.need[k] > 1:
-                votes = sum(starts.get((k, start + d), 0) for d in range(-SLACK, SLACK + 1))
-            if votes < self.need[k]:
-                continue
+        tried: set[tuple[int, int]] = set()
+        found = []
+        for k, start in starts:
             t = self.templates[k]
             if t.base:
                 if start >= 0 and tuple(words[start : start + len(t.words)]) == t.words:
@@ -163,12 +223,14 @@ class Index:
                     base.add(t.label)
                     score = 1.0
                 continue
-            if not all(any(tuple(words[a : a + len(p)]) == p for a in range(max(0, start + at - SLACK), start + at + SLACK + 1)) for at, p in t.phrases):
+            if sum(starts.get((k, start + d), 0) for d in range(-2 * SLACK, 2 * SLACK + 1)) < self.need[k]:
                 continue
-            there = sum(self.idf[w] for i, w in enumerate(t.words) if 0 <= start + i < len(words) and words[start + i] == w)
-            if there >= LEAST * self.weight[k]:
-                labels.add(t.label)
-                score = max(score, there / self.weight[k])
+            tried.update((k, start + d) for d in range(-SLACK, SLACK + 1))
+        for k, start in tried:
+            if sum(starts.get((k, start + d), 0) for d in range(-SLACK, SLACK + 1)) >= self.need[k]:
+                found.append(self.fits(k, words, start))
+        more, best = outermost(found)
+        labels, score = labels | more, max(score, best)
         first, last = (min(places), max(places)) if places else (None, None)
         return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), min(score, 1.0)
 
