@@ -51,6 +51,17 @@ def test_cascade_is_exact_for_all_keys(spark, monkeypatch, shard_keys):
     assert len(got) == 2000 and all(r.is_listed == r.want and r.verdict == ("block" if r.want else "allow") for r in got)
 
 
+@pytest.mark.parametrize("shard_keys", [10**9, 90])
+def test_a_table_of_hosts(spark, shard_keys):
+    rows = [(i, f"http://H{i % 900}.net/") for i in range(2000)] + [(5000, "http://" + "long." * 20_000 + "org/x"), (5001, None)]
+    names = [f"h{i}.NET" for i in range(0, 900, 3)] * 2 + [None, "", "elsewhere.org", "long." * 20_000 + "org"]
+    table = spark.createDataFrame([(n, "x") for n in names], "Host string, listed string")
+    got = uf.judge(pages(spark, rows), table, (), shard_keys).collect()
+    want = {n.lower() for n in names if n is not None}
+    assert len(got) == len(rows) and all(r.is_listed == (r.host in want) for r in got)
+    assert sum(r.is_listed for r in got) > 600
+
+
 def test_nothing_listed_and_empty(spark):
     assert {r.verdict for r in uf.judge(pages(spark, [(1, "http://a.b/")]), F.lit(None).cast("boolean"), ()).collect()} == {"allow"}
     assert uf.op3(pages(spark, [])).collect() == []

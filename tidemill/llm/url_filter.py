@@ -12,7 +12,7 @@ bounded.
 Rules go before the method's verdict. A rule is a host and the start of a path: it fits its host and all subdomains
 if the url's path starts with the rule's path, and the longest rule wins.
 
-Defined cases: a null url, or one without `://`, has empty host and path. Hosts compare with A-Z lower-cased. Null
+Defined cases: a null url, or one without `://`, has empty host and path. Urls are taken whole, however long. Hosts compare with A-Z lower-cased. Null
 and repeated page_ids each keep their rows. Without listed keys nothing is blocked but by rules. An empty table gives
 an empty result. Further columns are dropped.
 """
@@ -38,7 +38,7 @@ LEVELS = 64
 
 # The rules of the query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Words whose hosts the query lists, as a parameter: a block list would come as a table of hosts.
+#: Words by which the query makes its table of listed hosts.
 LISTED_WORDS = ("ads", "adult", "bet", "bets", "casino", "pills", "porn", "spam", "viagra", "warez")
 
 
@@ -142,15 +142,24 @@ def is_listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray
     return out
 
 
-def judge(pages: DataFrame, listed: Column, rules: tuple[tuple[str, str, str], ...] = RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def _universe(hosts: DataFrame, listed: Column | DataFrame) -> DataFrame:
+    """h1, h2 and listed of the distinct hosts."""
+    if isinstance(listed, Column):
+        return hosts.select(*_hashes(F.col("host")), F.coalesce(listed, F.lit(False)).alias("listed"))
+    keys = pick(listed, "host").select(ascii_lower(F.col("host").cast("string")).alias("host")).distinct().withColumn("listed", F.lit(True))
+    return hosts.join(keys, "host", "left").select(*_hashes(F.col("host")), F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def judge(pages: DataFrame, listed: Column | DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """page_id, host, path, rule, verdict and is_listed for rows of page_id and url.
 
-    listed: whether a host is on the list, as a column over `host`; it is evaluated once for each distinct host.
+    listed: a table of hosts, in a column of that name (nulls list nothing, repeats count once), or whether a host is on
+    the list, as a column over `host`. It meets the distinct hosts of the corpus once, to fill the filters.
     """
     pages = pick(pages, "page_id", "url").select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = cut(split.select("host").distinct().select(*_hashes(F.col("host")), F.coalesce(listed, F.lit(False)).alias("listed")))
+    universe = cut(_universe(split.select("host").distinct(), listed))
     n = universe.where("listed").count()
     shards = max(1, math.ceil(n / shard_keys))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -179,5 +188,11 @@ def by_words(words: tuple[str, ...] = LISTED_WORDS) -> Column:
     return F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in words]))
 
 
+def hosts_with(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
+    """A table of the pages' hosts that have one of the words."""
+    hosts = pick(pages, "url").select(host_and_path(F.col("url").cast("string"))[0].alias("host"))
+    return hosts.where(by_words(words)).distinct()
+
+
 def op3(pages: DataFrame) -> DataFrame:
-    return judge(pages, by_words())
+    return judge(pages, hosts_with(pages))
