@@ -101,6 +101,44 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+def table_of(kind, rng, n=6000, d=24):
+    data = rng.normal(size=(n, d))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    if kind == "clustered":  # three quarters in tight groups; the queries outside are hard
+        centres = data[:40].copy()
+        data[: 3 * n // 4] = centres[rng.integers(0, 40, 3 * n // 4)] + 0.02 * rng.normal(size=(3 * n // 4, d))
+    elif kind == "copies":  # a third near copies of one vector
+        data[: n // 3] = data[0] + 0.003 * rng.normal(size=(n // 3, d))
+    return data[rng.permutation(n)].astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_recall_of_the_worst_queries(spark, kind):
+    data = table_of(kind, np.random.default_rng(8))
+    found = {}
+    for r in ann.op9(table(spark, [(i, v.tolist()) for i, v in enumerate(data)])).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    exact, recall = data.astype(np.float64), []
+    assert len(found) == 300 and all(len(f) == 20 for f in found.values())
+    for q, own in found.items():
+        score = exact @ exact[q]
+        score[q] = -9
+        recall.append(len(own & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95
+    assert np.mean(sorted(recall)[:30]) >= 0.9
+
+
+def test_lists_beyond_the_coarse_centroids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "COARSE", 10)
+    data = table_of("clustered", np.random.default_rng(9))
+    model = ann.Model(data.astype(np.float64), len(data))
+    assert model.lists == len(model.coarse) * len(model.fine) >= 77 > len(model.coarse) == 10
+    found = ann.op9(table(spark, [(i, v.tolist()) for i, v in enumerate(data)])).collect()
+    exact = data.astype(np.float64)
+    hits = sum(exact[r.query_id] @ exact[r.vec_id] >= np.sort(np.delete(exact @ exact[r.query_id], r.query_id))[-20] - 1e-12 for r in found)
+    assert hits / len(found) >= 0.9
+
+
 def test_nearest_among_copies_are_the_smallest_ids(spark):
     data = np.random.default_rng(4).normal(size=(900, 8))
     data[::3] = 3.0
