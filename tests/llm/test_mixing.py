@@ -55,6 +55,17 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize(("range_rows", "wide", "at_once"), [(8, 4, 3), (1, 2, 1)])
+def test_cuts_over_wide_ranges(spark, monkeypatch, range_rows, wide, at_once):
+    """More ranges than a wide one holds, and more equal rows than are written out at a time."""
+    for name, value in (("RANGE_ROWS", range_rows), ("WIDE", wide), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(mixing, name, value)
+    rows = [(i, "w " * (i % 13), "en", "hot" if i % 2 else f"s{i % 5}") for i in range(600)] + [(7000, "many equal rows", "en", "hot")] * 40
+    check(rows, mixing.mix(docs(spark, rows)).collect())
+    taken = sum(r.taken for r in mixing.op8(docs(spark, rows)).collect())
+    assert sum(size(r.text) for r in mixing.mixed_documents(docs(spark, rows)).collect()) == taken
+
+
 def test_query_and_documents(spark):
     rows = edge_rows() + [(100 + i, f"one\ttwo  three{i}\nfour ", "en", "abc"[i % 3]) for i in range(60)]
     df = docs(spark, rows, extra=True)

@@ -112,3 +112,34 @@ def test_posteriors_against_brute_force(spark):
             host = (a * prior + sum(h) - v - (mean - prior) * (len(h) - 1)) / (len(h) - 1 + a)
             site = (b * host + sum(p) - v - (mean - prior) * (len(p) - 1)) / (len(p) - 1 + b)
             assert got[r[1], r[2], r[3]][f"{t}_site"] == pytest.approx(site, rel=1e-6, abs=1e-9)
+
+
+def test_evidence_against_brute_force(spark):
+    """Log-odds of words and stems, counted and drawn towards 0 by hand, and the sums of the strongest."""
+    rows, labels, _, _ = tables(spark, seed=4)
+    text, sides = {r[0]: r[1] for r in rows}, {"quality": 1, "toxic": 2}
+    want: dict[str, list[float]] = {}
+    for t, at in sides.items():
+        groups = [[quality.features(text[r[0]]) for r in labels if r[at] == side] for side in (0, 1)]
+        all_no, all_yes = map(len, groups)
+        for word in set().union(*groups[0], *groups[1]):
+            no, yes = (sum(word in f for f in g) for g in groups)
+            odds = math.log((yes + 0.5) / (all_yes + 1)) - math.log((no + 0.5) / (all_no + 1))
+            error = math.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+            if t == "toxic":
+                value = odds / (1 + error**2 / quality.VARIANCE)
+            else:
+                value = odds - math.copysign(quality.DRAWN * error, odds) if abs(odds) / error >= quality.LEAST_Z and not word.startswith("<stem ") else 0.0
+            if no + yes >= quality.LEAST_ROWS:
+                want.setdefault(word, []).append(value)
+    words = quality.fit(docs(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, LABELS).select("doc_id", "quality", "toxic"))
+    assert set(words) <= set(want) and len(words) > 20
+    for word, (good, bad) in words.items():
+        assert (good, bad) == pytest.approx(want[word], abs=1e-9)
+    assert all(abs(v) < 1e-9 for word, values in want.items() if word not in words for v in values)
+    found = quality.scored(docs(spark, rows).select("doc_id", "source", "text"), words).collect()
+    for r in found:
+        for value, k in ((r.good, 0), (r.bad, 1)):
+            hits = sorted(words[f][k] for f in quality.features(text[r.doc_id]) if f in words)
+            total = sum(sorted(h for h in hits if h < 0)[: quality.STRONGEST]) + sum(sorted((h for h in hits if h > 0), reverse=True)[: quality.STRONGEST])
+            assert value == pytest.approx(quality.MOST * math.tanh(total / quality.MOST), abs=1e-9)

@@ -156,6 +156,76 @@ def test_equal_fingerprints_are_verified(spark, monkeypatch, crowded):
     assert kept == sorted([*want, (0, rows[-4][1]), (None, "no id at all")], key=str)
 
 
+def five_words(text):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+def distinct_print(text):
+    """The stage's fingerprint: of the distinct words."""
+    hashes = {xxhash.xxh64_intdigest(w.encode(), 42) for w in (text or "").lower().split()}
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def edited(rng, words, n, vocabulary):
+    own = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(own))
+        own[at : at + 1] = rng.choice([[rng.choice(vocabulary)], [], [own[at], rng.choice(vocabulary)]])
+    return own or ["x"]
+
+
+@pytest.mark.parametrize("crowded", [1024, 3])
+def test_the_stages_groups_against_brute_force(spark, monkeypatch, crowded):
+    """The pipeline's parameters: links are pairs within 6 bits, equal fingerprints too, that share 0.8 of their shingles."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = []
+    for group in range(24):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 300))]
+        for copy in range(7):
+            own = rng.sample(base, len(base)) if copy == 6 else edited(rng, base, rng.choice([0, 0, 1, 2, 4, 9, 30]), vocabulary)
+            rows.append((group * 10 + copy, " ".join(own), "en", "s"))  # a shuffled copy has the same fingerprint
+    rows += [(900, None, "en", "s"), (901, " ", "en", "s"), (902, "short text", "en", "s"), (903, "Short  text", "en", "s"), (904, "text short", "en", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows, extra=True), words=1, distance=6, similarity=0.8, distinct=True).collect()}
+    prints, sets = [distinct_print(r[1]) for r in rows], [five_words(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = apart = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 6
+            similar = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if near and similar:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                linked += prints[i] != prints[j]
+            apart += prints[i] == prints[j] and not similar
+    assert linked > 20 and apart > 20
+    assert got == {r[0]: rows[find(i)][0] for i, r in enumerate(rows)}
+
+
+def test_the_stages_recall_of_planted_near_copies(spark):
+    """Of all pairs that share 0.8 of their shingles, by any fingerprint, at least 0.9 end in one group."""
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for group in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 500))]
+        rows += [(group * 10 + copy, " ".join(edited(rng, base, int(len(base) * rate), vocabulary)), "en", "s") for copy, rate in enumerate((0, 0.005, 0.01, 0.015, 0.02, 0.03))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows), words=1, distance=6, similarity=0.8, distinct=True).collect()}
+    sets = [five_words(r[1]) for r in rows]
+    pairs = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 300
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[a] // 10 == a // 10 for a in got)  # texts of different groups stay apart
+
+
 def test_keep_one_and_empty(spark):
     rows = edge_rows()
     kept = simhash.keep_one(docs(spark, rows, extra=True))
