@@ -70,11 +70,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder as Parquet; for whole documents."""
+def write(df: DataFrame) -> str:
+    """The path, in the shared checkpoint folder, of the rows written as Parquet."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder as Parquet; for whole documents."""
+    return df.sparkSession.read.parquet(write(df))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what `write` has written, when nothing reads it any more."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
