@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of
 documents.
+
+Defined cases: a null, empty or blank text, or one without a letter, has no language and goes at the first stage, as
+do texts of a language that isn't learned; so later stages see none of these, but take them as their operators say.
+Texts are taken whole, however long. Of rows that are equal or near copies one stays, that with the smallest doc_id, of
+those the first by text; a null doc_id is no smallest one. Null sources are one source, the last. Rows whose lang or
+n_chars is null go through like others. The mix repeats rows and cuts one of a source, so doc_ids repeat from there on.
+An empty table gives an empty result. Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import bpe, language_id, mixing, pii, simhash
-from tidemill.llm.common import DOCUMENT_COLUMNS, written
+from tidemill.llm.common import DOCUMENT_COLUMNS, delete, write
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +61,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage has written goes when the next one has written its own."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if place == 0 else written(docs), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            path = write(docs)
+            if last:
+                delete(spark, last)
+            docs, last = spark.read.parquet(path), path
     return docs
