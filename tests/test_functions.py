@@ -108,6 +108,15 @@ def test_playlists(spark):
     assert one(spark, F.size(text.lines(F.col("c"))), c="a\nb\n") == 2
 
 
+def test_entries_line_by_line(spark):
+    rng = random.Random(6)
+    signs = ["a", "b.ts", "#x", " ", "\t", "\n", "\r\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "\u3000", "é", "  \n", "#"]
+    contents = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + [" " * 100_000 + "a" + " " * 100_000 + "\nb", ""]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, c string").select("i", text.entries(F.col("c")).alias("e"))
+    for r in rows.collect():
+        assert r.e == [x for x in map(str.strip, contents[r.i].splitlines()) if x and not x.startswith("#")]
+
+
 @pytest.mark.parametrize(("line", "want"), [("frame=120", ("frame", "120")), ("  frame=120  ", ("frame", "120")), ("invalid line", None), ("a=b=c", ("a", "b=c"))])
 def test_key_value(spark, line, want):
     got = one(spark, text.key_value(F.col("l")), l=line)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode (Spark's trim alone knows spaces only) and line breaks.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
@@ -25,9 +26,17 @@ def is_entry(line: Column) -> Column:
     return (line != "") & ~line.startswith("#")
 
 
+def _class(characters: str) -> str:
+    return "".join(f"\\u{ord(c):04x}" for c in characters)
+
+
+#: White space with a line break in it, from its beginning on; as breaks are white space, it parts stripped lines.
+_BROKEN = rf"(?<![{_class(SPACE)}])[{_class(''.join(c for c in SPACE if c not in BREAKS))}]*+[{_class(BREAKS)}][{_class(SPACE)}]*+"
+
+
 def entries(content: Column) -> Column:
     """Array of a list's or playlist's entries in order; all tags are skipped, a master playlist's too."""
-    return F.filter(F.transform(lines(content), strip), is_entry)
+    return F.filter(F.split(strip(content), _BROKEN, -1), is_entry)
 
 
 def is_master(content: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,10 @@ BLANK = "".join(map(chr, range(33)))
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 #: A path's last name and the parameters that follow its first semicolon.
 PARAMETERS = r"^((?:[^/]*/)*[^/;]*)(;[^/]*)?$"
+#: Bases without dots, parameters or empty names in their folders, and names and paths without any.
+PLAIN_BASE = r"^(https?://[^/?#;\s]+)((?:/[A-Za-z0-9_-]+)*/)[^/?#;\s]*(?:\?[^#\s]*)?$"
+PLAIN_NAME = r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
+PLAIN_ROOTED = r"^(?:/[A-Za-z0-9_-][A-Za-z0-9_.-]*)+$"
 
 
 def _without_dots(names: Column) -> Column:
@@ -85,25 +91,61 @@ def _rooted(path: Column) -> Column:
     return F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(url: Column) -> Column:
+    """Struct of a url's parts; an empty query or fragment is none."""
+
+    def of(u: Column) -> Column:
+        scheme, authority, path, query, fragment = [F.regexp_extract(u, PARTS, i) for i in range(1, 6)]
+
+        def named(p: Column) -> Column:
+            names, parameters = _path_parts(p)
+            return F.struct(
+                F.lower(scheme).alias("scheme"), authority.alias("authority"), names.alias("names"), parameters.alias("parameters"),
+                F.when(query != "?", query).otherwise("").alias("query"), F.when(fragment != "#", fragment).otherwise("").alias("fragment"),
+            )
+
+        return _let(path, named)
+
+    return _let(F.translate(F.ltrim(url, F.lit(BLANK)), "\t\r\n", ""), of)
+
+
+def _merged(own: Column, names: Column) -> Column:
+    """The path that names mean beside a base's."""
+
+    def below(there: Column) -> Column:
+        before = F.when(F.element_at(there, -1) != "", F.slice(there, F.lit(1), F.size(there) - 1)).otherwise(there)
+        return _let(F.concat(before, F.split(names, "/", -1)), _inner)
+
+    listed = F.when(names.startswith("/"), F.split(names, "/", -1)).otherwise(_let(F.split(own, "/", -1), below))
+    return _let(F.array_join(_let(listed, _without_dots), "/"), lambda m: F.when(m == "", "/").otherwise(_rooted(m)))
+
+
 def join(base: Column, reference: Column) -> Column:
-    """The url that a reference means at a base with http or https; as a standard library's join of urls gives it."""
-    given = F.translate(F.ltrim(reference, F.lit(BLANK)), "\t\r\n", "")
-    site = F.translate(F.ltrim(base, F.lit(BLANK)), "\t\r\n", "")
-    scheme, authority, path, query, fragment = [F.regexp_extract(given, PARTS, i) for i in range(1, 6)]
-    own_scheme, own_authority, own_path, own_query = [F.regexp_extract(site, PARTS, i) for i in range(1, 5)]
-    own_scheme = F.lower(own_scheme)
-    names, parameters = _path_parts(path)
-    query, fragment = F.when(query != "?", query).otherwise(""), F.when(fragment != "#", fragment).otherwise("")
-    own_names, own_parameters = _path_parts(own_path)
-    before, below = F.split(own_names, "/", -1), F.split(names, "/", -1)
-    before = F.when(F.element_at(before, -1) != "", F.slice(before, F.lit(1), F.size(before) - 1)).otherwise(before)
-    merged = F.array_join(_without_dots(F.when(names.startswith("/"), below).otherwise(_inner(F.concat(before, below)))), "/")
-    elsewhere = F.concat(own_scheme, F.lit(":"), authority, _rooted(F.concat(names, parameters)), query, fragment)
-    there = F.concat(own_scheme, F.lit(":"), own_authority, _rooted(F.concat(own_names, own_parameters)), F.when(query != "", query).otherwise(own_query), fragment)
-    beside = F.concat(own_scheme, F.lit(":"), own_authority, F.when(merged == "", "/").otherwise(_rooted(merged)), parameters, query, fragment)
-    other = (scheme != "") & (F.lower(scheme) != own_scheme)
-    has_authority = F.length(authority) > 2
-    return F.when(reference == "", base).when(other, reference).when(has_authority, elsewhere).when((names == "") & (parameters == ""), there).otherwise(beside)
+    """The url that a reference means at a base with http or https; as a standard library's join of urls gives it.
+
+    Plain names at plain bases, which most are, need no more than the base's folder or site before them.
+    """
+    plain = base.rlike(PLAIN_BASE)
+    beside, rooted = (F.concat(F.regexp_replace(base, PLAIN_BASE, kept), reference) for kept in ("$1$2", "$1"))
+    return F.when(plain & reference.rlike(PLAIN_NAME), beside).when(plain & reference.rlike(PLAIN_ROOTED), rooted).otherwise(_joined(base, reference))
+
+
+def _joined(base: Column, reference: Column) -> Column:
+
+    def of(b: Column, r: Column) -> Column:
+        elsewhere = F.concat(b["scheme"], F.lit(":"), r["authority"], _rooted(F.concat(r["names"], r["parameters"])), r["query"], r["fragment"])
+        site = F.concat(b["scheme"], F.lit(":"), b["authority"])
+        there = F.concat(site, _rooted(F.concat(b["names"], b["parameters"])), F.when(r["query"] != "", r["query"]).otherwise(b["query"]), r["fragment"])
+        beside = F.concat(site, _merged(b["names"], r["names"]), r["parameters"], r["query"], r["fragment"])
+        other = (r["scheme"] != "") & (r["scheme"] != b["scheme"])
+        return F.when(other, reference).when(F.length(r["authority"]) > 2, elsewhere).when((r["names"] == "") & (r["parameters"] == ""), there).otherwise(beside)
+
+    return F.when(reference == "", base).otherwise(_let(_parts(base), lambda b: _let(_parts(reference), lambda r: of(b, r))))
 
 
 def resolve(base: Column, segment: Column) -> Column:

@@ -29,18 +29,16 @@ def block_fields(lines: DataFrame, key: str, order: list[str], slice_by: Column
     """
     pairs = lines.withColumn("_pair", text.key_value(F.col("line"))).where("_pair IS NOT NULL")
     name = F.col("_pair")["key"]
-    rows = until_end(pairs, key, order, (name == "progress") & (F.col("_pair")["value"] == "end"))
+    rows = until_end(pairs, key, order, (name == "progress") & (F.col("_pair")["value"] == "end"), slice_by)
     rows = blocks(rows, key, order, name == "progress", slice_by)
     last = [F.max_by(F.col("_pair")["value"], F.when(name == f, F.struct(*order))).alias(f) for f in progress.FIELDS]
     whole = rows.groupBy(key, "block").agg(*last)
     return whole.select(key, "block", *[progress.field(f, F.col(f), strict).alias(f) for f in progress.FIELDS])
 
 
-def until_end(lines: DataFrame, key: str, order: list[str], end: Column) -> DataFrame:
-    """lines up to the first end, itself included."""
-    first = lines.where(end).groupBy(F.col(key).alias("end_key")).agg(F.min(F.struct(*order)).alias("end_at"))
-    joined = lines.join(first, F.col(key).eqNullSafe(F.col("end_key")), "left")
-    return joined.where(F.col("end_at").isNull() | (F.struct(*order) <= F.col("end_at"))).drop("end_key", "end_at")
+def until_end(lines: DataFrame, key: str, order: list[str], end: Column, slice_by: Column | None = None) -> DataFrame:
+    """lines up to the first end, itself included; slice_by as for blocks."""
+    return sum_before(lines, [key], order, _ones(end), slice_by, "_ends").where("_ends = 0").drop("_ends")
 
 
 def latest(updates: DataFrame, key: str, order: list[str], *keep: str) -> DataFrame:

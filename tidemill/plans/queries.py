@@ -465,7 +465,7 @@ def q39_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(*) AS n_lines, max(event_id) AS last_id FROM events JOIN f USING (user_id) WHERE f IS NULL OR struct_pack(t := ts, e := event_id) <= f GROUP BY user_id"""
 )
 def q40_until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = progress_ops.until_end(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase")
+    rows = progress_ops.until_end(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", hours(F.col("ts").cast("timestamp")))
     return rows.groupBy("user_id").agg(F.count("*").alias("n_lines"), F.max("event_id").alias("last_id"))
 
 
