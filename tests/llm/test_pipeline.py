@@ -1,5 +1,6 @@
 import hashlib
 import importlib
+import os
 import re
 
 import public_tokenizers
@@ -38,8 +39,13 @@ def test_stages_on_edge_rows(spark, pipeline, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256) for r in frame.where("doc_id is not null").collect()) == want
 
 
-def test_run(spark, pipeline):
+def test_run(spark, pipeline, monkeypatch):
+    """All but the last of the stages' files are gone by the end."""
+    gone, delete = [], pipeline.delete
+    monkeypatch.setattr(pipeline, "delete", lambda session, path: (gone.append(path), delete(session, path)))
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(gone) == len(pipeline.STAGES) - 2
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in gone)
 
 
 def test_empty(spark, pipeline):
