@@ -34,11 +34,20 @@ def failures(results: DataFrame) -> DataFrame:
 BROKEN_OFF = 130
 
 
+def _code(broken_off: Column | None) -> Column:
+    code = F.when((F.count("*") > 0) & (F.count_if(F.col("status") != "success") == 0), 0).otherwise(1)
+    return (code if broken_off is None else F.when(broken_off, BROKEN_OFF).otherwise(code)).alias("exit_code")
+
+
 def exit_code(results: DataFrame, broken_off: Column | None = None) -> DataFrame:
     """One row: 130 if the run was broken off (an aggregate over results), 0 if there are results and all are
     successful, else 1."""
-    code = F.when((F.count("*") > 0) & (F.count_if(F.col("status") != "success") == 0), 0).otherwise(1)
-    return results.agg((code if broken_off is None else F.when(broken_off, BROKEN_OFF).otherwise(code)).alias("exit_code"))
+    return results.agg(_code(broken_off))
+
+
+def exit_codes(results: DataFrame, batch: str, broken_off: Column | None = None) -> DataFrame:
+    """The exit code of each batch."""
+    return results.groupBy(batch).agg(_code(broken_off))
 
 
 def ordered_distinct(values: Column) -> Column:

@@ -663,3 +663,50 @@ SELECT page_id, site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(dir, '[
 def q53_relative_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"up": "./../up.ts", "same": "?t=1", "other": "//cdn.example/x/"}
     return table(spark, sf_dir, "pages").select("page_id", *[urls.join(F.col("url"), F.lit(s)).alias(n) for n, s in parts.items()])
+
+
+@query(
+    """WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN upper(url) WHEN 4 THEN '//h/video-' || page_id || '_7' WHEN 5 THEN url END AS u FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) || '/***REDACTED***' ELSE '***REDACTED***' END AS redacted,
+  CASE WHEN trim(u) LIKE 'http://%' OR trim(u) LIKE 'https://%' THEN trim(u) ELSE 'https://' || regexp_replace(trim(u), '^//?', '') END AS normal,
+  coalesce(page_id % 6 = 4, false) AS has_id, CASE WHEN page_id % 6 = 4 THEN page_id || '_7' END AS full_id, coalesce(contains(lower(u), '.m3u8'), false) AS playlist FROM u"""
+)
+def q54_odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 6
+    given = F.when(k == 1, "").when(k == 2, "   ").when(k == 3, F.upper("url")).when(k == 4, F.concat(F.lit("//h/video-"), F.col("page_id").cast("string"), F.lit("_7"))).when(k == 5, F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", given.alias("u"))
+    u = F.col("u")
+    return rows.select("page_id", urls.redact(u).alias("redacted"), urls.normalize(u).alias("normal"), urls.has_video_id(u).alias("has_id"), urls.full_id(u).alias("full_id"), urls.is_playlist(u).alias("playlist"))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CASE WHEN o_orderkey % 12 < 6 THEN 'full' END AS title, 1 AS pos, 'https://m.example/' || o_orderkey || '.M3U8' AS url, 'mp4' AS format, 'unknown' AS quality,
+  CAST(NULL AS VARCHAR) AS resolution, CAST(NULL AS INT) AS bitrate FROM orders WHERE o_orderkey % 6 = 5"""
+)
+def q55_odd_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    stream = F.concat(F.lit('{"url":null,"height":720},{"url":"https://m.example/'), key, F.lit('.M3U8","height":null,"width":640,"vcodec":null}'))
+    full = F.when(F.col("o_orderkey") % 12 < 6, '"full"').otherwise("null")
+    whole = F.concat(F.lit('{"id":"'), key, F.lit('","title":null,"fulltitle":'), full, F.lit(',"formats":['), stream, F.lit("]}"))
+    body = F.when(k == 1, "").when(k == 2, "not json").when(k == 3, "{}").when(k == 4, '{"id":"x","formats":null}').when(k == 5, whole)
+    return metadata.streams(table(spark, sf_dir, "orders").select(body.alias("json"))).drop("width", "height")
+
+
+@query(
+    """SELECT event_id, event_id % 7 AS level, CASE event_type WHEN 'error' THEN 'extraction_error' WHEN 'click' THEN 'path_traversal' WHEN 'view' THEN 'unexpected_error' END AS error_code, value IS NOT NULL AND event_id % 2 = 0 AS told,
+  event_id % 3 = 0 AS master FROM events"""
+)
+def q56_log_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "extraction").when(F.col("event_type") == "click", "path_traversal").when(F.col("event_type") == "view", "base").when(F.col("event_type") == "signup", "OSError")
+    message = F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string"))
+    playlist = F.concat(F.lit("#EXTM3U\n"), F.when(F.col("event_id") % 3 == 0, "#EXT-X-STREAM-INF:BANDWIDTH=1\n").otherwise("#EXTINF:4,\n"), F.lit("a.m3u8\n"))
+    rows = table(spark, sf_dir, "events").select("event_id", status.log_context(kind, message).alias("context"), text.is_master(playlist).alias("master"))
+    return rows.select("event_id", (F.col("event_id") % 7).alias("level"), "context.error_code", F.col("context.message").isNotNull().alias("told"), "master")
+
+
+@query(
+    """SELECT user_id // 10 AS batch, CASE WHEN count(*) FILTER (event_type = 'signup') > 20 THEN 130 WHEN count(*) FILTER (value < 1) = 0 THEN 0 ELSE 1 END AS exit_code FROM events GROUP BY user_id // 10"""
+)
+def q57_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).alias("batch"), F.when(F.col("value") >= 1, "success").otherwise("failed").alias("status"), (F.col("event_type") == "signup").alias("broke"))
+    return results.exit_codes(rows, "batch", F.count_if("broke") > 20)
