@@ -213,10 +213,12 @@ def test_waits(spark, monkeypatch, most):
     assert {r.seq: r.wait_us for r in got} == want and any(want.values())
 
 
-def test_block_fields(spark):
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_block_fields(spark, monkeypatch, most):
+    monkeypatch.setattr(slices, "MOST_ROWS", most)
     lines = ["frame=N/A", "fps=2.5", "progress=continue", "frame=1", "frame=2", "speed=1.5x", "out_time_us=5", "out_time_ms=6", "junk", "progress=end", "frame=9", "progress=continue"]
     df = spark.createDataFrame([(k, i, v) for k in ("s", "t") for i, v in enumerate(lines)] + [("u", 0, "frame=x"), ("u", 1, "progress=end"), ("open", 0, "frame=3")], schemas.PROGRESS_LINES)
-    got = {tuple(r) for r in progress.block_fields(df, "source", ["line_no"], strict=False).collect()}
+    got = {tuple(r) for r in progress.block_fields(df, "source", ["line_no"], F.floor(F.col("line_no") / 3), strict=False).collect()}
     whole = [(0, None, 2.5, None, None, None, None, None, "continue"), (1, 2, None, 1.5, None, 5, 6, None, "end")]
     assert got == {(k, *w) for k in ("s", "t") for w in whole} | {("u", 0, None, None, None, None, None, None, None, "end")}
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

@@ -25,6 +25,7 @@ import os
 import re
 import sys
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from .mixing import ranked_sources
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, PACKET, END = 4096, 256, 2
 #: Words whose ids a worker remembers in each of two generations, and the bytes of the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST, COMMON = 400_000, 64, 8192
 #: Words that are parted here: printable ASCII and the Latin letters of two bytes that lower-case to one letter.
 LATIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
 PARTS = re.compile("[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
@@ -68,6 +69,8 @@ class Words:
         if any(" " in t or "<|" not in t for t in special):
             raise ValueError("only special tokens that hold <| and no space are supported")
         self.sign_of = {b: c for c, b in printable_bytes().items()}
+        #: The commonest words of the first texts, apart from all others as a small table is read faster.
+        self.common: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -77,13 +80,16 @@ class Words:
             out.byteswap()
         return out.tobytes()
 
-    def _part(self, part: str, known: dict[bytes, bytes]) -> bytes:
-        """The ids of a part of a word, lower-cased; new ones are added to known."""
-        key = part.encode()
-        ids = self.young.get(key) or self.old.get(key) or known.get(key)
+    def _new(self, part: bytes) -> bytes:
+        """The ids of a part of a word, lower-cased."""
+        signs = part.decode("latin-1")
+        return self._bytes([t.id for t in self.model.tokenize(signs if part.isascii() else signs.translate(self.sign_of))])
+
+    def _part(self, part: bytes, known: dict[bytes, bytes]) -> bytes:
+        """The same, if it isn't known yet; new ones are added to known."""
+        ids = self.young.get(part) or self.old.get(part) or known.get(part)
         if ids is None:
-            signs = part if part.isascii() else key.decode("latin-1").translate(self.sign_of)
-            ids = known[key] = self._bytes([t.id for t in self.model.tokenize(signs)])
+            ids = known[part] = self._new(part)
         return ids
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
@@ -91,14 +97,16 @@ class Words:
         known: dict[bytes, bytes] = {}
         others = []
         for word in words:
-            ids = self.old.get(word)
-            if ids is None:
+            ids = self.old.get(word) or known.get(word)
+            if ids is None and word.isalpha():  # ASCII letters only
+                small = word.lower()
+                ids = self._new(word) if small == word else self._part(small, known)
+            elif ids is None:
                 text = word.decode()
                 if "'" in text or "<|" in text or not LATIN.fullmatch(text):
                     others.append(word)
                     continue
-                parts = PARTS.findall(text.lower())
-                ids = self._part(parts[0], known) if len(parts) == 1 else b"".join([self._part(p, known) for p in parts])
+                ids = b"".join([self._part(p.encode(), known) for p in PARTS.findall(text.lower())])
             known[word] = ids
         for word, got in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
             known[word] = self._bytes(got.ids)
@@ -110,7 +118,12 @@ class Words:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, each with the end id."""
         split = [t.split() for t in texts]
-        got = [[*map(self.young.get, words)] for words in split]
+        if not self.common:
+            first = Counter(w for words in split for w in words)
+            known = self.learn(set(first))
+            self.common = {w: known[w] for w, _ in first.most_common(COMMON)}
+        get = self.young.get
+        got = [[get(w) if g is None else g for w, g in zip(words, map(self.common.get, words), strict=True)] for words in split]
         known = self.learn({w for words, ids in zip(split, got, strict=True) if None in ids for w, g in zip(words, ids, strict=True) if g is None})
         out = []
         for words, ids in zip(split, got, strict=True):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.resilience import GOING_ON
-from .slices import last_before, sum_before
+from .slices import by_size, last_before, sum_before
 
 
 def requests(attempts: DataFrame, keys: list[str], order: list[str], step: str, tries: int, slice_by: Column | None = None) -> DataFrame:
@@ -22,13 +22,16 @@ def requests(attempts: DataFrame, keys: list[str], order: list[str], step: str,
     out.
     """
     goes_on = F.col(step).isin(*GOING_ON)
-    one = F.lit(1).cast("long")
-    rows = sum_before(attempts, keys, order, one, slice_by, "_place")
-    rows = last_before(rows, keys, order, F.when(~goes_on, F.col("_place") + 1), slice_by, "_begin")
-    rows = rows.withColumn("attempt", ((F.col("_place") - F.coalesce("_begin", F.lit(0))) % tries).cast("int"))
-    rows = rows.withColumn("fate", F.when(goes_on & (F.col("attempt") == tries - 1), "used_up").otherwise(F.col(step)))
-    ends = F.when(F.col("fate").isin(*GOING_ON), 0).otherwise(1).cast("long")
-    return sum_before(rows, keys, order, ends, slice_by, "request").drop("_place", "_begin")
+
+    def numbered(rows: DataFrame, by: Column | None) -> DataFrame:
+        rows = sum_before(rows, keys, order, F.lit(1).cast("long"), by, "_place", count=False)
+        rows = last_before(rows, keys, order, F.when(~goes_on, F.col("_place") + 1), by, "_begin", count=False)
+        rows = rows.withColumn("attempt", ((F.col("_place") - F.coalesce("_begin", F.lit(0))) % tries).cast("int"))
+        rows = rows.withColumn("fate", F.when(goes_on & (F.col("attempt") == tries - 1), "used_up").otherwise(F.col(step)))
+        ends = F.when(F.col("fate").isin(*GOING_ON), 0).otherwise(1).cast("long")
+        return sum_before(rows, keys, order, ends, by, "request", count=False).drop("_place", "_begin")
+
+    return by_size(attempts, keys, slice_by, lambda rows: numbered(rows, None), lambda rows: numbered(rows, slice_by))
 
 
 def fates(tried: DataFrame, keys: list[str], *further: Column) -> DataFrame:

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import progress, text
-from .slices import sum_before
+from .slices import by_size, sum_before
 
 
 def _ones(where: Column) -> Column:
     return F.when(where, 1).otherwise(0).cast("long")
 
 
-def blocks(lines: DataFrame, key: str, order: list[str], terminator: Column, slice_by: Column | None = None) -> DataFrame:
+def blocks(lines: DataFrame, key: str, order: list[str], terminator: Column, slice_by: Column | None = None, count: bool = True) -> DataFrame:
     """lines with block: the number of terminators before; a block without its own terminator is left out.
 
-    slice_by doesn't fall along the order and deals a key's lines out.
+    slice_by doesn't fall along the order and deals a key's lines out; without count all keys are taken as large.
     """
-    return sum_before(lines, [key], order, _ones(terminator), slice_by, "block", total="n_blocks").where("block < n_blocks").drop("n_blocks")
+    return sum_before(lines, [key], order, _ones(terminator), slice_by, "block", "n_blocks", count).where("block < n_blocks").drop("n_blocks")
 
 
 def block_fields(lines: DataFrame, key: str, order: list[str], slice_by: Column | None = None, strict: bool = True) -> DataFrame:
@@ -29,16 +29,20 @@ def block_fields(lines: DataFrame, key: str, order: list[str], slice_by: Column
     """
     pairs = lines.withColumn("_pair", text.key_value(F.col("line"))).where("_pair IS NOT NULL")
     name = F.col("_pair")["key"]
-    rows = until_end(pairs, key, order, (name == "progress") & (F.col("_pair")["value"] == "end"), slice_by)
-    rows = blocks(rows, key, order, name == "progress", slice_by)
+
+    def finished(some: DataFrame, by: Column | None) -> DataFrame:
+        rows = until_end(some, key, order, (name == "progress") & (F.col("_pair")["value"] == "end"), by, count=False)
+        return blocks(rows, key, order, name == "progress", by, count=False)
+
+    rows = by_size(pairs, [key], slice_by, lambda some: finished(some, None), lambda some: finished(some, slice_by))
     last = [F.max_by(F.col("_pair")["value"], F.when(name == f, F.struct(*order))).alias(f) for f in progress.FIELDS]
     whole = rows.groupBy(key, "block").agg(*last)
     return whole.select(key, "block", *[progress.field(f, F.col(f), strict).alias(f) for f in progress.FIELDS])
 
 
-def until_end(lines: DataFrame, key: str, order: list[str], end: Column, slice_by: Column | None = None) -> DataFrame:
-    """lines up to the first end, itself included; slice_by as for blocks."""
-    return sum_before(lines, [key], order, _ones(end), slice_by, "_ends").where("_ends = 0").drop("_ends")
+def until_end(lines: DataFrame, key: str, order: list[str], end: Column, slice_by: Column | None = None, count: bool = True) -> DataFrame:
+    """lines up to the first end, itself included; slice_by and count as for blocks."""
+    return sum_before(lines, [key], order, _ones(end), slice_by, "_ends", count=count).where("_ends = 0").drop("_ends")
 
 
 def latest(updates: DataFrame, key: str, order: list[str], *keep: str) -> DataFrame:

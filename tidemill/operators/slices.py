@@ -38,10 +38,13 @@ def _earlier(keys: list[str], *order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _by_size(rows: DataFrame, keys: list[str], slice_by: Column | None, plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """plain of the keys of up to MOST_ROWS rows and sliced of the others, of which there are few beside rows."""
+def by_size(rows: DataFrame, keys: list[str], slice_by: Column | None, plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame], count: bool = True) -> DataFrame:
+    """plain of the keys of up to MOST_ROWS rows and sliced of the others, of which there are few beside rows; all is
+    sliced if they need no count."""
     if slice_by is None:
         return plain(rows)
+    if not count:
+        return sliced(rows)
     names = [f"_large{i}" for i in range(len(keys))]
     large = rows.groupBy(*keys).count().where(F.col("count") > MOST_ROWS).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     if large.isEmpty():
@@ -50,8 +53,11 @@ def _by_size(rows: DataFrame, keys: list[str], slice_by: Column | None, plain: C
     return plain(rows.join(large, same, "left_anti")).unionByName(sliced(rows.join(large, same, "left_semi")))
 
 
-def sum_before(rows: DataFrame, keys: list[str], order: list[str], value: Column, slice_by: Column | None, name: str, total: str | None = None) -> DataFrame:
-    """rows with `name`, the sum of value over the key's rows before, and `total`, over all of the key's rows."""
+def sum_before(rows: DataFrame, keys: list[str], order: list[str], value: Column, slice_by: Column | None, name: str, total: str | None = None, count: bool = True) -> DataFrame:
+    """rows with `name`, the sum of value over the key's rows before, and `total`, over all of the key's rows.
+
+    Without count all keys are taken as large.
+    """
     zero = F.lit(0).cast("long")
 
     def plain(some: DataFrame) -> DataFrame:
@@ -66,11 +72,11 @@ def sum_before(rows: DataFrame, keys: list[str], order: list[str], value: Column
     def sliced(some: DataFrame) -> DataFrame:
         return _with_slices(some, keys, slice_by, F.sum(value), over).withColumn(name, F.col("_before") + inside).drop("_slice", "_before")
 
-    return _by_size(rows, keys, slice_by, plain, sliced)
+    return by_size(rows, keys, slice_by, plain, sliced, count)
 
 
-def last_before(rows: DataFrame, keys: list[str], order: list[str], value: Column, slice_by: Column | None, name: str) -> DataFrame:
-    """rows with `name`, the last value that isn't null over the key's rows before."""
+def last_before(rows: DataFrame, keys: list[str], order: list[str], value: Column, slice_by: Column | None, name: str, count: bool = True) -> DataFrame:
+    """rows with `name`, the last value that isn't null over the key's rows before; count as for sum_before."""
     last = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
     over = {"_before": lambda whole, _: F.last_value(whole, ignoreNulls=True).over(_earlier(keys, "_slice"))}
 
@@ -81,4 +87,4 @@ def last_before(rows: DataFrame, keys: list[str], order: list[str], value: Colum
         inside = F.last_value(value, ignoreNulls=True).over(_earlier([*keys, "_slice"], *order))
         return _with_slices(some, keys, slice_by, last, over).withColumn(name, F.coalesce(inside, F.col("_before"))).drop("_slice", "_before")
 
-    return _by_size(rows, keys, slice_by, plain, sliced)
+    return by_size(rows, keys, slice_by, plain, sliced, count)
