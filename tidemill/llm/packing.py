@@ -25,7 +25,6 @@ import os
 import re
 import sys
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,7 @@ from .mixing import ranked_sources
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, PACKET, END = 4096, 256, 2
 #: Words whose ids a worker remembers in each of two generations, and the bytes of the longest of them.
-REMEMBERED, LONGEST, COMMON = 400_000, 64, 8192
+REMEMBERED, LONGEST = 500_000, 64
 #: Words that are parted here: printable ASCII and the Latin letters of two bytes that lower-case to one letter.
 LATIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
 PARTS = re.compile("[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
@@ -69,8 +68,6 @@ class Words:
         if any(" " in t or "<|" not in t for t in special):
             raise ValueError("only special tokens that hold <| and no space are supported")
         self.sign_of = {b: c for c, b in printable_bytes().items()}
-        #: The commonest words of the first texts, apart from all others as a small table is read faster.
-        self.common: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -92,7 +89,7 @@ class Words:
             ids = known[part] = self._new(part)
         return ids
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of words that aren't among the younger ones, and of their parts."""
         known: dict[bytes, bytes] = {}
         others = []
@@ -112,25 +109,24 @@ class Words:
             known[word] = self._bytes(got.ids)
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in known.items() if len(w) <= LONGEST)
+        self.young.update(known)
+        for word in [w for w in known if len(w) > LONGEST]:
+            del self.young[word]
         return known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, each with the end id."""
         split = [t.split() for t in texts]
-        if not self.common:
-            first = Counter(w for words in split for w in words)
-            known = self.learn(set(first))
-            self.common = {w: known[w] for w, _ in first.most_common(COMMON)}
-        get = self.young.get
-        got = [[get(w) if g is None else g for w, g in zip(words, map(self.common.get, words), strict=True)] for words in split]
-        known = self.learn({w for words, ids in zip(split, got, strict=True) if None in ids for w, g in zip(words, ids, strict=True) if g is None})
-        out = []
-        for words, ids in zip(split, got, strict=True):
-            if None in ids:
-                ids = [known[w] if g is None else g for w, g in zip(words, ids, strict=True)]
-            out.append(b"".join(ids) + self.end)
-        return out
+        here: dict[bytes, bytes] = {}
+        new = []
+        for word in set().union(*split):
+            ids = self.young.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                here[word] = ids
+        here.update(self.learn(new))
+        return [b"".join(map(here.__getitem__, words)) + self.end for words in split]
 
 
 _words: dict[int, Words] = {}
