@@ -1,4 +1,6 @@
 import hashlib
+import time
+from unittest import mock
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -39,6 +41,47 @@ def test_every_code_point():
         assert OURS.encode(text)[1].tolist() == want.ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\x1c", "\xa0", "a", "B", "'s", "'", "1", "!", "é", "\U0001d7ce", "\U0001f600", "\U00020000"])).map("".join), st.sampled_from([1, 2, 5]))
+def test_spans_of_texts_beyond_the_basic_plane(text, span):
+    with mock.patch.object(bpe, "SPAN", span):
+        assert OURS.split_words("\U0001f600" + text) == OURS.words.findall("\U0001f600" + text)
+        assert OURS.split_words(text + "\U0001f600") == OURS.words.findall(text + "\U0001f600")
+
+
+def test_splitting_by_the_widest_character():
+    borders = ["a", "1", "!", " ", "\n", "\x7f", "\x80", "\xa0", "\u2003", "é", "\u0663", "\ufffd", "\uffff", "\U00010000", "\U0001d7ce", "\U0001f600"]
+    wide = bpe.word_pattern()
+    for below in ("\x80", "\U00010000", "\U0010ffff"):
+        few = [c for c in borders if c < below]
+        text = "".join(a + b + c for a in few for b in few for c in few)
+        assert OURS.split_words(text) == wide.findall(text)
+        assert OURS.encode(text)[1].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_words_cost_less_than_the_widest_classes():
+    text = "The cat, of 12 mats; " * 5000
+    wide = bpe.word_pattern()
+
+    def seconds(function):
+        began = time.process_time()
+        function(text)
+        return time.process_time() - began
+
+    assert min(seconds(OURS.encode) for _ in range(7)) < min(seconds(wide.findall) for _ in range(7))
+
+
+def test_words_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "SOME", 4)
+    text = "one two three four five six, one two " * 3 + "x" * 100
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        joined, ids = OURS.encode(text)
+        assert (joined, ids.tolist()) == (",".join(map(str, want)), want)
+        OURS.rest()
+
+
 def test_query_on_edge_rows(spark):
     rows = edge_rows()
     got = sorted(map(tuple, bpe.op7(docs(spark, rows, extra=True)).collect()), key=str)

@@ -30,10 +30,15 @@ from pyspark.sql import functions as F
 from .common import pick, slices, texts
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 120_000
+#: Words that a worker remembers in each of two generations, and the characters of the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 #: Pairs of tokens that a worker remembers.
 PAIRS = 250_000
+#: The first character beyond the basic plane. Texts with such ones are split in spans of about SPAN characters, which
+#: end before a space that something else than white space follows: whatever stands around it, a word begins there.
+BEYOND, SPAN, EDGE = "\U00010000", 256, re.compile(r" (?=\S)")
+#: Ids that are Python numbers at a time.
+SOME = 1 << 16
 LAST = 1 << 62
 
 # Letters and numbers of Unicode 16, which the tokenizers library knows and Python 3.13 does not.
@@ -42,21 +47,25 @@ UNICODE_16_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10
 UNICODE_16_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 
 
-def character_class(kind: str, later: str) -> str:
-    """The ranges, as in a character class, of a general category and of the listed code points."""
-    inside = bytearray(unicodedata.category(chr(c))[0] == kind for c in range(0x110000))
+def character_class(kind: str, later: str, below: int) -> str:
+    """The ranges, as in a character class, of a general category and of the listed code points, up to a code point."""
+    inside = bytearray(unicodedata.category(chr(c))[0] == kind for c in range(below))
     for part in later.split():
         first, _, last = part.partition("-")
-        for c in range(int(first, 16), int(last or first, 16) + 1):
+        for c in range(int(first, 16), min(int(last or first, 16) + 1, below)):
             inside[c] = 1
     edges = np.flatnonzero(np.diff(np.concatenate(([0], np.frombuffer(inside, np.uint8), [0])).astype(np.int8)))
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
 
 
-def word_pattern() -> re.Pattern:
-    """The byte-level tokenizers' splitting pattern, with its classes written out so that all match one Unicode version."""
-    letters, numbers = character_class("L", UNICODE_16_LETTERS), character_class("N", UNICODE_16_NUMBERS)
-    space = "".join(f"\\u{c:04x}" for c in range(0x10000) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+def word_pattern(below: int = 0x110000) -> re.Pattern:
+    """The byte-level tokenizers' splitting pattern, with its classes written out so that all match one Unicode version.
+
+    For texts whose characters are all below a code point: where a character is in no range of a class, all of those
+    beyond the basic plane are gone through, which takes longer than anything else.
+    """
+    letters, numbers = character_class("L", UNICODE_16_LETTERS, below), character_class("N", UNICODE_16_NUMBERS, below)
+    space = "".join(f"\\u{c:04x}" for c in range(min(below, 0x10000)) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
@@ -108,10 +117,10 @@ class Encoder:
         self.shorter = [-1] * size
         for t, i in usable.items():
             self.shorter[i] = next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), -1)
-        self.words = word_pattern()
+        self.words, self.plane_words, self.ascii_words = word_pattern(), word_pattern(0x10000), word_pattern(0x80)
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _edge(self, token: int, half: int, known: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """The tokens at a token's right (half 2) or left (half 1) end over time, with the rank that ends each."""
@@ -180,28 +189,41 @@ class Encoder:
                 token = shorter[token]
         return path
 
-    def _word(self, word: str) -> tuple[str, bytes]:
-        got = self.old.get(word)
-        if got is None:
-            ids = self.word_ids(word.encode().decode("latin-1"))
-            got = (",".join([self.decimal[i] for i in ids]), array("i", ids).tobytes())
-        if len(word) <= 64:
+    def split_words(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if text.isascii():
+            return self.ascii_words.findall(text)
+        if max(text) < BEYOND:
+            return self.plane_words.findall(text)
+        words, at = [], 0
+        while at < len(text):
+            edge = EDGE.search(text, at + SPAN)
+            to = edge.start() if edge else len(text)
+            span = text[at:to]
+            words += (self.plane_words if max(span) < BEYOND else self.words).findall(span)
+            at = to
+        return words
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that wasn't among the younger ones."""
+        ids = self.young.get(word) or self.old.get(word) or array("i", self.word_ids(word.encode().decode("latin-1"))).tobytes()
+        if len(word) <= LONGEST:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
-            self.young[word] = got
-        return got
+            self.young[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
+        words = self.split_words(text)
+        return b"".join([ids or self._word(w) for w, ids in zip(words, map(self.young.get, words), strict=True)])
 
     def encode(self, text: str) -> tuple[str, np.ndarray]:
         """The ids of a whole text, as decimal numbers joined by commas and as an array."""
-        out: list[tuple[str, bytes]] = []
-        for part in self.split.split(text) if self.split else [text]:
-            if part in self.special:
-                i = self.special[part]
-                out.append((str(i), np.array([i], dtype=np.int32).tobytes()))
-                continue
-            for word in self.words.findall(part):
-                out.append(self.young.get(word) or self._word(word))
-        return ",".join([o[0] for o in out]), np.frombuffer(b"".join([o[1] for o in out]), dtype=np.int32)
+        parts = self.split.split(text) if self.split else [text]
+        data = [array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in parts]
+        ids = np.frombuffer(b"".join(data), dtype=np.int32)
+        return ",".join([",".join(map(self.decimal.__getitem__, ids[i : i + SOME].tolist())) for i in range(0, len(ids), SOME)]), ids
 
     def rest(self) -> None:
         """Keeps the younger words only, as a worker may go on to other work."""
