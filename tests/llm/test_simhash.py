@@ -1,4 +1,7 @@
 import random
+import time
+from math import comb
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -80,6 +83,51 @@ def test_thresholds_cover_the_distance():
         assert sum(t + 1 for t in thresholds) == 3
 
 
+@pytest.mark.parametrize("distance", [2, 6])
+def test_probes_of_any_number_of_rows_are_bounded(distance):
+    """Each probe is a shuffled row: from 1.6 million rows on, the plan took 298 for each at a distance of 6."""
+    rng = np.random.default_rng(2)
+    sample = rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
+    for total in (1_000, 230_000, 2_800_000, 14_000_000, 10**9):
+        parts, thresholds = simhash.plan(sample, total, distance)
+        assert sum(t + 1 for t in thresholds) == distance + 1
+        assert sum(comb(len(p), flipped) for p, t in zip(parts, thresholds, strict=True) for flipped in range(t + 1)) <= 64
+
+
+@pytest.mark.parametrize("cost", [0.001, 50.0, 1e6])
+def test_links_are_the_same_by_many_and_few_probes(spark, monkeypatch, cost):
+    monkeypatch.setattr(simhash, "PROBE_COST", cost)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    near = np.repeat(centres, 8) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (480, 4), dtype=np.uint64), axis=1)
+    values = np.unique(near).view(np.int64)
+    got = sorted((r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in values.tolist()], "fp long"), 6, split_over=6).collect())
+    u = values.view(np.uint64)
+    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= 6
+    want = sorted((int(min(values[i], values[j])), int(max(values[i], values[j]))) for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True))
+    assert got == want and len(want) > 100
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    """What the operator's own actions shuffle is gone when it returns, whether or not the driver collects garbage."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name, None)
+    rows = edge_rows() + [(100 + i, " ".join(f"w{i % 10}x{j}" for j in range(50)) + f" end{i}", "en", "s") for i in range(60)]
+    kept = simhash.keep_one(docs(spark, rows), words=1, distance=6, similarity=0.8, distinct=True)
+    found = simhash.near_duplicates(docs(spark, rows))
+    deadline = time.monotonic() + 10  # executors delete them in the background
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(name, None) == setting
+    assert kept.count() == kept.count() < found.count() == found.count() == len(rows)
+
+
 def test_links_between_components(spark):
     rng = np.random.default_rng(4)
     near = np.uint64(99) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 3), dtype=np.uint64), axis=1)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,24 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has the actions on tables made inside delete their shuffle files as they end.
+
+    Else these stay until the driver happens to collect its garbage, and an operator of many actions holds those of all.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
     """left joined to right, which has one row for each key and in `weight` the key's number of rows in left.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents_of, join_hot, pick, slices, utf8
+from .common import cut, documents_of, freed_shuffles, join_hot, pick, slices, utf8
 
 BITS = 64
 #: Rows of distinct fingerprints from which the bits' correlations are measured.
@@ -44,7 +44,8 @@ SPLIT_OVER = 4096
 SPLIT_ROWS = 9
 #: Salts of a crowded value, at most.
 SALTS = 64
-PROBE_COST = 4.0
+#: What a probe costs, in candidates: it is shuffled with its row's sketch (5.5 microseconds, a candidate 0.1).
+PROBE_COST = 50.0
 #: Documents whose ids are broadcast when their texts are compared: 16 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Texts of a fingerprint, each with shingles of its own, above which not all of its pairs are compared but those that
@@ -60,8 +61,9 @@ BROADCAST_BYTES = 16_000_000
 HUB_EDGES = 1_000_000
 #: A group whose fingerprints can differ in no more bits than this isn't split.
 FREE_BITS = 9
-#: Thresholds that need more probes than this for a fingerprint are not considered.
-PROBES = 600
+#: Probes of a fingerprint, of all parts together. Each is a shuffled row, so this bounds the disk for any number of
+#: rows; thresholds with fewer probes make more candidates and find the same links.
+PROBES = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -158,6 +160,11 @@ def _key(values: np.ndarray, part: list[int]) -> np.ndarray:
     return out
 
 
+def ball(bits: int, within: int) -> int:
+    """Values within so many bits of one."""
+    return sum(comb(bits, i) for i in range(within + 1))
+
+
 def estimate(sample: np.ndarray, part: list[int], total: int, most: int) -> list[float]:
     """Estimated candidates plus probes when a part is probed with threshold -1, 0, ... most.
 
@@ -172,23 +179,24 @@ def estimate(sample: np.ndarray, part: list[int], total: int, most: int) -> list
         distance = np.bitwise_count(keys[at : at + 500, None] ^ keys[None, :])
         near += np.bincount(distance[np.arange(len(distance))[:, None] + at < np.arange(len(keys))[None, :]].ravel(), minlength=BITS + 1)
     for e in range(most + 1):
-        ball = sum(comb(len(part), i) for i in range(min(e, len(part)) + 1))
-        share = max(near[: e + 1].sum() / pairs, ball / 2.0 ** len(part))
-        cost.append(share * total * total / 2 + float(total) * ball * PROBE_COST if ball <= PROBES else float("inf"))
+        share = max(near[: e + 1].sum() / pairs, ball(len(part), e) / 2.0 ** len(part))
+        cost.append(share * total * total / 2 + float(total) * ball(len(part), e) * PROBE_COST)
     return cost
 
 
-def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]:
-    """Thresholds of least total cost whose (t + 1) sum to distance + 1; costs[i][t + 1] is part i's cost."""
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in costs:
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (cost, chosen) in best.items():
+def allocate(costs: list[list[float]], sizes: list[int], distance: int) -> tuple[float, list[int]]:
+    """Thresholds of least total cost whose (t + 1) sum to distance + 1, with PROBES probes at most; costs[i][t + 1] is
+    the cost of part i, which has sizes[i] bits. An infinite cost if there are none."""
+    best: dict[tuple[int, int], tuple[float, list[int]]] = {(0, 0): (0.0, [])}
+    for row, size in zip(costs, sizes, strict=True):
+        step: dict[tuple[int, int], tuple[float, list[int]]] = {}
+        for (used, probes), (cost, chosen) in best.items():
             for slot, more in enumerate(row):
-                if used + slot <= distance + 1 and (used + slot not in step or cost + more < step[used + slot][0]):
-                    step[used + slot] = (cost + more, [*chosen, slot - 1])
+                at = used + slot, probes + ball(size, slot - 1)
+                if at[0] <= distance + 1 and at[1] <= PROBES and (at not in step or cost + more < step[at][0]):
+                    step[at] = (cost + more, [*chosen, slot - 1])
         best = step
-    return best[distance + 1]
+    return min((found for (used, _), found in best.items() if used == distance + 1), default=(float("inf"), []))
 
 
 def plan(sample: np.ndarray, total: int, distance: int) -> tuple[list[list[int]], list[int]]:
@@ -196,7 +204,7 @@ def plan(sample: np.ndarray, total: int, distance: int) -> tuple[list[list[int]]
     options = []
     for count in range(1, distance + 3):
         parts = correlated_parts(sample, count)
-        cost, thresholds = allocate([estimate(sample, p, total, min(distance, 3)) for p in parts], distance) if count * (min(distance, 3) + 1) > distance else (float("inf"), [])
+        cost, thresholds = allocate([estimate(sample, p, total, min(distance, 3)) for p in parts], [len(p) for p in parts], distance)
         options.append((cost, count, parts, thresholds))
     if min(o[0] for o in options) == float("inf"):
         raise ValueError(f"no thresholds within {PROBES} probes for a distance of {distance}")
@@ -255,8 +263,8 @@ def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, larges
     at = ["slot", "value"]
     while True:
         closed = [m for m, have in fixed.items() if BITS - len(have) <= FREE_BITS]
-        sizes = index.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > split_over)
-        crowded = cut(probes.select(*at).distinct().join(sizes, at))
+        sizes = cut(index.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > split_over))
+        crowded = F.broadcast(cut(probes.select(*at).join(F.broadcast(sizes), at).distinct()))  # a row for split_over rows of the index at most
         slots = [r.slot for r in crowded.select("slot").distinct().collect()]  # at most as many as masks
         met = index.join(probes, at) if not slots else index.join(crowded, at, "left_anti").join(probes.join(crowded, at, "left_anti"), at)
         found.append(met.where(wanted & first if grown == 1 else wanted).select(key, f"p_{key}"))
@@ -264,8 +272,8 @@ def close_pairs(rows: DataFrame, key: str, wanted: Column, distance: int, larges
             break
         if grown * (distance + 1) > SPLIT_ROWS or set(slots) & set(closed):
             salts = crowded.withColumn("salts", F.least(F.ceil(F.col("n") / split_over), F.lit(SALTS)).cast("int")).drop("n")
-            here = index.join(salts, at).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
-            there = probes.join(salts, at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            here = index.join(F.broadcast(salts), at).withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
+            there = probes.join(F.broadcast(salts), at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
             met = here.drop("salts").join(there.drop("salts"), [*at, "salt"])
             found.append(met.where(wanted & first if grown == 1 else wanted).select(key, f"p_{key}"))
             break
@@ -420,10 +428,11 @@ def _crowded_pairs(rooted: DataFrame, crowds: DataFrame, docs: DataFrame, distan
 
 def _may_be(similarity: float) -> Column:
     """Whether a pair is in different components and can be similar, by sizes and sketches: slots that only one set
-    holds are as many shingles, at least, that the other doesn't have. No similar pair is lost."""
+    holds are as many shingles, at least, that the other doesn't have. No similar pair is lost. Written short:
+    with a term for each of a sketch's words, a candidate takes many times as long."""
 
     def missing(x: str, y: str) -> Column:
-        return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(SKETCH // BITS)])
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda n, more: n + more)
 
     total = F.col("size") + F.col("p_size")
     least = F.ceil(total * (similarity / (1 + similarity)) - 1e-9)  # shared shingles of a similar pair
@@ -453,18 +462,19 @@ def verified_components(nodes: DataFrame, docs: DataFrame, distance: int, simila
 def _rows(docs: DataFrame, words: int, distance: int, similarity: float | None, similar_words: int, distinct: bool) -> DataFrame:
     """doc_id, row (with doc_id a row's key), fp, root and component_id for every row of docs."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = cut(row_prints(texts, words, distinct, similar_words if similarity is not None else None))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "sketch"))
-    nodes = cut(prints.groupBy("node", "fp", "size").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "size", "copies", "first.doc_id", "first.row", "first.sketch"))
-    total = nodes.agg(F.sum("copies")).first()[0] or 0
-    if similarity is None:
-        roots = components(links(nodes, distance))
-    else:
-        roots = verified_components(nodes.drop("copies"), texts, distance, similarity, similar_words)
-    rooted = nodes.join(roots, "node", "left").select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    classes = join_hot(rooted, groups, "root", "n", total, "inner").select("node", "root", "component_id", "copies")
-    return join_hot(prints, cut(classes), "node", "copies", total)
+    with freed_shuffles(docs.sparkSession):
+        prints = cut(row_prints(texts, words, distinct, similar_words if similarity is not None else None))
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "sketch"))
+        nodes = cut(prints.groupBy("node", "fp", "size").agg(first.alias("first"), F.count("*").alias("copies")).select("node", "fp", "size", "copies", "first.doc_id", "first.row", "first.sketch"))
+        total = nodes.agg(F.sum("copies")).first()[0] or 0
+        if similarity is None:
+            roots = components(links(nodes, distance))
+        else:
+            roots = verified_components(nodes.drop("copies"), texts, distance, similarity, similar_words)
+        rooted = nodes.join(roots, "node", "left").select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"))
+        groups = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+        classes = cut(join_hot(rooted, groups, "root", "n", total, "inner").select("node", "root", "component_id", "copies"))
+    return join_hot(prints, classes, "node", "copies", total)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None, similar_words: int = 5, distinct: bool = False) -> DataFrame:
@@ -475,10 +485,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, similari
     """
     if similarity is not None:
         return _rows(docs, words, distance, similarity, similar_words, distinct).select("doc_id", "fp", "component_id")
-    prints = cut(fingerprints(docs, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    total = distinct.agg(F.sum("copies")).first()[0] or 0
-    roots = components(links(distinct, distance))
+    with freed_shuffles(docs.sparkSession):
+        prints = cut(fingerprints(docs, words))
+        distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+        total = distinct.agg(F.sum("copies")).first()[0] or 0
+        roots = components(links(distinct, distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "copies", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id", "copies")
@@ -492,10 +503,11 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, similarity: flo
     the first by text. The kept rows' keys are broadcast up to BROADCAST_IDS, else the rows are shuffled once.
     """
     docs = documents_of(docs)
-    found = _rows(docs, words, distance, similarity, 5, distinct)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut(first.groupBy("root", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.count("*").alias("rows")))
-    several = cut(kept.groupBy("root").agg(F.sum("rows").alias("n")).where("n > 1").select("root"))
+    with freed_shuffles(docs.sparkSession):
+        found = _rows(docs, words, distance, similarity, 5, distinct)
+        first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        kept = cut(first.groupBy("root", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.count("*").alias("rows")))
+        several = cut(kept.groupBy("root").agg(F.sum("rows").alias("n")).where("n > 1").select("root"))
     own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_row"))
     repeats = several.limit(1).count() > 0
     lone = (kept.join(several, "root", "left_anti") if repeats else kept).select("own_id", "own_row")
