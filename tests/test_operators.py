@@ -43,6 +43,20 @@ def test_catalog_and_choose(spark):
     }
 
 
+def test_choose_keeps_what_a_join_by_the_place_gives(spark):
+    rows = [("a", 0, "u0", "720p", 720, "t"), ("a", 1, "u1", "480p", 480, None), ("a", 3, None, "unknown", None, "t"), ("b", 0, "v0", "360p", 360, "x"), ("b", 0, "v1", "1080p", 1080, "y"), ("b", 0, "v1", "1080p", 1080, "y")]
+    rows += [("b", 2, "v2", "480", 480, "z"), (None, 0, "n", "720p", 720, "n"), ("c", 0, "w", "unknown", 0, "")]
+    df = spark.createDataFrame(rows, "video_id string, pos int, url string, quality string, height int, title string")
+    wanted = ["best", "worst", "480", "720p", "", "odd", None]
+    asked = spark.createDataFrame([(v, w) for v in ("a", "b", "c", "none", None) for w in wanted] + [("b", "best")], "video_id string, wanted string")
+    joined = select.choose(asked, df).join(df.select("video_id", "pos", "title", "url"), ["video_id", "pos"], "left")
+    got = select.choose(asked, df, "title", "url")
+    assert got.columns == ["video_id", "wanted", "pos", "error", "available", "title", "url"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, joined.select(got.columns).collect()))
+    assert got.where("video_id = 'b' AND wanted = 'best'").count() == 6
+    assert select.choose(asked, df.limit(0), "url").where("url IS NULL").count() == asked.count()
+
+
 def test_ordered_aggregates_keep_order_over_many_groups(spark):
     rows = [(f"v{g}", i, i % 3 > 0) for g in range(400) for i in range(12)]
     got = segments.tally(spark.createDataFrame(rows, schemas.SEGMENT_RESULTS)).collect()

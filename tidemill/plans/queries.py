@@ -629,7 +629,8 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams_ = metadata.streams(metadata_rows)
     wanted = F.element_at(F.array(*map(F.lit, ("best", "worst", "240p", "480", "odd"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), wanted.alias("wanted")).distinct()
-    chosen = select.choose(asked, streams_).join(streams_.select("video_id", "pos", "title", "url"), ["video_id", "pos"], "left")
+    # row by row: lists made before the shuffle take more of it, and memory next to the parsed metadata
+    chosen = select.choose(asked, streams_.repartition("video_id"), "title", "url")
     failed = status.status_label(F.col("error"), F.col("available"))
     file = F.when(F.col("error").isNull(), urls.output_name(F.col("title"), F.concat(F.lit("1_"), "video_id"), F.col("video_id")))
     return chosen.select("video_id", "wanted", "url", file.alias("output_path"), F.coalesce(failed, F.lit("success")).alias("status"))
