@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime
 from urllib.parse import urljoin
 
@@ -117,6 +118,28 @@ def test_entries_line_by_line(spark):
         assert r.e == [x for x in map(str.strip, contents[r.i].splitlines()) if x and not x.startswith("#")]
 
 
+def test_entries_split_a_text_once(spark):
+    df = spark.createDataFrame([("a\n",)], "c string").select(text.entries(F.col("c")).alias("e"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+@pytest.mark.parametrize("pattern", [text.BREAK, urls.PLAIN_BASE, urls.PLAIN_NAME, urls.PLAIN_ROOTED])
+def test_classes_of_patterns_run_on_each_row_have_no_ranges(pattern):
+    classes = re.findall(r"\[\^?((?:\\.|[^\]])*)\]", pattern)
+    assert classes and not any(re.search(r"[A-Za-z0-9]-[A-Za-z0-9]|\\[swdSWD]", c) for c in classes)
+
+
+def test_breaks_and_plain_urls_at_every_character(spark):
+    bases = [F.concat(F.lit(a), "c", F.lit(b)) for a, b in (("https://h", "/x/y"), ("https://h/x", "/y"), ("https://h/x/", "y"), ("https://h/x?y", ""))]
+    word, short = r"A-Za-z0-9_", F.concat(F.lit("a"), "c", F.lit("b"))
+    pairs = [(u, urls.PLAIN_BASE, rf"^(https?://[^/?#;\s]+)((?:/[{word}-]+)*/)[^/?#;\s]*(?:\?[^#\s]*)?$") for u in bases]
+    pairs += [(u, urls.PLAIN_NAME, rf"^[{word}-][{word}.-]*$") for u in (F.col("c"), short)]
+    pairs += [(F.concat(F.lit("/"), u), urls.PLAIN_ROOTED, rf"^(?:/[{word}-][{word}.-]*)+$") for u in (F.col("c"), short)]
+    chars = spark.createDataFrame([(chr(i),) for i in range(0x3100)], "c string")
+    for r in chars.select("c", text.lines(short).alias("lines"), *[u.rlike(p) == u.rlike(ranges) for u, p, ranges in pairs]).collect():
+        assert r.lines == f"a{r.c}b".splitlines() and all(r[2:]), r
+
+
 @pytest.mark.parametrize(("line", "want"), [("frame=120", ("frame", "120")), ("  frame=120  ", ("frame", "120")), ("invalid line", None), ("a=b=c", ("a", "b=c"))])
 def test_key_value(spark, line, want):
     got = one(spark, text.key_value(F.col("l")), l=line)

q34_playlist_segments: patterns without ranges in their classes, texts split once, comments dropped before trimming

Symptom: q34_playlist_segments, which shuffles nothing, took 4.8 CPU seconds over sf0.1's orders, 75.9 over ten times and 542 over sixty times as many (own local runs on six cores): a power of 1.15 of the input, 1.20 up to ten times.
Evidence: the step that joins urls took six tasks of 150,000 rows in one JVM 8.6 s where one such task took 1.8 s; stack samples had the tasks in the lambdas that Java makes of classes such as [^/?#;\s] and [A-Za-z0-9_-]. Below a filter, lines() also split each text up to three times and compiled its pattern each time, and comments were trimmed before they were dropped.
Fix: the plain-url patterns and the line breaks name single characters (one range stays, alone in its class), which Java looks up in a table; lines() works the split out once; entries() drops empty lines and comments before it trims the others, and tests again after. Same languages, tested at every character up to U+30FF.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 836 -> 470 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 93 -> 47 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 4238 -> 1843 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.23 GB, longest task 406 -> 180 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 689 -> 511 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 73 -> 72 s, most memory of a task 0 -> 0 MB.

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of Unicode (Spark's trim alone knows spaces only) and line breaks.
+#: White space of Unicode (Spark's trim alone knows spaces only) and line breaks. Patterns that are run for
+#: each row or line name the characters of a class one by one: Java looks these up in a table, but goes through a chain
+#: of lambdas for ranges and the like, which tasks of one JVM slow down for each other.
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-BREAK = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85]|[\u2028-\u2029]"
 
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lines(c: Column) -> Column:
     """Array of the lines; a last line break opens no further line."""
-    parts = F.split(c, BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, BREAK, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def is_entry(line: Column) -> Column:
@@ -27,7 +35,7 @@ def is_entry(line: Column) -> Column:
 
 def entries(content: Column) -> Column:
     """Array of a list's or playlist's entries in order; all tags are skipped, a master playlist's too."""
-    return F.filter(F.transform(lines(content), strip), is_entry)
+    return F.filter(F.transform(F.filter(lines(content), is_entry), strip), is_entry)
 
 
 def is_master(content: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # How a video's id stands in a url, what stands for hidden parts, what a file name can't hold, and the most
 # characters of a title.
@@ -58,10 +58,11 @@ BLANK = "".join(map(chr, range(33)))
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 #: A path's last name and the parameters that follow its first semicolon.
 PARAMETERS = r"^((?:[^/]*/)*[^/;]*)(;[^/]*)?$"
-#: Bases without dots, parameters or empty names in their folders, and names and paths without any.
-PLAIN_BASE = r"^(https?://[^/?#;\s]+)((?:/[A-Za-z0-9_-]+)*/)[^/?#;\s]*(?:\?[^#\s]*)?$"
-PLAIN_NAME = r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
-PLAIN_ROOTED = r"^(?:/[A-Za-z0-9_-][A-Za-z0-9_.-]*)+$"
+#: Bases without dots, parameters or empty names in their folders, and names and paths without any. Classes as in text.BREAK.
+_NAME, _BLANK = f"{ascii_letters}{digits}_-", r" \t\n\x0b\f\r"
+PLAIN_BASE = rf"^(https?://[^/?#;{_BLANK}]+)((?:/[{_NAME}]+)*/)[^/?#;{_BLANK}]*(?:\?[^#{_BLANK}]*)?$"
+PLAIN_NAME = rf"^[{_NAME}][.{_NAME}]*$"
+PLAIN_ROOTED = rf"^(?:/[{_NAME}][.{_NAME}]*)+$"
 
 
 def _without_dots(names: Column) -> Column:
@@ -91,11 +92,6 @@ def _rooted(path: Column) -> Column:
     return F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _parts(url: Column) -> Column:
     """Struct of a url's parts; an empty query or fragment is none."""
 
@@ -109,9 +105,9 @@ def _parts(url: Column) -> Column:
                 F.when(query != "?", query).otherwise("").alias("query"), F.when(fragment != "#", fragment).otherwise("").alias("fragment"),
             )
 
-        return _let(path, named)
+        return let(path, named)
 
-    return _let(F.translate(F.ltrim(url, F.lit(BLANK)), "\t\r\n", ""), of)
+    return let(F.translate(F.ltrim(url, F.lit(BLANK)), "\t\r\n", ""), of)
 
 
 def _merged(own: Column, names: Column) -> Column:
@@ -119,10 +115,10 @@ def _merged(own: Column, names: Column) -> Column:
 
     def below(there: Column) -> Column:
         before = F.when(F.element_at(there, -1) != "", F.slice(there, F.lit(1), F.size(there) - 1)).otherwise(there)
-        return _let(F.concat(before, F.split(names, "/", -1)), _inner)
+        return let(F.concat(before, F.split(names, "/", -1)), _inner)
 
-    listed = F.when(names.startswith("/"), F.split(names, "/", -1)).otherwise(_let(F.split(own, "/", -1), below))
-    return _let(F.array_join(_let(listed, _without_dots), "/"), lambda m: F.when(m == "", "/").otherwise(_rooted(m)))
+    listed = F.when(names.startswith("/"), F.split(names, "/", -1)).otherwise(let(F.split(own, "/", -1), below))
+    return let(F.array_join(let(listed, _without_dots), "/"), lambda m: F.when(m == "", "/").otherwise(_rooted(m)))
 
 
 def join(base: Column, reference: Column) -> Column:
@@ -145,7 +141,7 @@ def _joined(base: Column, reference: Column) -> Column:
         other = (r["scheme"] != "") & (r["scheme"] != b["scheme"])
         return F.when(other, reference).when(F.length(r["authority"]) > 2, elsewhere).when((r["names"] == "") & (r["parameters"] == ""), there).otherwise(beside)
 
-    return F.when(reference == "", base).otherwise(_let(_parts(base), lambda b: _let(_parts(reference), lambda r: of(b, r))))
+    return F.when(reference == "", base).otherwise(let(_parts(base), lambda b: let(_parts(reference), lambda r: of(b, r))))
 
 
 def resolve(base: Column, segment: Column) -> Column:
