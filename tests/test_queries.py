@@ -34,3 +34,7 @@ def stages(df):
 def test_download_plan_reads_and_parses_the_metadata_once(spark):
     # lines by order, streams by video, orders twice: as distinct rows and by video
     assert stages(QUERIES["q51_download_plan"](spark, SF_DIR)) == (4, 2)
+
+
+def test_download_summary_shuffles_as_the_plan_does_and_its_counts(spark):
+    assert stages(QUERIES["q52_download_summary"](spark, SF_DIR)) == (5, 2)
